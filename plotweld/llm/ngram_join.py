@@ -186,7 +186,7 @@ def _active(percent: int):
     """Classes whose rarest-first prefix holds a shared token, with those tokens."""
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"f1": [], "n": [], "tokens": [], "prefix": []})
+        empty = pd.DataFrame(columns=["f1", "n", "tokens", "prefix"], dtype=object)
         if not len(left) or not len(right):
             return empty
         f1s, ids, dfs = [], [], []

@@ -74,8 +74,8 @@ ORACLE = {
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), ok AS (
-  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93
@@ -92,10 +92,10 @@ WITH d AS (
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS size, [3, 1, 2][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source
 ), o AS (
-  SELECT *, COALESCE(sum(2 * size) OVER r, 0) AS capped, sum(w) OVER () - COALESCE(sum(w) OVER r, 0) AS rest, 1.5::DOUBLE * sum(size) OVER () AS budget
+  SELECT *, count(*) OVER r AS rn, COALESCE(sum(2 * size) OVER r, 0) AS capped, sum(w) OVER () - COALESCE(sum(w) OVER r, 0) AS rest, 1.5::DOUBLE * sum(size) OVER () AS budget
   FROM s WINDOW r AS (ORDER BY 2.0 * size / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (
-  SELECT min((budget - capped) / rest) FILTER (WHERE w * ((budget - capped) / rest) <= 2.0 * size) AS level FROM o
+  SELECT arg_min((budget - capped) / rest, rn) FILTER (WHERE w * ((budget - capped) / rest) <= 2.0 * size) AS level FROM o
 ), t AS (
   SELECT source, size, CASE WHEN level IS NULL OR w * level > 2 * size THEN 2.0 * size ELSE w * level END::DOUBLE AS target FROM s, l
 )
@@ -105,8 +105,8 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """,
     "op8_exact_top_k": """
 WITH v AS (
-  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), x -> floor(256 * x)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
