@@ -27,7 +27,7 @@ def affine(points: DataFrame) -> DataFrame:
         *(F.first(f"m_{x}").alias(f"m_{x}") for x in ("sx", "sy", "tx", "ty")),
         F.sum(sx * sx).alias("xx"), F.sum(sx * sy).alias("xy"), F.sum(sy * sy).alias("yy"), F.sum(sx * tx).alias("xu"), F.sum(sy * tx).alias("yu"), F.sum(sx * ty).alias("xv"), F.sum(sy * ty).alias("yv"),
     )
-    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    det = F.nullif(F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy"), F.lit(0.0))
     solve = lambda u, v: ((F.col(u) * F.col("yy") - F.col(v) * F.col("xy")) / det, (F.col("xx") * F.col(v) - F.col("xy") * F.col(u)) / det)
     (a, b), (c, d) = solve("xu", "yu"), solve("xv", "yv")
     out = sums.withColumns({"a": a, "b": b, "c": c, "d": d})

@@ -11,7 +11,7 @@ from plotweld.operators import conflate, conflicts, registration, versions
 from plotweld.operators.spatial_join import distance_join, prefixed
 from plotweld.plans import queries as engine
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 TABLES = "customer orders part supplier events".split()
 
 
