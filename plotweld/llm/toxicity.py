@@ -3,7 +3,7 @@
 Learning uses at most SAMPLE_ROWS labelled rows, picked by a hash of doc_id. Terms (whole words,
 and stems: the first STEM letters of a word, any ending) are counted over that sample in the cluster and
 kept where toxic texts hold them far more often than others. The trie of the kept terms is intersected with
-the Levenshtein automaton of a text's word: rows of the edit-distance table are carried down the trie and a branch
+the Levenshtein automaton of a text's word (of those that share a form less one letter with a term): rows of the edit-distance table are carried down the trie and a branch
 is left when its row passes the bound, so one walk finds all terms within one edit.
 
 A hit counts less where its window shows quotation: inside quotation marks that close within
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +46,8 @@ class LexiconTrie:
 
     def __init__(self, terms: dict[str, float]):
         self.root: dict = {}
-        self.heads: dict[int, set[str]] = defaultdict(set)
-        self.tails: dict[tuple[int, int], set[str]] = defaultdict(set)
+        self.forms: set[str] = set()
+        self.lengths = (1 << 30, 0)
         for term, weight in terms.items():
             word, open_end = term.rstrip("*"), term.endswith("*")
             node = self.root
@@ -55,9 +55,9 @@ class LexiconTrie:
                 node = node.setdefault(c, {})
             node["*" if open_end else ""] = max(weight, node.get("*" if open_end else "", 0.0))
             if not open_end and len(word) >= FUZZY_LETTERS:
-                half = len(word) // 2
-                self.heads[half].add(word[:half])
-                self.tails[half, len(word) - half].add(word[half:])
+                self.forms.add(word)
+                self.forms.update(word[:i] + word[i + 1 :] for i in range(len(word)))
+                self.lengths = min(self.lengths[0], len(word) - 1), max(self.lengths[1], len(word) + 1)
 
     def exact(self, word: str) -> float:
         node, best = self.root, 0.0
@@ -69,12 +69,14 @@ class LexiconTrie:
         return max(best, node.get("", 0.0))
 
     def may_be_near(self, word: str) -> bool:
-        """One edit leaves the first or the second half of a term whole."""
-        for half, known in self.heads.items():
-            if word[:half] in known:
-                return True
-        for (half, rest), known in self.tails.items():
-            if abs(len(word) - half - rest) <= 1 and word[-rest:] in known:
+        """Words one edit apart share a form: the word, or the word less one letter."""
+        if not self.lengths[0] <= len(word) <= self.lengths[1]:
+            return False
+        forms = self.forms
+        if word in forms:
+            return True
+        for i in range(len(word)):
+            if word[:i] + word[i + 1 :] in forms:
                 return True
         return False
 
