@@ -3,12 +3,12 @@
 Every document becomes sequences of STRIDE token ids (its last one padded). Sequences are
 numbered 0 .. N-1 by document order; a keyed Feistel permutation of the next power of four, walked
 along its cycle until it lands below N, turns the number into a global slot: a bijection that
-needs no shuffle buffer, no sort key and no state. Slots are dealt by range, PER_SHARD to a
-shard; a record's place is slot mod PER_SHARD times the record size, so a reader resumes at
+needs no shuffle buffer, no sort key and no state. A shard is a range of
+PER_SHARD slots and is assembled whole in one task, in slot order, without sampling the range; a record's place is slot mod PER_SHARD times the record size, so a reader resumes at
 any slot by one seek.
 
-The default token ids are UTF-8 bytes (0 to 255), 256 ends a document and 257 pads; `encode`
-may be any function from text to ids below 65534.
+Token ids are UTF-8 bytes (0 to 255), 256 ends a document and 257 pads. Records travel as the bytes
+they hold; end mark, padding and 16-bit ids are added where a shard is assembled.
 
 Null text is an empty document: one sequence with its end mark only. Documents are numbered by
 (doc_id, hash of text), null ids last; repeated rows are numbered one after the other. An empty table
@@ -80,30 +80,21 @@ def unfeistel(y: np.ndarray, n: int, key: int) -> np.ndarray:
     return y.astype(np.int64)
 
 
-def byte_ids(text: bytes) -> np.ndarray:
-    return np.frombuffer(text, np.uint8).astype(np.uint16)
-
-
 def _cut(total: int, stride: int, per_shard: int, key: int):
-    """Records of a document's sequences: slot, doc_id, seq, n_tokens, payload."""
+    """A document's sequences: slot, shard, doc_id, seq, n_tokens and the bytes they hold."""
 
     def run(batches):
         for batch in batches:
-            ids, bases, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             held, size = [], 0
-            for i, base, text in zip(ids, bases, texts, strict=True):
-                raw = text.as_buffer() if text.is_valid else b""
-                tokens = np.append(byte_ids(raw), np.uint16(END))
-                n = -(-len(tokens) // stride)
-                padded = np.full(n * stride, PAD, np.uint16)
-                padded[: len(tokens)] = tokens
-                counts = np.full(n, stride)
-                counts[-1] = len(tokens) - (n - 1) * stride
-                slots = feistel(np.arange(base, base + n), total, key)
+            for i, base, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                n = -(-(len(raw) + 1) // stride)
+                slots = feistel(np.arange(base, base + n), total, key).tolist()
                 for k in range(n):
-                    held.append((int(slots[k]), i, k, int(counts[k]), padded[k * stride : (k + 1) * stride].tobytes()))
-                size += n * stride * 2
-                if size > 8_000_000:
+                    part = raw[k * stride : (k + 1) * stride]
+                    held.append((slots[k], i, k, len(part) + (k == n - 1), part))
+                size += len(raw)
+                if size > 4_000_000:
                     yield _records(held, per_shard)
                     held, size = [], 0
             if held:
@@ -117,8 +108,27 @@ def _records(held, per_shard):
     return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array([s // per_shard for s in slot], pa.int64()), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array(payload, pa.binary())], ["slot", "shard", "doc_id", "seq", "n_tokens", "payload"])
 
 
+def _expand(stride: int):
+    """Records of fixed size: ids of 16 bits, the end mark and padding."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                out = []
+                for n, raw in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
+                    ids = np.full(stride, PAD, np.uint16)
+                    ids[: len(raw)] = np.frombuffer(raw, np.uint8)
+                    if n > len(raw):
+                        ids[len(raw)] = END
+                    out.append(ids.tobytes())
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(out, pa.binary())], part.schema.names)
+
+    return run
+
+
 def training_records(spark: SparkSession, docs: DataFrame, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = 2024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """slot, shard, doc_id, seq, n_tokens, payload, ranged and sorted by slot."""
+    """slot, shard, doc_id, seq, n_tokens, payload; shards are whole in a partition and sorted by slot."""
     box = Scratch(spark, "order")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("o"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("dh"))
     n = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / stride).cast("bigint")
@@ -139,19 +149,20 @@ def training_records(spark: SparkSession, docs: DataFrame, stride: int = STRIDE,
     once = rows.dropDuplicates(["o", "dh"]) if sizes.where("times > 1").limit(1).count() else rows
     named = once.join(based, (F.col("o") == F.col("ko")) & (F.col("dh") == F.col("kd")))
     named = named.select("doc_id", F.explode(F.sequence(F.col("base"), F.col("base") + (F.col("times") - 1) * F.col("n"), F.col("n"))).alias("base"), "text")
-    records = named.mapInArrow(_cut(total, stride, per_shard, key), "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, payload binary")
-    return records.repartitionByRange("shard").sortWithinPartitions("slot")
+    form = "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, payload binary"
+    records = named.mapInArrow(_cut(total, stride, per_shard, key), form)
+    return records.repartition(F.col("shard")).sortWithinPartitions("slot").mapInArrow(_expand(stride), form)
 
 
 def _with_place(per_shard):
-    """Assemble the shards of a range partition; each record gets its offset and its shard's bytes are checked."""
+    """Place and checksum of each record, in the order in which a shard is written."""
 
     def run(batches):
-        last = None
+        last = -1
         for batch in batches:
             slots, payloads = batch.column(0).to_pylist(), batch.column(5).to_pylist()
             for s in slots:
-                if last is not None and s <= last:
+                if s <= last:
                     raise ValueError("records are out of order")
                 last = s
             place = [s % per_shard * len(p) for s, p in zip(slots, payloads, strict=True)]
