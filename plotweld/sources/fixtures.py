@@ -47,6 +47,12 @@ SELECT k AS point_id, CAST(41 * (k % 50) AS DOUBLE) AS sx, CAST(31 * (k {div} 50
 FROM (SELECT s_suppkey AS k FROM supplier) q""",
     "scored_label": """
 SELECT event_id, least(value / 512, CAST(1 AS DOUBLE)) AS p, CASE WHEN event_id % 7 < 3 THEN 1 ELSE 0 END AS y FROM events WHERE value IS NOT NULL""",
+    "truth_box": """
+SELECT concat('T-', k) AS parcel_id, CAST(x0 AS DOUBLE) AS xmin, CAST(y0 AS DOUBLE) AS ymin, CAST(x0 + 40 AS DOUBLE) AS xmax, CAST(y0 + 30 AS DOUBLE) AS ymax
+FROM (SELECT c_custkey AS k, 500000 + 41 * (c_custkey % 50) AS x0, 3000000 + 31 * (c_custkey {div} 50) AS y0 FROM customer) q""",
+    "legacy_box": """
+SELECT concat('L-', k) AS parcel_id, x0 AS xmin, y0 AS ymin, x0 + 40 AS xmax, y0 + 30 AS ymax
+FROM (SELECT c_custkey AS k, 500001 + 41 * (c_custkey % 50) + ((7 * c_custkey) % 17 - 8) / 16 AS x0, 2999999 + 31 * (c_custkey {div} 50) + ((11 * c_custkey) % 13 - 6) / 16 AS y0 FROM customer) q""",
 }
 TABLES = ("customer", "orders", "part", "supplier", "events")
 
