@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat or all but repeat an earlier line go; a document left without words goes."""
-    out = line_dedup.line_dedup(spark, docs)
+    """Lines of any length that repeat or all but repeat an earlier line go; a document left without words goes."""
+    out = line_dedup.line_dedup(spark, docs, min_chars=1)
     emptied = (F.col("__lines.n_dropped") > 0) & (F.length(F.trim("text")) == 0)
     return out.where(~F.coalesce(emptied, F.lit(False))).drop("__lines")
 

@@ -2,7 +2,8 @@
 
 A line goes if it repeats an earlier one exactly, or if an earlier line lies within one edit of
 it (insertion, deletion or substitution of a character). Earlier is by doc_id, then line number.
-Lines of fewer than MIN_CHARS characters (blank lines, headings, marks) are never compared.
+Lines of fewer than `min_chars` characters are never compared: MIN_CHARS by default, as in the SQL of the query;
+1 compares every line that is not blank, exactly and by edits.
 
 All one-character deletion variants of all lines would be as many keys as the corpus has characters, so two
 exact filters come first; neither loses a pair within one edit:
@@ -35,9 +36,9 @@ GRID = [m * 2**k // 2 for k in range(2, 26) for m in (2, 3)]
 
 
 def _grid(half: Column) -> Column:
-    """The largest value 2**k or 1.5 * 2**k that is at most `half` (at least 4)."""
+    """The largest value 2**k or 1.5 * 2**k that is at most `half`; 0 for 0."""
     power = F.pow(F.lit(2.0), F.floor(F.log2(half.cast("double")))).cast("int")
-    return F.when(half >= power + F.floor(power / 2), power + F.floor(power / 2)).otherwise(power).cast("int")
+    return F.when(half < 1, 0).when(half >= power + F.floor(power / 2), power + F.floor(power / 2)).otherwise(power).cast("int")
 
 
 def _halves(line: Column, n: Column, shorter: Column) -> tuple[Column, Column]:
@@ -54,7 +55,7 @@ def line_occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int
     base = docs.where(F.col(text_col).isNotNull()).select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("o"), F.xxhash64(text_col).alias("dh"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line")
     )
-    lines = base.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+    lines = base.withColumn("n", F.length("line")).where((F.col("n") >= min_chars) & ((F.col("n") >= MIN_CHARS) | F.col("line").rlike(r"\S")))
     line, n = F.col("line"), F.col("n")
     a, b = _halves(line, n, n), _halves(line, n, n - 1)
     return lines.select("o", "dh", "pos", F.xxhash64("line").alias("h"), "n", F.array_distinct(F.array(*a, *b)).alias("halves"))
@@ -62,7 +63,7 @@ def line_occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int
 
 def dropped_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(o, dh, drops): for each document that loses lines, their numbers from 0."""
-    min_chars = max(10, min_chars)
+    min_chars = max(1, min_chars)
     box = Scratch(spark, "lines")
     seen = box.save(line_occurrences(docs, id_col, text_col, min_chars))
     first = F.struct("o", "pos", "dh")

@@ -127,6 +127,26 @@ def test_line_dedup(spark):
     assert got == {i: "\n".join(x for p, x in enumerate(t.split("\n")) if len(x) < 20 or (x not in gone and first[x] == (i, p))) for i, t in rows}
 
 
+def test_line_dedup_of_short_lines(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = [(i, "\n".join("".join(rng.choice("abcdefghé ") for _ in range(rng.choice((0, 1, 2, 3, 5, 8, 12, 19, 24)))) for _ in range(6))) for i in range(30)]
+    rows += [(100 + i, f"Les.\nWh the.\n \n\nshort heading{'.' * (i % 2)}\nown line of {i * 7919 * 104729}") for i in range(8)]
+    rows += [(200, " " * 25), (201, "x1\n" + " " * 25)]
+    first = {}
+    for i, t in rows:
+        for p, line in enumerate(t.split("\n")):
+            if line.strip() or len(line) >= 20:
+                first.setdefault(line, (i, p))
+    gone = {a for a in first if any(first[b] < first[a] and one_edit(a, b) for b in first)}
+    want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if x not in first or (x not in gone and first[x] == (i, p))) for i, t in rows}
+    assert any(len(x) < 10 for x in gone) and any(10 <= len(x) < 20 for x in gone)
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(spark, documents(spark, rows), min_chars=1).collect()} == want
+    staged = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, documents(spark, rows), DATA).collect()}
+    assert staged == {i: t for i, t in want.items() if t.strip(" ") or t == dict(rows)[i]}
+
+
 def test_mixing(spark):
     assert mixing.water_fill([10, 100], [3, 1], 165, 2) == [20, 145]
     rng = random.Random(1)
