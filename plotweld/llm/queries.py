@@ -20,8 +20,9 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_near_dedup(spark, table(spark, sf_dir, "embeddings"))
 
 
-def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.placed_records(training_order.training_records(spark, table(spark, sf_dir, "documents")))
+def op3_training_order(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    encoder = sentencepieces.PieceEncoder(spark, f"{tokenizers}/{sentencepieces.MODEL}")
+    return training_order.written_records(spark, training_order.training_records(spark, table(spark, sf_dir, "documents"), encoder=encoder))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,6 +276,36 @@ def sample_encode(spark: SparkSession, docs: DataFrame, model_path: str, alpha:
     return rows.mapInArrow(_encode(shared, seed), "doc_id bigint, ids array<int>, n_pieces bigint, lossless boolean")
 
 
+def _encode_ids(shared, seed):
+    def run(batches):
+        pieces = _held(shared)
+        for batch in batches:
+            keys = np.array([0 if k is None else k for k in batch.column(0).to_pylist()], np.int64).view(U64)
+            for row, raw, offs in text_chunks(batch.column(1), BLOCK_BYTES):
+                n = len(offs) - 1
+                ids, counts = sample_rows(pieces, raw, offs, keys[row : row + n], seed)
+                cut = np.r_[0, np.cumsum(2 * counts)].astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cut), pa.py_buffer(ids.astype(np.uint16))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), packed, *(c.slice(row, n) for c in batch.columns[2:])], batch.schema.names)
+
+    return run
+
+
+class PieceEncoder:
+    """16-bit piece ids for training_order; two ids above the table end a document and pad."""
+
+    def __init__(self, spark: SparkSession, model_path: str, alpha: float = 1.0, seed: int = 11):
+        parts = _parts(model_path, alpha)
+        size = max(*(i for _, i, _ in parts[0]), *parts[1]) + 1
+        if size > 65_534:
+            raise ValueError("the piece table does not fit 16 bits")
+        self.shared, self.seed, self.end, self.pad = spark.sparkContext.broadcast(parts), seed, size, size + 1
+
+    def encode(self, rows: DataFrame) -> DataFrame:
+        """Rows of doc_id, text, o, dh with the ids of `text` as bytes in its place."""
+        return rows.select("doc_id", "text", "o", "dh").mapInArrow(_encode_ids(self.shared, self.seed), "doc_id bigint, text binary, o bigint, dh bigint")
+
+
 def _decode(shared):
     def run(batches):
         pieces = _held(shared)

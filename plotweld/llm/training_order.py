@@ -4,11 +4,11 @@ Every document becomes sequences of STRIDE token ids (its last one padded). Sequ
 numbered 0 .. N-1 by document order; a keyed Feistel permutation of the next power of four, walked
 along its cycle until it lands below N, turns the number into a global slot: a bijection that
 needs no shuffle buffer, no sort key and no state. A shard is a range of
-PER_SHARD slots and is assembled whole in one task, in slot order, without sampling the range; a record's place is slot mod PER_SHARD times the record size, so a reader resumes at
+PER_SHARD slots; a task holds a range of whole shards, in slot order, without sampling the range; a record's place is slot mod PER_SHARD times the record size, so a reader resumes at
 any slot by one seek.
 
-Token ids are UTF-8 bytes (0 to 255), 256 ends a document and 257 pads. Records travel as the bytes
-they hold; end mark, padding and 16-bit ids are added where a shard is assembled.
+Without an encoder token ids are UTF-8 bytes (0 to 255), 256 ends a document and 257 pads; an encoder gives 16-bit ids
+and marks of its own. Records travel as the tokens they hold; end mark, padding and 16-bit ids are added where a shard is assembled.
 
 Null text is an empty document: one sequence with its end mark only. Documents are numbered by
 (doc_id, hash of text), null ids last; repeated rows are numbered one after the other. An empty table
@@ -80,19 +80,19 @@ def unfeistel(y: np.ndarray, n: int, key: int) -> np.ndarray:
     return y.astype(np.int64)
 
 
-def _cut(total: int, stride: int, per_shard: int, key: int):
-    """A document's sequences: slot, shard, doc_id, seq, n_tokens and the bytes they hold."""
+def _cut(total: int, stride: int, per_shard: int, key: int, width: int):
+    """A document's sequences: slot, shard, doc_id, seq, n_tokens and the tokens they hold, `width` bytes each."""
 
     def run(batches):
         for batch in batches:
             held, size = [], 0
             for i, base, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                n = -(-(len(raw) + 1) // stride)
+                n = -(-(len(raw) // width + 1) // stride)
                 slots = feistel(np.arange(base, base + n), total, key).tolist()
                 for k in range(n):
-                    part = raw[k * stride : (k + 1) * stride]
-                    held.append((slots[k], i, k, len(part) + (k == n - 1), part))
+                    part = raw[k * stride * width : (k + 1) * stride * width]
+                    held.append((slots[k], i, k, len(part) // width + (k == n - 1), part))
                 size += len(raw)
                 if size > 4_000_000:
                     yield _records(held, per_shard)
@@ -108,7 +108,7 @@ def _records(held, per_shard):
     return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array([s // per_shard for s in slot], pa.int64()), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array(payload, pa.binary())], ["slot", "shard", "doc_id", "seq", "n_tokens", "payload"])
 
 
-def _expand(stride: int):
+def _expand(stride: int, width: int, end: int, pad: int):
     """Records of fixed size: ids of 16 bits, the end mark and padding."""
 
     def run(batches):
@@ -117,21 +117,25 @@ def _expand(stride: int):
                 part = batch.slice(at, 1000)
                 out = []
                 for n, raw in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
-                    ids = np.full(stride, PAD, np.uint16)
-                    ids[: len(raw)] = np.frombuffer(raw, np.uint8)
-                    if n > len(raw):
-                        ids[len(raw)] = END
+                    ids = np.full(stride, pad, np.uint16)
+                    held = np.frombuffer(raw, np.uint8 if width == 1 else np.uint16)
+                    ids[: len(held)] = held
+                    if n > len(held):
+                        ids[len(held)] = end
                     out.append(ids.tobytes())
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(out, pa.binary())], part.schema.names)
 
     return run
 
 
-def training_records(spark: SparkSession, docs: DataFrame, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = 2024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """slot, shard, doc_id, seq, n_tokens, payload; shards are whole in a partition and sorted by slot."""
+def training_records(spark: SparkSession, docs: DataFrame, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = 2024, id_col: str = "doc_id", text_col: str = "text", encoder=None) -> DataFrame:
+    """slot, shard, doc_id, seq, n_tokens, payload; a partition is a range of whole shards, sorted by slot."""
     box = Scratch(spark, "order")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("o"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("dh"))
-    n = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / stride).cast("bigint")
+    width, end, pad = (2, encoder.end, encoder.pad) if encoder else (1, END, PAD)
+    if encoder:
+        rows = box.save(encoder.encode(rows))
+    n = F.ceil((F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / width) + 1) / stride).cast("bigint")
     sizes = rows.select("o", "dh", n.alias("n")).groupBy("o", "dh", "n").agg(F.count("*").alias("times"))
     sizes = box.save(sizes.repartitionByRange("o", "dh").withColumn("part", F.spark_partition_id()))
     parts = sorted(sizes.groupBy("part").agg(F.sum(F.col("n") * F.col("times"))).collect())
@@ -150,30 +154,11 @@ def training_records(spark: SparkSession, docs: DataFrame, stride: int = STRIDE,
     named = once.join(based, (F.col("o") == F.col("ko")) & (F.col("dh") == F.col("kd")))
     named = named.select("doc_id", F.explode(F.sequence(F.col("base"), F.col("base") + (F.col("times") - 1) * F.col("n"), F.col("n"))).alias("base"), "text")
     form = "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, payload binary"
-    records = named.mapInArrow(_cut(total, stride, per_shard, key), form)
-    return records.repartition(F.col("shard")).sortWithinPartitions("slot").mapInArrow(_expand(stride), form)
-
-
-def _with_place(per_shard):
-    """Place and checksum of each record, in the order in which a shard is written."""
-
-    def run(batches):
-        last = -1
-        for batch in batches:
-            slots, payloads = batch.column(0).to_pylist(), batch.column(5).to_pylist()
-            for s in slots:
-                if s <= last:
-                    raise ValueError("records are out of order")
-                last = s
-            place = [s % per_shard * len(p) for s, p in zip(slots, payloads, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(place, pa.int64()), pa.array([zlib.crc32(p) for p in payloads], pa.int64())], ["slot", "shard", "doc_id", "seq", "n_tokens", "byte_offset", "crc32"])
-
-    return run
-
-
-def placed_records(records: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
-    """The records without payload: place in the shard and checksum."""
-    return records.mapInArrow(_with_place(per_shard), "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, byte_offset bigint, crc32 bigint")
+    records = named.mapInArrow(_cut(total, stride, per_shard, key, width), form)
+    shards = -(-total // per_shard)
+    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = records.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
+    return dealt.sortWithinPartitions("slot").mapInArrow(_expand(stride, width, end, pad), form)
 
 
 def _writer(folder: str):
@@ -185,23 +170,27 @@ def _writer(folder: str):
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        open_shard, sink, count, temporary = None, None, 0, ""
+        open_shard, sink, held, last, temporary = None, None, [], -1, ""
 
         def close():
             sink.close()
             store.move(temporary, f"{root}/shard-{open_shard:08d}.bin")
-            return pa.RecordBatch.from_arrays([pa.array([open_shard], pa.int64()), pa.array([count], pa.int64())], ["shard", "records"])
+            columns = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["slot", "shard", "doc_id", "seq", "n_tokens", "byte_offset", "bytes"])
 
         for batch in batches:
-            for shard, payload in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            for slot, shard, doc, seq, n, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if slot <= last:
+                    raise ValueError("records are out of order")
+                last = slot
                 if shard != open_shard:
                     if sink:
                         yield close()
-                    open_shard, count = shard, 0
+                    open_shard, held = shard, []
                     temporary = f"{root}/_{shard:08d}-{os.getpid()}-{uuid.uuid4().hex}"
                     sink = store.open_output_stream(temporary)
+                held.append((slot, shard, doc, seq, n, sink.tell(), len(payload)))
                 sink.write(payload)
-                count += 1
         if sink:
             yield close()
 
@@ -209,5 +198,39 @@ def _writer(folder: str):
 
 
 def write_shards(records: DataFrame, folder: str) -> DataFrame:
-    """Write shard-NNNNNNNN.bin files to a folder given as URI; a retried task renames over its shard."""
-    return records.mapInArrow(_writer(folder), "shard bigint, records bigint")
+    """Write shard-NNNNNNNN.bin files to a folder given as URI and tell where each record lies; a retried task renames over its shard."""
+    return records.mapInArrow(_writer(folder), "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, byte_offset bigint, bytes bigint")
+
+
+def _reader(folder: str):
+    """Checksums of the records as they lie in the shards."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        open_shard, source = None, None
+        for batch in batches:
+            sums = []
+            for shard, at, size in zip(*(batch.column(k).to_pylist() for k in (1, 5, 6)), strict=True):
+                if shard != open_shard:
+                    if source:
+                        source.close()
+                    open_shard, source = shard, store.open_input_file(f"{root}/shard-{shard:08d}.bin")
+                raw = source.read_at(size, at)
+                if len(raw) != size:
+                    raise ValueError(f"shard {shard} ends early")
+                sums.append(zlib.crc32(raw))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sums, pa.int64())], ["slot", "shard", "doc_id", "seq", "n_tokens", "byte_offset", "crc32"])
+        if source:
+            source.close()
+
+    return run
+
+
+def written_records(spark: SparkSession, records: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write the shards, by default to the shared folder; the records without payload, read back: place in the shard and checksum."""
+    box = Scratch(spark, "shards")
+    folder = folder or f"{box.base}/bin"
+    placed = box.save(write_shards(records, folder))
+    return placed.mapInArrow(_reader(folder), "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, byte_offset bigint, crc32 bigint")

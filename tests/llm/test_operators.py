@@ -1,7 +1,9 @@
 import collections
 import hashlib
+import pathlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -225,6 +227,30 @@ def test_training_order(spark, tmp_path):
     assert raw[at : at + 128] == r.payload
 
 
+def test_training_order_writes_shards(spark, tmp_path):
+    encoder = sentencepieces.PieceEncoder(spark, MODEL)
+    records = training_order.training_records(spark, documents(spark, ODD), stride=64, per_shard=50, encoder=encoder)
+    held = records.groupBy(F.spark_partition_id().alias("p")).agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).orderBy("p").collect()
+    assert len(held) > 2 and all(h.b - h.a + 1 == h.n for h in held) and all(x.b + 1 == y.a for x, y in zip(held[:-1], held[1:], strict=True))
+    folder = tmp_path / "shards"
+    rows = training_order.written_records(spark, records, folder.as_uri()).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    ids = {}
+    for r in rows:
+        raw = (folder / f"shard-{r.shard:08d}.bin").read_bytes()[r.byte_offset : r.byte_offset + 128]
+        assert r.byte_offset == r.slot % 50 * 128 and r.crc32 == zlib.crc32(raw)
+        ids[r.doc_id, r.seq] = np.frombuffer(raw, np.uint16)[: r.n_tokens]
+    pieces = sentencepieces.load_pieces(MODEL, 1.0)
+    for i in (1, 2, 3, 4, 6, 7, 8):
+        all_ids = np.concatenate([ids[i, k] for k in range(sum(d == i for d, _ in ids))]).astype(np.int64)
+        assert all_ids[-1] == encoder.end and sentencepieces.decode_rows(pieces, all_ids[:-1]).tobytes().decode() == (dict(ODD)[i] or "")
+    out = queries.op3_training_order(spark, DATA)
+    assert out.columns == ["slot", "shard", "doc_id", "seq", "n_tokens", "byte_offset", "crc32"]
+    root = common.scratch_root(spark).removeprefix("file://")
+    size = sum(p.stat().st_size for p in pathlib.Path(root).rglob("shard-*.bin"))
+    assert size >= out.count() * training_order.STRIDE * 2
+
+
 def test_pieces(spark):
     out = sentencepieces.sample_encode(spark, documents(spark, ODD), MODEL)
     rows = out.collect()
