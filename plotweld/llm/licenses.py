@@ -1,13 +1,12 @@
-"""License scan: winnowed fingerprints pick candidates, banded alignment measures the match.
+"""License scan: shared template words pick candidates, alignment measures the match.
 
-Texts and templates become alphanumeric words in lower case. Hashes of K words in a row are
-winnowed with a window of WINDOW: a shared run of K + WINDOW - 1 = 5 words always shares a
-fingerprint, whatever stands around it. The inverted index of the templates' fingerprints is
-bounded by the list of templates. Each hit proposes a place for its template; hits that agree
-on the place within the band are aligned once, with words as symbols, within BAND words of the
-diagonal. A match is reported where the aligned share of the template's words reaches COVERAGE.
+Texts and templates become alphanumeric words in lower case. A template of L words matches where at
+least COVERAGE of them stand in order within L + 2 * BAND words of the text. Such a place holds at least that
+many of the template's words, so the inverted index of the templates' words and a count over that span find every
+place that can match. From each, words are aligned as symbols (longest common subsequence). Of the
+matches of a template that overlap, those with more words stay, then the shorter, then the earlier.
 
-Null, empty and short texts match nothing. Rows are independent of each other.
+Null and empty texts match nothing. Rows are independent of each other.
 """
 
 from __future__ import annotations
@@ -18,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .textkernel import U64, mix, text_chunks
+from .textkernel import U64, text_chunks
 
-K, WINDOW, BAND, COVERAGE = 3, 3, 8, 0.8
+BAND, COVERAGE = 8, 0.8
 #: Fixed notices: name and text.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -38,42 +37,19 @@ PLAIN = np.ones(256, bool)
 PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the winnowed K-grams of a sequence of word hashes."""
-    m = len(words) - K + 1
-    if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    grams = np.zeros(m, U64)
-    for k in range(K):
-        grams += words[k : k + m] * U64(pow(tk.BASE, 2 * k + 5, 1 << 64))
-    grams = mix(grams)
-    if m <= WINDOW:
-        at = np.flatnonzero(grams == grams.min())[-1:]
-        return at, grams[at]
-    views = np.lib.stride_tricks.sliding_window_view(grams[::-1], WINDOW)[::-1]
-    at = np.unique(np.arange(len(views)) + WINDOW - 1 - views.argmin(1))
-    return at, grams[at]
-
-
-def banded(template: np.ndarray, words: np.ndarray, place: int, band: int) -> tuple[int, int, int]:
-    """Longest common subsequence within `band` of the diagonal at `place`: matches, first, last word."""
-    lo, hi = max(0, place - band), min(len(words), place + len(template) + band)
-    row = {place - band + d - 1: (0, -1, -1) for d in range(2 * band + 2)}
-    for i, t in enumerate(template):
-        new, left = {}, (0, -1, -1)
-        for j in range(max(lo, place + i - band), min(hi, place + i + band + 1)):
-            best = max(row.get(j, (0, -1, -1)), left, key=lambda c: c[0])
-            if words[j] == t:
-                n, first, _ = row.get(j - 1, (0, -1, -1))
-                if n + 1 > best[0]:
-                    best = (n + 1, j if first < 0 else first, j)
-            new[j] = left = best
-        new[max(lo, place + i - band) - 1] = row.get(max(lo, place + i - band) - 1, (0, -1, -1))
-        for j, cell in row.items():
-            if j not in new and j < place + i + band + 1:
-                new[j] = cell
-        row = new
-    return max(row.values(), key=lambda c: c[0])
+def aligned(template: list[int], words: list[int]):
+    """Lengths of the longest common subsequence of the template and the first words of `words`: each new length and the word that gives it."""
+    held, best = set(template), 0
+    row = [0] * (len(template) + 1)
+    for j, w in enumerate(words):
+        if w in held:
+            new = [0]
+            for t, v in enumerate(template):
+                new.append(row[t] + 1 if v == w else max(row[t + 1], new[t]))
+            row = new
+            if row[-1] > best:
+                best = row[-1]
+                yield best, j
 
 
 def _word_hashes(raw: np.ndarray, offs: np.ndarray):
@@ -86,57 +62,62 @@ def _word_hashes(raw: np.ndarray, offs: np.ndarray):
 
 
 def template_index(templates):
-    """Word hashes of each template, and fingerprint -> (template, position) as sorted arrays."""
-    words, fps, owner, at = [], [], [], []
-    for n, (_, text) in enumerate(templates):
+    """Word hashes of each template, the sorted words of all, and for each template which of these it holds."""
+    words = []
+    for _, text in templates:
         raw = np.frombuffer(text.encode(), np.uint8)
-        w = _word_hashes(raw, np.array([0, len(raw)]))[3]
-        p, f = fingerprints(w)
-        words.append(w)
-        fps.append(f)
-        owner.append(np.full(len(p), n))
-        at.append(p)
-    fp, owner, at = np.concatenate(fps), np.concatenate(owner), np.concatenate(at)
-    order = np.argsort(fp, kind="stable")
-    return words, fp[order], owner[order], at[order]
+        words.append(_word_hashes(raw, np.array([0, len(raw)]))[3])
+    index = np.unique(np.concatenate([np.zeros(0, U64), *words]))
+    return words, index, [np.isin(index, w) for w in words]
 
 
 def _scan(templates, coverage):
-    words, index, owner, at = template_index(templates)
+    words, index, holds = template_index(templates)
+    lists = [w.tolist() for w in words]
+    least = [max(1, int(np.ceil(coverage * len(w) - 1e-9))) for w in words]
     match = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))
 
-    def find(w, s, e, raw):
-        p, f = fingerprints(w)
-        a, b = np.searchsorted(index, f, "left"), np.searchsorted(index, f, "right")
-        places: dict[tuple[int, int], None] = {}
-        for k in np.flatnonzero(a < b):
-            for x in range(a[k], b[k]):
-                places[int(owner[x]), int(p[k] - at[x])] = None
-        done: list[tuple[int, int]] = []
-        found = {}
-        for n, place in sorted(places):
-            if done and done[-1][0] == n and place - done[-1][1] <= BAND:
+    def spans(w, first):
+        """(document, template, first word, last word, hits) of a chunk's matches."""
+        if not len(index) or not len(w):
+            return
+        at = np.minimum(np.searchsorted(index, w), len(index) - 1)
+        known = np.flatnonzero(index[at] == w)
+        at = at[known]
+        for n, template in enumerate(lists):
+            if not template:
                 continue
-            done.append((n, place))
-            hits, first, last = banded(words[n], w, place, BAND)
-            share = hits / len(words[n])
-            if share >= coverage:
-                name = templates[n][0]
-                start = len(raw[: s[first]].tobytes().decode(errors="ignore"))
-                end = start + len(raw[s[first] : e[last]].tobytes().decode(errors="ignore"))
-                key = (name, start)
-                if key not in found or found[key][3] < share:
-                    found[key] = (name, start, end, round(share, 4))
-        return [dict(zip(("license", "start", "end", "coverage"), v, strict=True)) for v in sorted(found.values(), key=lambda v: (v[1], v[0]))]
+            reach, need = len(template) + 2 * BAND, least[n]
+            mine = known[holds[n][at]]
+            if len(mine) < need:
+                continue
+            # Starts with enough of the template's words within reach, in one document.
+            begin, finish = mine[: len(mine) - need + 1], mine[need - 1 :]
+            doc = np.searchsorted(first, begin, "right") - 1
+            good = (finish - begin < reach) & (finish < first[doc + 1])
+            found = []
+            for s, d in zip(begin[good].tolist(), doc[good].tolist(), strict=True):
+                found += [(-hits, last, s, d) for hits, last in aligned(template, w[s : min(s + reach, first[d + 1])].tolist()) if hits >= need]
+            taken: set[int] = set()
+            for lost, last, s, d in sorted(found):
+                if taken.isdisjoint(range(s, s + last + 1)):
+                    taken.update(range(s, s + last + 1))
+                    yield d, n, s, s + last, -lost
 
     def run(batches):
         for batch in batches:
             out = []
             for _, raw, offs in text_chunks(batch.column(1)):
                 s, e, first, w = _word_hashes(raw, offs)
-                for k in range(len(offs) - 1):
-                    x, y = first[k], first[k + 1]
-                    out.append(find(w[x:y], s[x:y] - offs[k], e[x:y] - offs[k], raw[offs[k] : offs[k + 1]]) if y - x >= K else [])
+                found: list[dict] = [{} for _ in range(len(offs) - 1)]
+                for d, n, a, b, hits in spans(w, np.asarray(first)):
+                    name, share = templates[n][0], hits / len(lists[n])
+                    start = len(raw[offs[d] : s[a]].tobytes().decode(errors="ignore"))
+                    end = start + len(raw[s[a] : e[b]].tobytes().decode(errors="ignore"))
+                    key = (name, start)
+                    if key not in found[d] or found[d][key][3] < share:
+                        found[d][key] = (name, start, end, round(share, 4))
+                out += [[dict(zip(("license", "start", "end", "coverage"), v, strict=True)) for v in sorted(f.values(), key=lambda v: (v[1], v[0]))] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, match)], ["doc_id", "matches"])
 
     return run

@@ -191,6 +191,26 @@ def test_licenses(spark):
     assert got == {1: [("MIT", 4, 34)], 2: [("Apache-2.0", 0, 46)], 3: [], 4: [], 5: []}
 
 
+def test_licenses_with_any_edits(spark):
+    plain = {}
+    for name, text in licenses.TEMPLATES:
+        words = re.findall(r"[^\W_]+", text)
+        may = len(words) // 5
+        for k in range(len(words)):
+            changed = [f"zz{i}" if may and i % -(-len(words) // may) == k % -(-len(words) // may) else w for i, w in enumerate(words)]
+            lost = sum(a != b for a, b in zip(words, changed, strict=True))
+            if lost <= may:
+                plain[len(plain)] = (name, round(1 - lost / len(words), 4), "intro " + " ".join(changed) + " outro")
+    mit, apache = licenses.TEMPLATES[2][1], licenses.TEMPLATES[0][1]
+    rows = [(i, t) for i, (_, _, t) in plain.items()] + [(1000, f"{mit} {mit}\n{mit}"), (1001, f"{apache} {apache}"), (1002, "Released under an MIT License. " + mit), (1003, "under the"), (1004, "Released under the"), (1005, "MIT License")]
+    got = {r.doc_id: [(m.license, m.start, m.end, m.coverage) for m in r.matches] for r in licenses.license_scan(spark, documents(spark, rows)).collect()}
+    assert all((name, share) in {(m[0], m[3]) for m in got[i]} for i, (name, share, _) in plain.items())
+    assert got[1000] == [("MIT", k, k + 30, 1.0) for k in (0, 32, 64)]
+    assert [m[:3] for m in got[1001]] == [("Apache-2.0", 0, 46), ("Apache-2.0", 48, 94)]
+    assert got[1002] == [("MIT", 0, 29, 0.8), ("MIT", 31, 61, 1.0)]
+    assert not got[1003] and not got[1004] and not got[1005]
+
+
 def test_secrets(spark):
     rows = [*ODD, (20, "deadbeef" * 300 + " zz " + "0123456789abcdef" * 3), (21, "password=ab api_key=q token=token:abcdefgh PASSWORD : \"a.b=c-d\""), (22, "k9Xw2LmQ7vRt4ZpB8nYc3HsD")]
     found = secrets.secret_scan(spark, documents(spark, rows)).select("doc_id", "n_assign", "n_access", "n_hex", secrets.joined(F.col("base")).alias("base"), secrets.joined(F.col("added")).alias("added")).collect()
