@@ -3,8 +3,9 @@
 Learning uses at most SAMPLE_ROWS labelled rows, picked by a hash of doc_id. Terms (whole words,
 and stems: the first STEM letters of a word, any ending) are counted over that sample in the cluster and
 kept where toxic texts hold them far more often than others. The trie of the kept terms is intersected with
-the Levenshtein automaton of a text's word (of those that share a form less one letter with a term): rows of the edit-distance table are carried down the trie and a branch
-is left when its row passes the bound, so one walk finds all terms within one edit.
+the Levenshtein automaton of a text's word (of those that share a form less a letter or two with a term): rows of the edit-distance table are carried down the trie and a branch
+is left when its row passes the bound, so one walk finds all terms within it. Terms of FUZZY_LETTERS letters allow one
+edit, of TWO_EDITS two; from SWAP_LETTERS on a swap of neighbours is one edit. A stem is near where a prefix of the word is.
 
 A hit counts less where its window shows quotation: inside quotation marks that close within
 WINDOW characters, or near a reporting word. Scores are a logistic function of the hits' weights,
@@ -32,7 +33,7 @@ STEM = (3, 4, 5, 6, 7, 8)
 LEAST_POSITIVE = 4
 LEAST_RATIO = 20.0
 MAX_TERMS = 4_000
-FUZZY_LETTERS = 5
+FUZZY_LETTERS, SWAP_LETTERS, TWO_EDITS = 5, 6, 9
 WINDOW = 120
 CACHE = 400_000
 WORDS = re.compile(r"\w+")
@@ -41,23 +42,44 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 REPORTING = frozenset("said says wrote writes quoted quote called word term sagte schrieb zitat wort dit écrit mot terme citation dijo escribió palabra cita".split())
 
 
+def bound(letters: int) -> int:
+    """Edits that a term of so many letters allows."""
+    return 0 if letters < FUZZY_LETTERS else 1 if letters < TWO_EDITS else 2
+
+
+def shorter(word: str, edits: int) -> set[str]:
+    """The word, and the word less up to so many letters."""
+    out = last = {word}
+    for _ in range(edits):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class LexiconTrie:
     """Terms by letter; `*` after a term lets any ending follow."""
 
     def __init__(self, terms: dict[str, float]):
         self.root: dict = {}
-        self.forms: set[str] = set()
-        self.lengths = (1 << 30, 0)
+        #: Terms less letters, by the edits allowed: whole terms, and stems by the length of their forms.
+        self.forms: dict[int, set[str]] = {1: set(), 2: set()}
+        self.stems: dict[int, dict[int, set[str]]] = {1: {}, 2: {}}
+        self.longest = {1: 0, 2: 0}
         for term, weight in terms.items():
             word, open_end = term.rstrip("*"), term.endswith("*")
             node = self.root
             for c in word:
                 node = node.setdefault(c, {})
             node["*" if open_end else ""] = max(weight, node.get("*" if open_end else "", 0.0))
-            if not open_end and len(word) >= FUZZY_LETTERS:
-                self.forms.add(word)
-                self.forms.update(word[:i] + word[i + 1 :] for i in range(len(word)))
-                self.lengths = min(self.lengths[0], len(word) - 1), max(self.lengths[1], len(word) + 1)
+            edits = bound(len(word))
+            if edits:
+                for form in shorter(word, edits):
+                    if open_end:
+                        self.stems[edits].setdefault(len(form), set()).add(form)
+                    else:
+                        self.forms[edits].add(form)
+                if not open_end:
+                    self.longest[edits] = max(self.longest[edits], len(word) + edits)
 
     def exact(self, word: str) -> float:
         node, best = self.root, 0.0
@@ -69,33 +91,50 @@ class LexiconTrie:
         return max(best, node.get("", 0.0))
 
     def may_be_near(self, word: str) -> bool:
-        """Words one edit apart share a form: the word, or the word less one letter."""
-        if not self.lengths[0] <= len(word) <= self.lengths[1]:
-            return False
-        forms = self.forms
-        if word in forms:
-            return True
-        for i in range(len(word)):
-            if word[:i] + word[i + 1 :] in forms:
+        """Strings within k edits, also of neighbours swapped, share a form: either less up to k letters. For stems a prefix of the word does."""
+        n = len(word)
+        for edits in (1, 2):
+            whole, stems = self.forms[edits], self.stems[edits]
+            if edits == 2 and n < TWO_EDITS - 2:
+                break
+            if whole and n <= self.longest[edits] and not whole.isdisjoint(shorter(word, edits)):
                 return True
+            if stems:
+                # A prefix less up to k letters is the start of the word less up to k letters.
+                for form in shorter(word[: max(stems) + edits], edits):
+                    for size, held in stems.items():
+                        if size <= len(form) and form[:size] in held:
+                            return True
         return False
 
     def near(self, word: str) -> float:
-        """The heaviest whole term within one edit of `word`, by automaton and trie together."""
-        best = 0.0
-        stack = [(self.root, list(range(len(word) + 1)), 0)]
+        """The heaviest term near `word`, or stem near a prefix of it, by automaton (with swapped neighbours) and trie together."""
+        best, most = 0.0, 2 if self.forms[2] or self.stems[2] else 1
+        start = list(range(len(word) + 1))
+        stack = [(self.root, start, start, None, "", 0)]
         while stack:
-            node, row, depth = stack.pop()
-            if depth >= FUZZY_LETTERS and row[-1] <= 1 and "" in node:
-                best = max(best, node[""])
+            node, row, plain, before, last, depth = stack.pop()
+            edits = bound(depth)
+            if edits:
+                # Below SWAP_LETTERS a swap of neighbours counts as two edits.
+                cost = row if depth >= SWAP_LETTERS else plain
+                if "" in node and cost[-1] <= edits:
+                    best = max(best, node[""])
+                if "*" in node and min(cost) <= edits:
+                    best = max(best, node["*"])
             for c, child in node.items():
                 if len(c) != 1 or c == "*":
                     continue
-                new = [row[0] + 1]
+                new, flat = [row[0] + 1], [plain[0] + 1]
                 for j, w in enumerate(word, 1):
-                    new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (w != c)))
-                if min(new) <= 1:
-                    stack.append((child, new, depth + 1))
+                    d = min(new[-1] + 1, row[j] + 1, row[j - 1] + (w != c))
+                    if before and j > 1 and w == last and word[j - 2] == c:
+                        d = min(d, before[j - 2] + 1)
+                    new.append(d)
+                    if depth + 1 < SWAP_LETTERS:
+                        flat.append(min(flat[-1] + 1, plain[j] + 1, plain[j - 1] + (w != c)))
+                if min(new) <= most or min(row) < most:
+                    stack.append((child, new, flat if depth + 1 < SWAP_LETTERS else new, row, c, depth + 1))
         return best
 
     def weigh(self, word: str) -> tuple[float, bool]:
@@ -218,7 +257,8 @@ def learn(spark: SparkSession, labelled: DataFrame, sample_rows: int = SAMPLE_RO
                 reach[t[:k] + "*"] = max(n, reach.get(t[:k] + "*", 0))
     terms = {r.term: math.log(r.ratio) for r in kept if reach.get(r.term, 0) < 0.9 * r.pos}
     stems = {t[:-1] for t in terms if t.endswith("*")}
-    terms = {t: w for t, w in terms.items() if not any(t.rstrip("*")[:n] in stems for n in STEM if n < len(t.rstrip("*")))}
+    # A stem under a shorter one goes; whole terms stay, for their misspellings.
+    terms = {t: w for t, w in terms.items() if not t.endswith("*") or not any(t.rstrip("*")[:n] in stems for n in STEM if n < len(t.rstrip("*")))}
     shared = spark.sparkContext.broadcast(terms)
     rows = part.mapInArrow(_sample_features(shared), "x array<double>, toxic int").collect()
     weights = fit_logistic(np.array([r.x for r in rows]), np.array([float(r.toxic) for r in rows]))

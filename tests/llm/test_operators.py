@@ -185,6 +185,38 @@ def test_toxicity(spark):
     assert toxicity.learn(spark, toxicity.labelled_texts(docs, labels.limit(0)))[0] == {}
 
 
+def test_toxicity_near_stems_and_swaps(spark):
+    trie = toxicity.LexiconTrie({"bomente*": 2.0, "reeux*": 1.5, "degenerate": 3.0, "cretin": 1.0, "scum": 1.0})
+    assert trie.weigh("bomentering") == (2.0, False) and trie.weigh("bom3ntering") == (2.0, True) and trie.weigh("bometnering") == (2.0, True) and trie.weigh("boment") == (2.0, True)
+    assert trie.weigh("reuxish") == (1.5, True) and trie.weigh("degneerat3") == (3.0, True) and trie.weigh("ceretin") == (1.0, True) and trie.weigh("crteni")[0] == 0
+    rng = random.Random(8)
+
+    def edited(a, b):
+        d = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                d[i, j] = max(i, j) if not i or not j else min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if len(a) >= toxicity.SWAP_LETTERS and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d
+
+    terms = {"".join(rng.choice("ab") for _ in range(rng.randint(4, 11))) + rng.choice(["", "*"]): float(k + 1) for k in range(12)}
+    trie = toxicity.LexiconTrie(terms)
+    for _ in range(1500):
+        word, best = "".join(rng.choice("abc") for _ in range(rng.randint(4, 14))), 0.0
+        for t, w in terms.items():
+            a = t.rstrip("*")
+            d = edited(a, word)
+            cost = min(d[len(a), j] for j in range(len(word) + 1)) if t.endswith("*") else d[len(a), len(word)]
+            best = max(best, w) if cost <= toxicity.bound(len(a)) else best
+        if not trie.exact(word):
+            assert trie.weigh(word)[0] == best
+    rows = [(i, " ".join(rng.choice("xyz") * 3 for _ in range(20)) + (f" moron{'abcdefgh'[i // 4 % 8]}" if i % 8 == 0 else " moronic" if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    lexicon = toxicity.learn(spark, toxicity.labelled_texts(documents(spark, rows), labels))[0]
+    assert "moronic" in lexicon and any(t.endswith("*") and "moronic".startswith(t[:-1]) for t in lexicon)
+
+
 def test_licenses(spark):
     rows = [(1, "x y\nReleased under the MIT License.\nz"), (2, "Licensed under the Apache Licence, Version 2.0. ok"), (3, "plain words only here"), (4, None), (5, "")]
     got = {r.doc_id: [(m.license, m.start, m.end) for m in r.matches] for r in licenses.license_scan(spark, documents(spark, rows)).collect()}
