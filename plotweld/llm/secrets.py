@@ -1,7 +1,7 @@
 """Secret scan by fixed patterns and a randomness test battery, in DataFrame operations only.
 
 Base spans are the patterns of `BASE`, leftmost and not overlapping per kind. The battery adds
-spans: candidates are long runs that hold a digit; each gets the narrowest encoding whose
+spans: candidates are all long runs, with digits or without; each gets the narrowest encoding whose
 alphabet holds it, and against "uniform over this alphabet" three tests: chi-squared of the
 symbol counts, runs of the upper and lower half of the alphabet, and lag-one serial correlation
 of the symbol values. A candidate must pass all three (least p-value times three of at least
@@ -34,15 +34,18 @@ BASE = (
 )
 #: The same kinds as quick tests: what a text must hold for any match that passes.
 QUICK = {"assign": BASE[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 #: Fixed alphabets, narrowest first.
 ALPHABETS = (
     ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("lower36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("upper36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),

@@ -257,6 +257,17 @@ def test_secrets(spark):
     assert secrets.least_bins({0: {100: 5, 0: 95}}, 0.001) == {0: 100}
 
 
+def test_secrets_of_letters(spark):
+    rng = random.Random(12)
+    lower, mixed = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = [(i, "see " + "".join(rng.choice(a) for _ in range(n)) + " here") for i, (a, n) in enumerate([(lower, 32), (lower.upper(), 32), (mixed, 40)] * 4)]
+    plain = ["internationalisierung", "incomprehensibilities", "donaudampfschifffahrtsgesellschaft", "getElementsByClassNameFromParent", "anticonstitutionnellement"]
+    rows += [(100 + i, f"the word {w} is plain") for i, w in enumerate(plain)]
+    added = {r.doc_id: [(x["at"], x["end"]) for x in r.added] for r in secrets.secret_scan(spark, documents(spark, rows)).collect()}
+    assert sum(bool(added[i]) for i in range(12)) >= 10
+    assert all(added[i] in ([], [(4, len(t) - 5)]) for i, t in rows if i < 100) and not any(added[i] for i in added if i >= 100)
+
+
 def test_training_order(spark, tmp_path):
     n = 1009
     assert sorted(training_order.feistel(np.arange(n), n, 7)) == list(range(n))
