@@ -1,11 +1,12 @@
-"""Scratch tables in the shared checkpoint folder, and table access."""
+"""Scratch tables in the shared checkpoint folder, table access, and column names that never clash."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_ROOT: dict[str, str] = {}
 
@@ -14,11 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """A column by its very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(name: str, columns) -> str:
+    """`name`, with underscores added until no column is called so (names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only in local mode (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = tempfile.mkdtemp(prefix="plotweld-")

@@ -16,8 +16,8 @@ from .common import Scratch
 BLOCK_EDGES = 1_000_000
 
 
-def union_find(pairs, parent=None) -> dict:
-    """Roots (the smallest member) of every node that occurs in `pairs`."""
+def union_find(pairs, parent=None, flat: bool = True) -> dict:
+    """Roots (the smallest member) of every node that occurs in `pairs`; not `flat`: some ancestor."""
     parent = {} if parent is None else parent
 
     def root(x):
@@ -36,18 +36,28 @@ def union_find(pairs, parent=None) -> dict:
             parent[b] = a
         elif b < a:
             parent[a] = b
-    return {x: root(x) for x in list(parent)}
+    return {x: root(x) for x in list(parent)} if flat else parent
 
 
-def _contract(batches):
-    parent: dict = {}
-    for batch in batches:
-        union_find(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), parent)
-    roots = union_find((), parent)
-    pairs = [(x, r) for x, r in roots.items() if x != r]
-    if pairs:
-        hi, lo = zip(*pairs, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["hi", "lo"])
+def _contract(most: float):
+    """The forest of the partition's edges, let go whenever it holds `most` nodes."""
+
+    def forest(parent):
+        pairs = [(x, r) for x, r in union_find((), parent).items() if x != r]
+        hi, lo = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["hi", "lo"])
+
+    def run(batches):
+        parent: dict = {}
+        for batch in batches:
+            union_find(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), parent, flat=False)
+            if len(parent) >= most:
+                yield forest(parent)
+                parent.clear()
+        if parent:
+            yield forest(parent)
+
+    return run
 
 
 def _labels(stars: DataFrame) -> DataFrame:
@@ -63,11 +73,11 @@ def components(spark: SparkSession, edges: DataFrame, block_edges: int = BLOCK_E
     a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
     pairs = edges.select(a.alias("hi"), b.alias("lo")).where("hi <> lo")
     box = Scratch(spark, "components")
-    e = box.save(pairs.mapInArrow(_contract, "hi bigint, lo bigint"))
+    e = box.save(pairs.mapInArrow(_contract(block_edges), "hi bigint, lo bigint"))
     n = e.count()
     blocks = -(-n // block_edges)
     if blocks <= 1:
-        return _labels(box.save(e.repartition(1).mapInArrow(_contract, "hi bigint, lo bigint")))
+        return _labels(box.save(e.repartition(1).mapInArrow(_contract(float("inf")), "hi bigint, lo bigint")))
     before = None
     while True:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))

@@ -21,8 +21,8 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    encoder = sentencepieces.PieceEncoder(spark, f"{tokenizers}/{sentencepieces.MODEL}")
-    return training_order.written_records(spark, training_order.training_records(spark, table(spark, sf_dir, "documents"), encoder=encoder))
+    encoder = training_order.RankEncoder(spark, f"{tokenizers}/{training_order.VOCABULARY}")
+    return training_order.written_records(spark, training_order.training_records(spark, table(spark, sf_dir, "documents"), encoder=encoder, pack=True))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

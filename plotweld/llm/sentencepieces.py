@@ -18,11 +18,13 @@ rows are segmented alike.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from .common import col
 from .textkernel import BASE, BASE_INVERSE, U64, _powers, mix, text_chunks
 
 MODEL = "piece_bpe_32k.model"
@@ -246,11 +248,18 @@ def _held(shared) -> Pieces:
     return _TABLES[name]
 
 
+def row_keys(ids: pa.Array) -> np.ndarray:
+    """64-bit keys of row ids: whole numbers as they are, others by their text, 0 for null."""
+    if pa.types.is_integer(ids.type):
+        return np.array([0 if k is None else k for k in ids.to_pylist()], np.int64).view(U64)
+    return np.array([0 if k is None else int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), "little") for k in ids.to_pylist()], U64)
+
+
 def _encode(shared, seed):
     def run(batches):
         pieces = _held(shared)
         for batch in batches:
-            keys = np.array([0 if k is None else k for k in batch.column(0).to_pylist()], np.int64).view(U64)
+            keys = row_keys(batch.column(0))
             for row, raw, offs in text_chunks(batch.column(1), BLOCK_BYTES):
                 ids, counts = sample_rows(pieces, raw, offs, keys[row : row + len(offs) - 1], seed)
                 back = decode_rows(pieces, ids)
@@ -270,25 +279,11 @@ def _parts(path: str, alpha: float):
 
 
 def sample_encode(spark: SparkSession, docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, n_pieces, lossless (the ids decode to the very text)."""
+    """doc_id (of any type), ids, n_pieces, lossless (the ids decode to the very text); other columns are left out."""
     shared = spark.sparkContext.broadcast(_parts(model_path, alpha))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(shared, seed), "doc_id bigint, ids array<int>, n_pieces bigint, lossless boolean")
-
-
-def _encode_ids(shared, seed):
-    def run(batches):
-        pieces = _held(shared)
-        for batch in batches:
-            keys = np.array([0 if k is None else k for k in batch.column(0).to_pylist()], np.int64).view(U64)
-            for row, raw, offs in text_chunks(batch.column(1), BLOCK_BYTES):
-                n = len(offs) - 1
-                ids, counts = sample_rows(pieces, raw, offs, keys[row : row + n], seed)
-                cut = np.r_[0, np.cumsum(2 * counts)].astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cut), pa.py_buffer(ids.astype(np.uint16))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), packed, *(c.slice(row, n) for c in batch.columns[2:])], batch.schema.names)
-
-    return run
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_encode(shared, seed), f"doc_id {kind}, ids array<int>, n_pieces bigint, lossless boolean")
 
 
 class PieceEncoder:
@@ -301,9 +296,12 @@ class PieceEncoder:
             raise ValueError("the piece table does not fit 16 bits")
         self.shared, self.seed, self.end, self.pad = spark.sparkContext.broadcast(parts), seed, size, size + 1
 
-    def encode(self, rows: DataFrame) -> DataFrame:
-        """Rows of doc_id, text, o, dh with the ids of `text` as bytes in its place."""
-        return rows.select("doc_id", "text", "o", "dh").mapInArrow(_encode_ids(self.shared, self.seed), "doc_id bigint, text binary, o bigint, dh bigint")
+    def arrays(self, ids: pa.Array, column: pa.Array):
+        """The sampled ids of each text of a column, keyed by the rows' ids."""
+        pieces, keys = _held(self.shared), row_keys(ids)
+        for row, raw, offs in text_chunks(column, BLOCK_BYTES):
+            found, counts = sample_rows(pieces, raw, offs, keys[row : row + len(offs) - 1], self.seed)
+            yield from np.split(found.astype(np.uint16), np.cumsum(counts)[:-1])
 
 
 def _decode(shared):
@@ -319,4 +317,4 @@ def _decode(shared):
 def decode(spark: SparkSession, encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of rows of piece ids."""
     shared = spark.sparkContext.broadcast(_parts(model_path, 1.0))
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(shared), "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(shared), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")

@@ -1,37 +1,44 @@
 """Token sequences in training order, as binary shards of fixed stride.
 
-Every document becomes sequences of STRIDE token ids (its last one padded). Sequences are
-numbered 0 .. N-1 by document order; a keyed Feistel permutation of the next power of four, walked
-along its cycle until it lands below N, turns the number into a global slot: a bijection that
-needs no shuffle buffer, no sort key and no state. A shard is a range of
-PER_SHARD slots; a task holds a range of whole shards, in slot order, without sampling the range; a record's place is slot mod PER_SHARD times the record size, so a reader resumes at
-any slot by one seek.
-
-Without an encoder token ids are UTF-8 bytes (0 to 255), 256 ends a document and 257 pads; an encoder gives 16-bit ids
-and marks of its own. Records travel as the tokens they hold; end mark, padding and 16-bit ids are added where a shard is assembled.
-
-Null text is an empty document: one sequence with its end mark only. Documents are numbered by
-(doc_id, hash of text), null ids last; repeated rows are numbered one after the other. An empty table
-gives no sequences.
+The documents of a table are one stream of 16-bit token ids, each document followed by an end mark. The stream
+falls into sequences of STRIDE ids, numbered 0 .. N-1; packed, a sequence goes on with the next document where
+one ends, else every document starts a sequence of its own and its last one is padded. A keyed Feistel
+permutation of the next power of four, walked along its cycle until it lands below N, turns the number into
+a global slot: a bijection that needs no shuffle buffer, no sort key and no state. A shard is a range
+of PER_SHARD slots; a task holds a range of whole shards, in slot order, without sampling the range; a record's
+place is slot mod PER_SHARD times the record size, so a reader resumes at any slot by one seek.
+
+Texts move once, as ids on their way to their slots. Numbering moves nothing: a first pass counts each
+partition's ids, the partitions' starts (one number for each run of rows of one file) are broadcast, and the
+second pass adds up again inside the partition. Rows are in order of file and place in the file, so the order does not
+depend on how the files are split. Rows that come from no file are written to the shared folder first.
+
+Null text is an empty document: its end mark only. Ids of any type, null ones too, are carried along. Repeated
+rows follow one another like others. An empty table gives no sequences. Columns other than id and text are left out.
 """
 
 from __future__ import annotations
 
+import base64
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, col
 
 STRIDE = 2048
 PER_SHARD = 1024
 END, PAD = 256, 257
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 ROUNDS = 6
-LAST = (1 << 63) - 1
+FLUSH_BYTES = 4_000_000
+#: The split pattern that the byte-level vocabularies were made with.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -80,85 +87,190 @@ def unfeistel(y: np.ndarray, n: int, key: int) -> np.ndarray:
     return y.astype(np.int64)
 
 
-def _cut(total: int, stride: int, per_shard: int, key: int, width: int):
-    """A document's sequences: slot, shard, doc_id, seq, n_tokens and the tokens they hold, `width` bytes each."""
+class ByteEncoder:
+    """UTF-8 bytes as ids; 256 ends a document and 257 pads."""
+
+    end, pad = END, PAD
+
+    def arrays(self, ids: pa.Array, column: pa.Array):
+        for text in column:
+            yield np.frombuffer(text.as_buffer(), np.uint8).astype(np.uint16) if text.is_valid else np.zeros(0, np.uint16)
+
+
+_ENCODINGS: dict[str, object] = {}
+
+
+class RankEncoder:
+    """Ids of a byte-level vocabulary file (lines of base64 token and rank); the two ids above it end a document and pad.
+
+    Decoding returns the very text. The vocabulary is read once, on the driver, and broadcast.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, pattern: str = SPLIT):
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.end = max(ranks.values()) + 1
+        self.pad = self.end + 1
+        if self.pad > 65_535:
+            raise ValueError("the vocabulary does not fit 16 bits")
+        self.name, self.shared = f"{path} {pattern}", spark.sparkContext.broadcast((ranks, pattern))
+
+    def encoding(self):
+        import tiktoken
+
+        if self.name not in _ENCODINGS:
+            ranks, pattern = self.shared.value
+            _ENCODINGS[self.name] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return _ENCODINGS[self.name]
+
+    def arrays(self, ids: pa.Array, column: pa.Array):
+        encode = self.encoding().encode_to_numpy
+        for text in column:
+            yield encode(text.as_py(), disallowed_special=()).astype(np.uint16) if text.is_valid else np.zeros(0, np.uint16)
+
+
+def _runs(encoder, stride: int, pack: bool):
+    """Ids in each run of rows of one file within a partition: partition, run, file, first row, ids."""
+
+    def run(batches):
+        part, out = TaskContext.get().partitionId(), []
+        for batch in batches:
+            for file, row, ids in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), encoder.arrays(batch.column(0), batch.column(1)), strict=True):
+                if not out or out[-1][0] != file:
+                    out.append([file, row, 0])
+                out[-1][2] += _room(len(ids), stride, pack)
+        if out:
+            file, row, total = zip(*out, strict=True)
+            n = len(out)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(file, pa.string()), pa.array(row, pa.int64()), pa.array(total, pa.int64())], ["part", "run", "file", "row", "total"])
+
+    return run
+
+
+def _room(ids: int, stride: int, pack: bool) -> int:
+    """Ids of the stream that a document takes, with its end mark and, unpacked, its padding."""
+    return ids + 1 if pack else -(-(ids + 1) // stride) * stride
+
+
+def _cut(shared, encoder, total: int, stride: int, per_shard: int, key: int, pack: bool):
+    """The documents' parts by sequence: slot, at (first id), shard, doc_id, seq, n and the ids."""
 
     def run(batches):
+        table, part = shared.value, TaskContext.get().partitionId()
+        number, last = np.searchsorted(table["part"], [part, part + 1]).tolist()
+        before, place, end = None, None, None
+        held, size = [], 0
+
+        def check(ok):
+            if not ok:
+                raise ValueError("the table is split in another way than when it was counted")
+
         for batch in batches:
-            held, size = [], 0
-            for i, base, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                n = -(-(len(raw) // width + 1) // stride)
-                slots = feistel(np.arange(base, base + n), total, key).tolist()
-                for k in range(n):
-                    part = raw[k * stride * width : (k + 1) * stride * width]
-                    held.append((slots[k], i, k, len(part) // width + (k == n - 1), part))
-                size += len(raw)
-                if size > 4_000_000:
-                    yield _records(held, per_shard)
+            for i, file, row, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), encoder.arrays(batch.column(0), batch.column(1)), strict=True):
+                if place is None or file != before:
+                    check(place == end and number < last and table["row"][number] == row)
+                    before, place = file, int(table["start"][number])
+                    end = place + int(table["total"][number])
+                    number += 1
+                ids = np.append(ids, np.uint16(encoder.end))
+                at, first = 0, place // stride
+                while at < len(ids):
+                    seq, offset = divmod(place + at, stride)
+                    piece = ids[at : at + stride - offset]
+                    held.append((seq, offset, i, seq if pack else seq - first, len(piece), piece.tobytes()))
+                    at += len(piece)
+                place += _room(len(ids) - 1, stride, pack)
+                size += 2 * len(ids)
+                if size > FLUSH_BYTES:
+                    yield _parts(held, total, per_shard, key, batch.schema.field(0).type)
                     held, size = [], 0
-            if held:
-                yield _records(held, per_shard)
+        check(place == end and number == last)
+        if held:
+            yield _parts(held, total, per_shard, key, batch.schema.field(0).type)
 
     return run
 
 
-def _records(held, per_shard):
-    slot, doc, seq, n, payload = zip(*held, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array([s // per_shard for s in slot], pa.int64()), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array(payload, pa.binary())], ["slot", "shard", "doc_id", "seq", "n_tokens", "payload"])
+def _parts(held, total, per_shard, key, id_type):
+    number, at, doc, seq, n, ids = zip(*held, strict=True)
+    slot = feistel(np.array(number), total, key)
+    return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(at, pa.int32()), pa.array(slot // per_shard), pa.array(doc, id_type), pa.array(seq, pa.int64()), pa.array(n, pa.int32()), pa.array(ids, pa.binary())], ["slot", "at", "shard", "doc_id", "seq", "n", "ids"])
 
 
-def _expand(stride: int, width: int, end: int, pad: int):
-    """Records of fixed size: ids of 16 bits, the end mark and padding."""
+def _assemble(stride: int, pad: int):
+    """Records of fixed size of parts in order of slot and place; a record bears the id of its first document."""
 
     def run(batches):
+        head, ids, rows, schema = None, [], [], None
+
+        def close():
+            raw = b"".join(ids)
+            rows.append((*head, len(raw) // 2, raw + np.full(stride - len(raw) // 2, pad, np.uint16).tobytes()))
+
+        def flush():
+            slot, shard, doc, seq, n, payload = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(shard, pa.int64()), pa.array(doc, schema), pa.array(seq, pa.int64()), pa.array(n, pa.int32()), pa.array(payload, pa.binary())], ["slot", "shard", "doc_id", "seq", "n_tokens", "payload"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                out = []
-                for n, raw in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
-                    ids = np.full(stride, pad, np.uint16)
-                    held = np.frombuffer(raw, np.uint8 if width == 1 else np.uint16)
-                    ids[: len(held)] = held
-                    if n > len(held):
-                        ids[len(held)] = end
-                    out.append(ids.tobytes())
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(out, pa.binary())], part.schema.names)
+            schema = batch.schema.field(3).type
+            for slot, shard, doc, seq, raw in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 6)), strict=True):
+                if head is None or slot != head[0]:
+                    if head is not None:
+                        close()
+                    head, ids = (slot, shard, doc, seq), []
+                ids.append(raw)
+            if len(rows) * stride * 2 > FLUSH_BYTES:
+                yield flush()
+                rows = []
+        if head is not None:
+            close()
+            yield flush()
 
     return run
 
 
-def training_records(spark: SparkSession, docs: DataFrame, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = 2024, id_col: str = "doc_id", text_col: str = "text", encoder=None) -> DataFrame:
-    """slot, shard, doc_id, seq, n_tokens, payload; a partition is a range of whole shards, sorted by slot."""
-    box = Scratch(spark, "order")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("o"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("dh"))
-    width, end, pad = (2, encoder.end, encoder.pad) if encoder else (1, END, PAD)
-    if encoder:
-        rows = box.save(encoder.encode(rows))
-    n = F.ceil((F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / width) + 1) / stride).cast("bigint")
-    sizes = rows.select("o", "dh", n.alias("n")).groupBy("o", "dh", "n").agg(F.count("*").alias("times"))
-    sizes = box.save(sizes.repartitionByRange("o", "dh").withColumn("part", F.spark_partition_id()))
-    parts = sorted(sizes.groupBy("part").agg(F.sum(F.col("n") * F.col("times"))).collect())
-    if not parts:
-        return spark.createDataFrame([], "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, payload binary")
-    offsets, total = [], 0
-    for part, count in parts:
-        offsets.append((part, total))
-        total += count
-    start = spark.createDataFrame(offsets, "p int, start bigint")
-    before = W.partitionBy("part").orderBy("o", "dh").rowsBetween(W.unboundedPreceding, -1)
-    based = sizes.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("times")).over(before), F.lit(0))).join(F.broadcast(start), F.col("part") == F.col("p"))
-    based = based.select(F.col("o").alias("ko"), F.col("dh").alias("kd"), "n", "times", (F.col("before") + F.col("start")).alias("base"))
-    # Repeated rows are equal, so the first copy writes the sequences of all.
-    once = rows.dropDuplicates(["o", "dh"]) if sizes.where("times > 1").limit(1).count() else rows
-    named = once.join(based, (F.col("o") == F.col("ko")) & (F.col("dh") == F.col("kd")))
-    named = named.select("doc_id", F.explode(F.sequence(F.col("base"), F.col("base") + (F.col("times") - 1) * F.col("n"), F.col("n"))).alias("base"), "text")
-    form = "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, payload binary"
-    records = named.mapInArrow(_cut(total, stride, per_shard, key, width), form)
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether the rows come straight from Parquet files, so that they have a place there."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
+    return bool(docs.inputFiles()) and plan[-1].strip(" +-").startswith("Relation") and plan[-1].rstrip().endswith("parquet") and all(x.strip(" +-").startswith(("Project", "Filter", "Relation")) for x in plan)
+
+
+def pin_splits(spark: SparkSession) -> None:
+    """Hold how files are split for the session: the default follows the cores at hand, which change when executors go."""
+    name = "spark.sql.files.minPartitionNum"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism)
+
+
+def training_records(spark: SparkSession, docs: DataFrame, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = 2024, id_col: str = "doc_id", text_col: str = "text", encoder=None, pack: bool = False) -> DataFrame:
+    """slot, shard, doc_id, seq, n_tokens, payload; a partition is a range of whole shards, sorted by slot.
+
+    Packed, doc_id is the document that a sequence starts with or in, and seq its number in the stream; else seq
+    counts within the document. Give rows as read from files: others are written to the shared folder first.
+    """
+    encoder = encoder or ByteEncoder()
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
+    if not _plain_scan(docs):
+        docs, id_col, text_col = Scratch(spark, "order").save(rows), "doc_id", "text"
+    place = docs.metadataColumn("_metadata")
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"), place["file_path"].alias("file"), place["row_index"].alias("row"))
+    pin_splits(spark)
+    runs = rows.mapInArrow(_runs(encoder, stride, pack), "part int, run int, file string, row bigint, total bigint").toArrow()
+    form = f"slot bigint, shard bigint, doc_id {kind}, seq bigint, n_tokens int, payload binary"
+    runs = runs.sort_by([("file", "ascending"), ("row", "ascending")])
+    sums = np.cumsum(runs["total"].to_numpy())
+    starts = pd.DataFrame({"part": runs["part"], "run": runs["run"], "row": runs["row"], "start": np.r_[0, sums[:-1]][: len(sums)], "total": runs["total"]}).sort_values(["part", "run"])
+    ids = int(sums[-1]) if len(sums) else 0
+    total = -(-ids // stride)
+    if not total:
+        return spark.createDataFrame([], form)
+    shared = spark.sparkContext.broadcast({c: starts[c].to_numpy(np.int64) for c in starts})
+    parts = rows.mapInArrow(_cut(shared, encoder, total, stride, per_shard, key, pack), f"slot bigint, at int, shard bigint, doc_id {kind}, seq bigint, n int, ids binary")
     shards = -(-total // per_shard)
     tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = records.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
-    return dealt.sortWithinPartitions("slot").mapInArrow(_expand(stride, width, end, pad), form)
+    dealt = parts.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
+    return dealt.sortWithinPartitions("slot", "at").mapInArrow(_assemble(stride, encoder.pad), form)
 
 
 def _writer(folder: str):
@@ -170,15 +282,16 @@ def _writer(folder: str):
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        open_shard, sink, held, last, temporary = None, None, [], -1, ""
+        open_shard, sink, held, last, temporary, id_type = None, None, [], -1, "", None
 
         def close():
             sink.close()
             store.move(temporary, f"{root}/shard-{open_shard:08d}.bin")
             columns = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["slot", "shard", "doc_id", "seq", "n_tokens", "byte_offset", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), id_type, pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["slot", "shard", "doc_id", "seq", "n_tokens", "byte_offset", "bytes"])
 
         for batch in batches:
+            id_type = batch.schema.field(2).type
             for slot, shard, doc, seq, n, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if slot <= last:
                     raise ValueError("records are out of order")
@@ -199,7 +312,8 @@ def _writer(folder: str):
 
 def write_shards(records: DataFrame, folder: str) -> DataFrame:
     """Write shard-NNNNNNNN.bin files to a folder given as URI and tell where each record lies; a retried task renames over its shard."""
-    return records.mapInArrow(_writer(folder), "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, byte_offset bigint, bytes bigint")
+    kind = records.schema["doc_id"].dataType.simpleString()
+    return records.mapInArrow(_writer(folder), f"slot bigint, shard bigint, doc_id {kind}, seq bigint, n_tokens int, byte_offset bigint, bytes bigint")
 
 
 def _reader(folder: str):
@@ -233,4 +347,24 @@ def written_records(spark: SparkSession, records: DataFrame, folder: str | None
     box = Scratch(spark, "shards")
     folder = folder or f"{box.base}/bin"
     placed = box.save(write_shards(records, folder))
-    return placed.mapInArrow(_reader(folder), "slot bigint, shard bigint, doc_id bigint, seq int, n_tokens int, byte_offset bigint, crc32 bigint")
+    kind = placed.schema["doc_id"].dataType.simpleString()
+    return placed.mapInArrow(_reader(folder), f"slot bigint, shard bigint, doc_id {kind}, seq bigint, n_tokens int, byte_offset bigint, crc32 bigint")
+
+
+def read_from(folder: str, slot: int, stride: int = STRIDE, per_shard: int = PER_SHARD):
+    """(slot, ids) of the records from `slot` on, in training order: one seek, then sequential reads, one record in memory."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    size = 2 * stride
+    while True:
+        shard, at = divmod(slot, per_shard)
+        path = f"{root}/shard-{shard:08d}.bin"
+        info = store.get_file_info(path)
+        if info.type == fs.FileType.NotFound or at * size >= info.size:
+            return
+        with store.open_input_file(path) as source:
+            source.seek(at * size)
+            for _ in range(at, info.size // size):
+                yield slot, np.frombuffer(source.read(size), np.uint16)
+                slot += 1
