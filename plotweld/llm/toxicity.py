@@ -1,18 +1,23 @@
 """Toxicity by a learned lexicon, misspellings found with Levenshtein automata over its trie.
 
-Learning uses at most SAMPLE_ROWS labelled rows, picked by a hash of doc_id. Terms (whole words,
+Learning uses about SAMPLE_ROWS labelled rows, picked by a hash of doc_id, one text for each. Terms (whole words,
 and stems: the first STEM letters of a word, any ending) are counted over that sample in the cluster and
-kept where toxic texts hold them far more often than others. The trie of the kept terms is intersected with
-the Levenshtein automaton of a text's word (of those that share a form less a letter or two with a term): rows of the edit-distance table are carried down the trie and a branch
-is left when its row passes the bound, so one walk finds all terms within it. Terms of FUZZY_LETTERS letters allow one
-edit, of TWO_EDITS two; from SWAP_LETTERS on a swap of neighbours is one edit. A stem is near where a prefix of the word is.
+all are kept that toxic texts hold far more often than others; their number is bounded by the sample's words.
+
+Every word goes through the intersection of its Levenshtein automaton with the trie of the kept terms. The automaton
+is compiled to bit masks: a word's mask of a letter marks the places where it stands, a state is one set of places
+for each number of edits, and a step down the trie moves the states of all words of a batch that are
+still alive at that node by a few shifts. Terms of FUZZY_LETTERS letters allow one edit, of TWO_EDITS two; a swap
+of neighbours is one edit. A stem is near where a prefix of the word is. Terms of more than LONGEST letters are
+found as they stand only, and stems look at a word's first LONGEST letters.
 
 A hit counts less where its window shows quotation: inside quotation marks that close within
 WINDOW characters, or near a reporting word. Scores are a logistic function of the hits' weights,
 their share of the words, exact and misspelled, abusive and quoted apart, fitted on the sample.
 
 Null and empty texts have no hits and get the score of a text without hits. Repeated rows are
-scored each for itself. Without labels to learn from every score is the neutral prior 0.
+scored each for itself. Without labels to learn from every score is the neutral prior 0. The score's column has
+underscores added where the table has one of its name (`score_column`).
 """
 
 from __future__ import annotations
@@ -25,17 +30,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch
+from .common import Scratch, col, free
 
 SAMPLE_ROWS = 20_000
 STEM = (3, 4, 5, 6, 7, 8)
 LEAST_POSITIVE = 4
 LEAST_RATIO = 20.0
-MAX_TERMS = 4_000
-FUZZY_LETTERS, SWAP_LETTERS, TWO_EDITS = 5, 6, 9
+FUZZY_LETTERS, TWO_EDITS = 5, 9
+LONGEST = 60
 WINDOW = 120
 CACHE = 400_000
+WORDS_AT_ONCE = 50_000
+TEXTS_AT_ONCE = 500
 WORDS = re.compile(r"\w+")
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 #: Fixed words of reported speech in the four languages.
@@ -47,102 +55,101 @@ def bound(letters: int) -> int:
     return 0 if letters < FUZZY_LETTERS else 1 if letters < TWO_EDITS else 2
 
 
-def shorter(word: str, edits: int) -> set[str]:
-    """The word, and the word less up to so many letters."""
-    out = last = {word}
-    for _ in range(edits):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out = out | last
-    return out
+class _Node:
+    """A trie node: below it, the most edits of a term and the lengths of words that can be near one."""
+
+    __slots__ = ("children", "edits", "least", "most", "weights")
+
+    def __init__(self):
+        self.children: dict[str, _Node] = {}
+        self.weights = [0.0, 0.0]  # of a whole term and of a stem that end here
+        self.edits, self.least, self.most = 0, LONGEST, 0
 
 
 class LexiconTrie:
     """Terms by letter; `*` after a term lets any ending follow."""
 
     def __init__(self, terms: dict[str, float]):
-        self.root: dict = {}
-        #: Terms less letters, by the edits allowed: whole terms, and stems by the length of their forms.
-        self.forms: dict[int, set[str]] = {1: set(), 2: set()}
-        self.stems: dict[int, dict[int, set[str]]] = {1: {}, 2: {}}
-        self.longest = {1: 0, 2: 0}
-        for term, weight in terms.items():
-            word, open_end = term.rstrip("*"), term.endswith("*")
-            node = self.root
-            for c in word:
-                node = node.setdefault(c, {})
-            node["*" if open_end else ""] = max(weight, node.get("*" if open_end else "", 0.0))
-            edits = bound(len(word))
-            if edits:
-                for form in shorter(word, edits):
-                    if open_end:
-                        self.stems[edits].setdefault(len(form), set()).add(form)
-                    else:
-                        self.forms[edits].add(form)
-                if not open_end:
-                    self.longest[edits] = max(self.longest[edits], len(word) + edits)
+        self.terms = {t: w for t, w in terms.items() if not t.endswith("*")}
+        self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
+        self.stem_lens = sorted({len(t) for t in self.stems})
+        self.root = _Node()
+        self.letters: set[str] = set()
+        for held, slot in ((self.terms, 0), (self.stems, 1)):
+            for word, weight in held.items():
+                edits = bound(len(word))
+                if not edits or len(word) > LONGEST:
+                    continue
+                node = self.root
+                for c in ["", *word]:
+                    node = node.children.setdefault(c, _Node()) if c else node
+                    node.edits = max(node.edits, edits)
+                    node.least = min(node.least, len(word) - edits)
+                    node.most = max(node.most, LONGEST + 1 if slot else len(word) + edits)
+                self.letters.update(word)
+                node.weights[slot] = max(weight, node.weights[slot])
 
     def exact(self, word: str) -> float:
-        node, best = self.root, 0.0
-        for c in word:
-            node = node.get(c)
-            if node is None:
-                return best
-            best = max(best, node.get("*", 0.0))
-        return max(best, node.get("", 0.0))
-
-    def may_be_near(self, word: str) -> bool:
-        """Strings within k edits, also of neighbours swapped, share a form: either less up to k letters. For stems a prefix of the word does."""
-        n = len(word)
-        for edits in (1, 2):
-            whole, stems = self.forms[edits], self.stems[edits]
-            if edits == 2 and n < TWO_EDITS - 2:
-                break
-            if whole and n <= self.longest[edits] and not whole.isdisjoint(shorter(word, edits)):
-                return True
-            if stems:
-                # A prefix less up to k letters is the start of the word less up to k letters.
-                for form in shorter(word[: max(stems) + edits], edits):
-                    for size, held in stems.items():
-                        if size <= len(form) and form[:size] in held:
-                            return True
-        return False
-
-    def near(self, word: str) -> float:
-        """The heaviest term near `word`, or stem near a prefix of it, by automaton (with swapped neighbours) and trie together."""
-        best, most = 0.0, 2 if self.forms[2] or self.stems[2] else 1
-        start = list(range(len(word) + 1))
-        stack = [(self.root, start, start, None, "", 0)]
+        return max([self.terms.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in self.stem_lens if n <= len(word))])
+
+    def near(self, words: list[str]) -> np.ndarray:
+        """For each word the heaviest term near it, or stem near a prefix of it."""
+        best = np.zeros(len(words))
+        if not words or not self.root.children:
+            return best
+        lens = np.array([min(len(w), LONGEST) for w in words])
+        kind = np.uint32 if lens.max() < 30 else np.uint64
+        letters = np.zeros((len(words), int(lens.max())), np.uint32)
+        letters[np.arange(letters.shape[1]) < lens[:, None]] = np.frombuffer("".join(w[:LONGEST] for w in words).encode("utf-32-le"), np.uint32)
+        masks = {c: np.zeros(len(words), kind) for c in self.letters}
+        for k, column in enumerate(letters.T):
+            for c in masks:
+                masks[c] |= (column == ord(c)).astype(kind) << kind(k)
+        one, two, end = kind(1), kind(2), kind(1) << lens.astype(kind)
+        inside = (end << one) - one
+        lens = np.array([len(w) for w in words])
+        start = [np.ones(len(words), kind)]
+        for _ in range(self.root.edits):
+            start.append((start[-1] | (start[-1] << one)) & inside)
+        stack = [(self.root, np.arange(len(words)), start, None, None, 0)]
         while stack:
-            node, row, plain, before, last, depth = stack.pop()
+            node, who, states, before, last, depth = stack.pop()
             edits = bound(depth)
-            if edits:
-                # Below SWAP_LETTERS a swap of neighbours counts as two edits.
-                cost = row if depth >= SWAP_LETTERS else plain
-                if "" in node and cost[-1] <= edits:
-                    best = max(best, node[""])
-                if "*" in node and min(cost) <= edits:
-                    best = max(best, node["*"])
-            for c, child in node.items():
-                if len(c) != 1 or c == "*":
-                    continue
-                new, flat = [row[0] + 1], [plain[0] + 1]
-                for j, w in enumerate(word, 1):
-                    d = min(new[-1] + 1, row[j] + 1, row[j - 1] + (w != c))
-                    if before and j > 1 and w == last and word[j - 2] == c:
-                        d = min(d, before[j - 2] + 1)
-                    new.append(d)
-                    if depth + 1 < SWAP_LETTERS:
-                        flat.append(min(flat[-1] + 1, plain[j] + 1, plain[j - 1] + (w != c)))
-                if min(new) <= most or min(row) < most:
-                    stack.append((child, new, flat if depth + 1 < SWAP_LETTERS else new, row, c, depth + 1))
+            if edits and any(node.weights):
+                held = states[edits]
+                whole = np.where(lens[who] <= LONGEST, held & end[who], 0)
+                for weight, hit in zip(node.weights, (whole, held), strict=True):
+                    if weight:
+                        some = who[hit != 0]
+                        best[some] = np.maximum(best[some], weight)
+            sizes, limits, known = np.minimum(lens[who], LONGEST + 1), inside[who], {c: masks[c][who] for c in {*node.children, last or ""} if c}
+            for c, child in node.children.items():
+                mask, new = known[c], []
+                for e in range(child.edits + 1):
+                    state = (states[e] & mask) << one
+                    if e:
+                        # A letter of the term without one of the word, one for another, one of the word alone, a swap.
+                        state |= states[e - 1] | (states[e - 1] << one) | (new[e - 1] << one)
+                        if before is not None:
+                            state |= (before[e - 1] & mask & (known[last] >> one)) << two
+                    new.append(state & limits)
+                alive = np.flatnonzero((new[-1] != 0) & (sizes >= child.least) & (sizes <= child.most))
+                if len(alive):
+                    stack.append((child, who[alive], [x[alive] for x in new], [x[alive] for x in states[: child.edits + 1]], c, depth + 1))
         return best
 
+    def weigh_all(self, words: list[str]) -> list[tuple[float, bool]]:
+        """(weight, misspelled) of each word; weight 0 for a word that is no hit."""
+        found = [(self.exact(w), False) for w in words]
+        open_ = [i for i, (weight, _) in enumerate(found) if not weight and len(words[i]) >= FUZZY_LETTERS - 1]
+        for part in ([i for i in open_ if len(words[i]) < 30], [i for i in open_ if len(words[i]) >= 30]):
+            for i, weight in zip(part, self.near([words[i] for i in part]).tolist(), strict=True):
+                if weight:
+                    found[i] = (weight, True)
+        return found
+
     def weigh(self, word: str) -> tuple[float, bool]:
-        """(weight, misspelled); weight 0 for a word that is no hit."""
-        weight = self.exact(word)
-        if weight or len(word) < FUZZY_LETTERS - 1 or not self.may_be_near(word):
-            return weight, False
-        return self.near(word), True
+        return self.weigh_all([word])[0]
 
 
 def quoted(text: str, start: int, end: int) -> bool:
@@ -157,28 +164,27 @@ def quoted(text: str, start: int, end: int) -> bool:
     return any(w in REPORTING for w in WORDS.findall(before.lower())[-4:])
 
 
-def features(text: str | None, trie: LexiconTrie, cache: dict) -> list[float]:
-    """Exact and misspelled abuse, quoted hits, and the share of hits among the words."""
-    text = text or ""
-    low = text.lower()
-    found = Counter(WORDS.findall(low))
-    hits = {}
-    for w in found:
-        got = cache.get(w)
-        if got is None:
-            if len(cache) > CACHE:
-                cache.clear()
-            got = cache[w] = trie.weigh(w)
-        if got[0]:
-            hits[w] = got
-    sums = [0.0, 0.0, 0.0]
-    if hits:
-        for m in WORDS.finditer(low):
-            got = hits.get(m.group())
-            if got:
-                sums[2 if quoted(low, m.start(), m.end()) else int(got[1])] += got[0]
-    total = sum(found.values())
-    return [math.log1p(s) for s in sums] + [100.0 * sum(sums[:2]) / (total + 20)]
+def features(texts: list[str | None], trie: LexiconTrie, cache: dict) -> list[list[float]]:
+    """For each text exact and misspelled abuse, quoted hits, and the share of hits among the words."""
+    if len(cache) > CACHE:
+        cache.clear()
+    lows = [(t or "").lower() for t in texts]
+    counts = [Counter(WORDS.findall(low)) for low in lows]
+    new = sorted({w for found in counts for w in found if w not in cache})
+    for at in range(0, len(new), WORDS_AT_ONCE):
+        part = new[at : at + WORDS_AT_ONCE]
+        cache.update(zip(part, trie.weigh_all(part), strict=True))
+    out = []
+    for low, found in zip(lows, counts, strict=True):
+        hits = {w: cache[w] for w in found if cache[w][0]}
+        sums = [0.0, 0.0, 0.0]
+        if hits:
+            for m in WORDS.finditer(low):
+                got = hits.get(m.group())
+                if got:
+                    sums[2 if quoted(low, m.start(), m.end()) else int(got[1])] += got[0]
+        out.append([math.log1p(s) for s in sums] + [100.0 * sum(sums[:2]) / (sum(found.values()) + 20)])
+    return out
 
 
 def _terms(word: str):
@@ -206,11 +212,15 @@ def _count_terms(only: frozenset | None):
     return run
 
 
+def _in_parts(texts: list, trie: LexiconTrie, cache: dict) -> list[list[float]]:
+    return [x for at in range(0, len(texts), TEXTS_AT_ONCE) for x in features(texts[at : at + TEXTS_AT_ONCE], trie, cache)]
+
+
 def _sample_features(shared):
     def run(batches):
         trie, cache = LexiconTrie(shared.value), {}
         for batch in batches:
-            rows = [features(t, trie, cache) for t in batch.column(0).to_pylist()]
+            rows = _in_parts(batch.column(0).to_pylist(), trie, cache)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
     return run
@@ -235,8 +245,9 @@ def learn(spark: SparkSession, labelled: DataFrame, sample_rows: int = SAMPLE_RO
     """Lexicon and score weights from columns key, text, toxic (0 or 1)."""
     box = Scratch(spark, "toxicity")
     count = labelled.count()
-    part = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, sample_rows / max(1, count)))).select("text", "toxic")
-    part = box.save(part)
+    part = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, sample_rows / max(1, count))))
+    one = F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), "text"))
+    part = box.save(part.groupBy("key").agg(one.alias("one")).select("one.text", "one.toxic"))
     totals = {r[0]: r[1] for r in part.groupBy("toxic").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
@@ -247,7 +258,7 @@ def learn(spark: SparkSession, labelled: DataFrame, sample_rows: int = SAMPLE_RO
     names = frozenset(r[0] for r in first.select("term").collect())
     counted = part.mapInArrow(_count_terms(names), form).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = ((F.col("pos") + 0.5) / (pos + 1)) / ((F.col("neg") + 0.5) / (neg + 1))
-    kept = counted.withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (F.col("pos") >= least)).orderBy(F.desc("pos"), "term").limit(MAX_TERMS).collect()
+    kept = counted.withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (F.col("pos") >= least)).collect()
     # A stem gives way to a longer term that nearly all its toxic texts hold.
     held = {r.term: r.pos for r in kept}
     reach: dict[str, int] = {}
@@ -271,20 +282,24 @@ def _scores(shared):
         terms, weights = shared.value
         trie, cache = LexiconTrie(terms), {}
         for batch in batches:
-            at = batch.schema.names.index("__text")
-            x = np.array([features(t, trie, cache) for t in batch.column(at).to_pylist()]).reshape(-1, 4)
+            # The text to score is the last column; the score takes its place.
+            x = np.array(_in_parts(batch.columns[-1].to_pylist(), trie, cache)).reshape(-1, 4)
             score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            yield batch.set_column(at, "__score", pa.array(score, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
 
     return run
 
 
+def score_column(docs: DataFrame) -> str:
+    """The name of the score's column beside those of `docs`."""
+    return free("__score", docs.columns)
+
+
 def score_toxicity(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with a double `__score` in [0, 1]."""
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.withColumn("__text", F.col(text_col))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double"
-    return rows.mapInArrow(_scores(shared), schema)
+    """The rows of `docs` with a double `__score` in [0, 1] (see `score_column`)."""
+    shared, name = spark.sparkContext.broadcast(model), score_column(docs)
+    rows = docs.select("*", col(text_col).cast("string").alias(name))
+    return rows.mapInArrow(_scores(shared), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out(id_col: str):

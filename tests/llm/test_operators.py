@@ -173,7 +173,7 @@ def test_mixing(spark):
 
 def test_toxicity(spark):
     trie = toxicity.LexiconTrie({"idiot": 3.0, "lowe*": 2.0})
-    assert trie.weigh("idiot") == (3.0, False) and trie.weigh("idoit")[0] == 0 and trie.weigh("idi0t") == (3.0, True) and trie.weigh("idiiot") == (3.0, True)
+    assert trie.weigh("idiot") == (3.0, False) and trie.weigh("idoit") == (3.0, True) and trie.weigh("iodti")[0] == 0 and trie.weigh("idi0t") == (3.0, True) and trie.weigh("idiiot") == (3.0, True)
     assert trie.weigh("loweish") == (2.0, False) and trie.weigh("harmless")[0] == 0
     assert toxicity.quoted('he said "you idiot" there', 13, 18) and not toxicity.quoted("you idiot there", 4, 9)
     rng = random.Random(3)
@@ -196,7 +196,7 @@ def test_toxicity_near_stems_and_swaps(spark):
         for i in range(len(a) + 1):
             for j in range(len(b) + 1):
                 d[i, j] = max(i, j) if not i or not j else min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-                if len(a) >= toxicity.SWAP_LETTERS and i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
                     d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
         return d
 
