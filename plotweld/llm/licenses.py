@@ -1,12 +1,20 @@
-"""License scan: shared template words pick candidates, alignment measures the match.
+"""License scan: winnowed fingerprints of templates in an inverted index, then banded alignment.
 
-Texts and templates become alphanumeric words in lower case. A template of L words matches where at
-least COVERAGE of them stand in order within L + 2 * BAND words of the text. Such a place holds at least that
-many of the template's words, so the inverted index of the templates' words and a count over that span find every
-place that can match. From each, words are aligned as symbols (longest common subsequence). Of the
-matches of a template that overlap, those with more words stay, then the shorter, then the earlier.
+Texts and templates become alphanumeric words in lower case. A template of L words matches a span of the text that
+is within E = floor((1 - COVERAGE) L) word edits of it: words exchanged, left out or put in. Such a span shares a run
+of at least ceil((L - E) / (E + 1)) words with the template, so each template gets a gram of k words and a
+winnowing window of w grams with k + w - 1 words no longer than that run: text and template then choose at least one
+equal fingerprint inside the run, and no match is lost. The inverted index leads from fingerprints to (template, place);
+places of one diagonal band that hold enough of the template's words are aligned by edit distance in the band,
+with free ends in the text.
 
-Null and empty texts match nothing. Rows are independent of each other.
+Coverage is 1 - edits / L, so foreign words inside the span count against it. Decisive words (version numbers of
+templates that have one, and DECISIVE) decide: a span with one that the template lacks is no match, nor is one
+where such a word is missing and no foreign word stands for it. Of spans that overlap the one with most matched words (L - edits)
+stays, then of the highest coverage, then the earliest; templates that fit a span equally well are all reported.
+
+Null and empty texts match nothing. Rows are independent of each other: ties and repeated rows need no care. Other
+columns are left out, ids of any type are carried along. A text of any length is one chunk of a task's memory.
 """
 
 from __future__ import annotations
@@ -14,110 +22,280 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import textkernel as tk
-from .textkernel import U64, text_chunks
+from .common import col
+from .textkernel import BASE, U64, mix, text_chunks, word_bounds, word_hashes
 
-BAND, COVERAGE = 8, 0.8
-#: Fixed notices: name and text.
+COVERAGE = 0.8
+#: Words that set one license of a family apart.
+DECISIVE = ("nc", "noncommercial", "sa", "sharealike", "nd", "noderivatives", "noderivs", "lesser", "library", "affero")
+#: Fixed notices and whole texts: name and text.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") "
+        "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "GPL",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    ),
+    (
+        "LGPL",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ),
+    (
+        "AGPL",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
 )
 PLAIN = np.ones(256, bool)
 PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+FACTORS = [U64(pow(BASE, 2 * j + 3, 1 << 64)) for j in range(8)]
+
+
+def allowed_edits(words: int, coverage: float) -> int:
+    return int((1 - coverage) * words + 1e-9)
+
+
+def gram_and_window(words: int, edits: int) -> tuple[int, int]:
+    """Words of a gram and grams of a window that any span within `edits` edits must share a fingerprint at."""
+    run = -(-(words - edits) // (edits + 1))
+    gram = min(3, (run + 2) // 2)
+    return gram, min(run - gram + 1, 4)
 
 
-def aligned(template: list[int], words: list[int]):
-    """Lengths of the longest common subsequence of the template and the first words of `words`: each new length and the word that gives it."""
-    held, best = set(template), 0
-    row = [0] * (len(template) + 1)
-    for j, w in enumerate(words):
-        if w in held:
-            new = [0]
-            for t, v in enumerate(template):
-                new.append(row[t] + 1 if v == w else max(row[t + 1], new[t]))
-            row = new
-            if row[-1] > best:
-                best = row[-1]
-                yield best, j
+def winnow(words: np.ndarray, first: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the winnowed fingerprints of rows of words laid end to end."""
+    n = len(words) - gram + 1
+    if n < window:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    h = np.zeros(n, U64)
+    for j in range(gram):
+        h += words[j : j + n] * FACTORS[j]
+    h = mix(h)
+    row = np.searchsorted(first, np.arange(len(words)), "right")
+    m = n - window + 1
+    whole = row[:m] == row[window + gram - 2 : window + gram - 2 + m]
+    best, least = np.arange(m), h[:m]
+    for j in range(1, window):
+        lower = h[j : j + m] <= least
+        best, least = np.where(lower, np.arange(m) + j, best), np.where(lower, h[j : j + m], least)
+    at = np.unique(best[whole])
+    return at, h[at]
+
+
+def align(template: np.ndarray, words: np.ndarray, low: int, high: int, edits: int) -> list[tuple[int, int, int]]:
+    """(edits, first, last) of spans of `words` within `edits` edits of the template, in a band of diagonals low .. high.
+
+    For each end the fewest edits, of these the latest start. Rows of the edit table are held as
+    edits * scale - start, so a minimum picks both.
+    """
+    n = len(words)
+    scale, far = n + 2, (len(template) + n + 2) * (n + 2)
+    row = -np.arange(n + 1)
+    steps = np.arange(n + 1) * scale
+    for i, w in enumerate(template):
+        new = row + scale
+        new[1:] = np.minimum(new[1:], row[:-1] + scale * (words != w))
+        out = np.minimum.accumulate(new - steps) + steps
+        a, b = max(0, i + 1 + low), min(n, i + 1 + high)
+        row = np.full(n + 1, far)
+        row[a : b + 1] = out[a : b + 1]
+    cost = -(-row // scale)
+    good = np.flatnonzero(cost <= edits)
+    return sorted((int(cost[j]), int(cost[j] * scale - row[j]), int(j) - 1) for j in good if cost[j] * scale - row[j] < j)
 
 
 def _word_hashes(raw: np.ndarray, offs: np.ndarray):
-    held, tk.SEPARATOR = tk.SEPARATOR, PLAIN
-    try:
-        s, e, first = tk.word_bounds(raw, offs)
-    finally:
-        tk.SEPARATOR = held
-    return s, e, first, tk.word_hashes(raw, s, e) if len(s) else np.zeros(0, U64)
+    s, e, first = word_bounds(raw, offs, PLAIN)
+    return s, e, first, word_hashes(raw, s, e) if len(s) else np.zeros(0, U64)
 
 
-def template_index(templates):
-    """Word hashes of each template, the sorted words of all, and for each template which of these it holds."""
-    words = []
-    for _, text in templates:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        words.append(_word_hashes(raw, np.array([0, len(raw)]))[3])
-    index = np.unique(np.concatenate([np.zeros(0, U64), *words]))
-    return words, index, [np.isin(index, w) for w in words]
+class Templates:
+    """Words, decisive words and the inverted index of fingerprints by gram and window."""
 
+    def __init__(self, templates, coverage: float):
+        hashes = lambda text: _word_hashes(raw := np.frombuffer(text.encode(), np.uint8), np.array([0, len(raw)]))[3]
+        self.names = [name for name, _ in templates]
+        self.words = [hashes(text) for _, text in templates]
+        self.edits = [allowed_edits(len(w), coverage) for w in self.words]
+        self.vocabulary = [np.unique(w) for w in self.words]
+        decisive = hashes(" ".join(DECISIVE))
+        digits = [hashes(" ".join(str(k) for k in range(100)))] * len(self.words)
+        self.decisive = [np.concatenate([decisive, d]) if np.isin(w, d).any() else decisive for w, d in zip(self.words, digits, strict=True)]
+        self.marks = [w[np.isin(w, d)].tolist() for w, d in zip(self.words, self.decisive, strict=True)]
+        index: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for n, w in enumerate(self.words):
+            if len(w):
+                kind = gram_and_window(len(w), self.edits[n])
+                index.setdefault(kind, []).extend((int(h), n, int(at)) for at, h in zip(*winnow(w, np.array([0, len(w)]), *kind), strict=True))
+        #: For each (gram, window) the sorted fingerprints with their template and place.
+        self.index = {kind: tuple(np.array(c, t) for c, t in zip(zip(*sorted(rows), strict=True), (U64, np.int64, np.int64), strict=True)) for kind, rows in index.items()}
 
-def _scan(templates, coverage):
-    words, index, holds = template_index(templates)
-    lists = [w.tolist() for w in words]
-    least = [max(1, int(np.ceil(coverage * len(w) - 1e-9))) for w in words]
-    match = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))
+    def places(self, words: np.ndarray, first: np.ndarray):
+        """(row, template, diagonal) that share a fingerprint, sorted; a diagonal is a place in the words less one in the template."""
+        found = []
+        for (gram, window), (prints, template, place) in self.index.items():
+            at, h = winnow(words, first, gram, window)
+            a, b = np.searchsorted(prints, h), np.searchsorted(prints, h, "right")
+            hit = np.flatnonzero(b > a)
+            times = (b - a)[hit]
+            if len(hit):
+                slot = np.repeat(a[hit] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+                where = np.repeat(at[hit], times)
+                found.append(np.stack([np.searchsorted(first, where, "right") - 1, template[slot], where - place[slot]]))
+        return np.unique(np.concatenate(found, 1), axis=1).T if found else np.zeros((0, 3), np.int64)
+
+    def fits(self, n: int, decisive: list[int], foreign: int) -> bool:
+        """Whether the decisive words of a span agree with the template's; `foreign` counts the words that it lacks."""
+        rest = list(self.marks[n])
+        for w in decisive:
+            if w not in rest:
+                return False
+            rest.remove(w)
+        return len(rest) <= foreign
 
-    def spans(w, first):
-        """(document, template, first word, last word, hits) of a chunk's matches."""
-        if not len(index) or not len(w):
+    def spans(self, words: np.ndarray, first: np.ndarray):
+        """(row, template, first word, last word, edits) of all matches, before overlaps are settled."""
+        known: dict[int, tuple[np.ndarray, np.ndarray, list[int]]] = {}
+        rows = self.places(words, first)
+        if not len(rows):
             return
-        at = np.minimum(np.searchsorted(index, w), len(index) - 1)
-        known = np.flatnonzero(index[at] == w)
-        at = at[known]
-        for n, template in enumerate(lists):
-            if not template:
-                continue
-            reach, need = len(template) + 2 * BAND, least[n]
-            mine = known[holds[n][at]]
+        gap = np.array([e + 1 for e in self.edits])
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = np.any(rows[1:, :2] != rows[:-1, :2], axis=1) | (rows[1:, 2] - rows[:-1, 2] > gap[rows[1:, 1]])
+        begin = np.flatnonzero(fresh)
+        for x, y in zip(begin, np.r_[begin[1:], len(rows)], strict=True):
+            d, n, low = rows[x].tolist()
+            high, e, size = int(rows[y - 1, 2]), self.edits[n], len(self.words[n])
+            a, b = max(int(first[d]), low - e), min(int(first[d + 1]), high + size + e)
+            if n not in known:
+                at = np.flatnonzero(np.isin(words, self.decisive[n]))
+                known[n] = (np.flatnonzero(np.isin(words, self.vocabulary[n])), at, words[at].tolist())
+            near, marked, marks = known[n]
+            # Places where enough of the template's words lie close enough together.
+            mine, need = near[np.searchsorted(near, a) : np.searchsorted(near, b)], size - e
             if len(mine) < need:
                 continue
-            # Starts with enough of the template's words within reach, in one document.
-            begin, finish = mine[: len(mine) - need + 1], mine[need - 1 :]
-            doc = np.searchsorted(first, begin, "right") - 1
-            good = (finish - begin < reach) & (finish < first[doc + 1])
-            found = []
-            for s, d in zip(begin[good].tolist(), doc[good].tolist(), strict=True):
-                found += [(-hits, last, s, d) for hits, last in aligned(template, w[s : min(s + reach, first[d + 1])].tolist()) if hits >= need]
-            taken: set[int] = set()
-            for lost, last, s, d in sorted(found):
-                if taken.isdisjoint(range(s, s + last + 1)):
-                    taken.update(range(s, s + last + 1))
-                    yield d, n, s, s + last, -lost
+            starts = mine[: len(mine) - need + 1]
+            starts = starts[mine[need - 1 :] - starts < size + e]
+            for part in np.split(starts, np.flatnonzero(np.diff(starts) > size + e) + 1) if len(starts) else ():
+                left, right = max(a, int(part[0]) - e), min(b, int(part[-1]) + size + e)
+                taken = np.zeros(right - left, bool)
+                for cost, s, t in align(self.words[n], words[left:right], low - e - left, high + e - left, e):
+                    if taken[s : t + 1].any():
+                        continue
+                    x, y = np.searchsorted(marked, [left + s, left + t + 1]).tolist()
+                    inside = int(np.searchsorted(near, left + t + 1) - np.searchsorted(near, left + s))
+                    if self.fits(n, marks[x:y], t - s + 1 - inside):
+                        taken[s : t + 1] = True
+                        yield d, n, left + s, left + t, cost
+
+
+def settle(matches: list[tuple[int, int, int, float, str]]) -> list[tuple[int, int, int, float, str]]:
+    """Of (first, last, words of the template, coverage, name) those that stay where spans overlap."""
+    owner: dict[int, tuple] = {}
+    kept: set[tuple[int, int, int, float, str]] = set()
+    for m in sorted(matches, key=lambda m: (-round(m[2] * m[3]), -m[3], m[0], m[4])):
+        if all(owner.get(w, m[:4]) == m[:4] for w in range(m[0], m[1] + 1)):
+            owner.update(dict.fromkeys(range(m[0], m[1] + 1), m[:4]))
+            kept.add(m)
+    return sorted(kept)
+
+
+def _scan(templates, coverage):
+    match = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))
+    held: list[Templates] = []
 
     def run(batches):
+        if not held:
+            held.append(Templates(templates, coverage))
+        table = held[0]
         for batch in batches:
             out = []
             for _, raw, offs in text_chunks(batch.column(1)):
                 s, e, first, w = _word_hashes(raw, offs)
-                found: list[dict] = [{} for _ in range(len(offs) - 1)]
-                for d, n, a, b, hits in spans(w, np.asarray(first)):
-                    name, share = templates[n][0], hits / len(lists[n])
-                    start = len(raw[offs[d] : s[a]].tobytes().decode(errors="ignore"))
-                    end = start + len(raw[s[a] : e[b]].tobytes().decode(errors="ignore"))
-                    key = (name, start)
-                    if key not in found[d] or found[d][key][3] < share:
-                        found[d][key] = (name, start, end, round(share, 4))
-                out += [[dict(zip(("license", "start", "end", "coverage"), v, strict=True)) for v in sorted(f.values(), key=lambda v: (v[1], v[0]))] for f in found]
+                found: list[list] = [[] for _ in range(len(offs) - 1)]
+                for d, n, a, b, edits in table.spans(w, np.asarray(first)) if len(w) else ():
+                    size = len(table.words[n])
+                    found[d].append((a, b, size, 1 - edits / size, table.names[n]))
+                points = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)] if any(found) else None
+                for d, matches in enumerate(found):
+                    rows = []
+                    for a, b, _, share, name in settle(matches):
+                        start, end = (int(points[x] - points[offs[d]]) for x in (s[a], e[b]))
+                        rows.append({"license": name, "start": start, "end": end, "coverage": round(share, 4)})
+                    out.append(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, match)], ["doc_id", "matches"])
 
     return run
@@ -125,5 +303,6 @@ def _scan(templates, coverage):
 
 def license_scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id and matches, an array of license, start, end (code points), coverage."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(tuple(templates), coverage), "doc_id bigint, matches array<struct<license:string,start:bigint,end:bigint,coverage:double>>")
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_scan(tuple(templates), coverage), f"doc_id {kind}, matches array<struct<license:string,start:bigint,end:bigint,coverage:double>>")

@@ -57,9 +57,9 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES):
         row = end
 
 
-def word_bounds(raw: np.ndarray, offs: np.ndarray):
+def word_bounds(raw: np.ndarray, offs: np.ndarray, separator: np.ndarray = SEPARATOR):
     """Starts and ends of the words, and the first word of each row (one more at the end)."""
-    inside = ~SEPARATOR[raw]
+    inside = ~separator[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offs] = True
     start = inside.copy()

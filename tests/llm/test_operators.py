@@ -243,6 +243,59 @@ def test_licenses_with_any_edits(spark):
     assert not got[1003] and not got[1004] and not got[1005]
 
 
+def spans_by_brute_force(text, templates, coverage=0.8):
+    """All (first, last, edits, template) within the edits allowed, by a plain edit table for each start."""
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    out = []
+    for n, (_, t) in enumerate(templates):
+        want = re.findall(r"[a-z0-9]+", t.lower())
+        most = int((1 - coverage) * len(want) + 1e-9)
+        for s in range(len(words)):
+            row = list(range(len(want) + 1))
+            for j, w in enumerate(words[s : s + len(want) + most]):
+                new = [j + 1]
+                for i, v in enumerate(want):
+                    new.append(min(row[i] + (v != w), row[i + 1] + 1, new[i] + 1))
+                row = new
+                if row[-1] <= most:
+                    out.append((s, s + j, row[-1], n))
+    return out
+
+
+def test_licenses_against_brute_force():
+    rng = random.Random(21)
+    templates = (("A", "one two three four five"), ("B", "one two nine three four five six seven eight ten"), ("C", "alpha beta gamma delta one two three four epsilon zeta eta theta iota kappa lambda"), ("D", "one two"))
+    table = licenses.Templates(templates, 0.8)
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice(templates)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(part))
+                part[k : k + rng.randint(0, 1)] = rng.choice([[], ["x"], ["one"], ["y", "z"]])
+            words += part + ["w"] * rng.randint(0, 3)
+        text = " ".join(words)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        _, _, first, w = licenses._word_hashes(raw, np.array([0, len(raw)]))
+        got = {(a, b, e, n) for _, n, a, b, e in table.spans(w, np.asarray(first))}
+        every = spans_by_brute_force(text, templates)
+        assert got <= set(every)
+        # Every span within the edits overlaps a reported one of its template that needs no more edits.
+        assert all(any(n == m and c <= e and a <= t and s <= b for a, b, c, m in got) for s, t, e, n in every)
+
+
+def test_licenses_by_decisive_words(spark):
+    texts = {
+        1: ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]), 2: (licenses.TEMPLATES[-4][1], ["CC-BY-SA-4.0"]), 3: ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        4: ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), 5: ("Licensed under the Apache License, Version 1.0.", []), 6: (licenses.TEMPLATES[7][1], ["BSD-3-Clause"]), 7: ("é " + licenses.TEMPLATES[4][1].upper(), ["MIT"]),
+        8: ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]), 9: ("this work is licensed under the mit license of software " * 3000, None),
+    }
+    rows = {r.doc_id: r.matches for r in licenses.license_scan(spark, spark.createDataFrame([(str(i), t, 1, 2) for i, (t, _) in texts.items()], "doc_id string, text string, matches int, `a.b` int")).collect()}
+    for i, (_, want) in texts.items():
+        assert want is None or [m.license for m in rows[str(i)]] == want
+    assert rows["7"][0].start == 2 and rows["7"][0].coverage == 1.0
+
+
 def test_secrets(spark):
     rows = [*ODD, (20, "deadbeef" * 300 + " zz " + "0123456789abcdef" * 3), (21, "password=ab api_key=q token=token:abcdefgh PASSWORD : \"a.b=c-d\""), (22, "k9Xw2LmQ7vRt4ZpB8nYc3HsD")]
     found = secrets.secret_scan(spark, documents(spark, rows)).select("doc_id", "n_assign", "n_access", "n_hex", secrets.joined(F.col("base")).alias("base"), secrets.joined(F.col("added")).alias("added")).collect()
