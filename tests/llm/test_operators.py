@@ -234,13 +234,13 @@ def test_licenses_with_any_edits(spark):
             if lost <= may:
                 plain[len(plain)] = (name, round(1 - lost / len(words), 4), "intro " + " ".join(changed) + " outro")
     mit, apache = licenses.TEMPLATES[2][1], licenses.TEMPLATES[0][1]
-    rows = [(i, t) for i, (_, _, t) in plain.items()] + [(1000, f"{mit} {mit}\n{mit}"), (1001, f"{apache} {apache}"), (1002, "Released under an MIT License. " + mit), (1003, "under the"), (1004, "Released under the"), (1005, "MIT License")]
+    rows = [(i, t) for i, (_, _, t) in plain.items()] + [(9000, f"{mit} {mit}\n{mit}"), (9001, f"{apache} {apache}"), (9002, "Released under an MIT License. " + mit), (9003, "under the"), (9004, "Released under the"), (9005, "MIT License")]
     got = {r.doc_id: [(m.license, m.start, m.end, m.coverage) for m in r.matches] for r in licenses.license_scan(spark, documents(spark, rows)).collect()}
     assert all((name, share) in {(m[0], m[3]) for m in got[i]} for i, (name, share, _) in plain.items())
-    assert got[1000] == [("MIT", k, k + 30, 1.0) for k in (0, 32, 64)]
-    assert [m[:3] for m in got[1001]] == [("Apache-2.0", 0, 46), ("Apache-2.0", 48, 94)]
-    assert got[1002] == [("MIT", 0, 29, 0.8), ("MIT", 31, 61, 1.0)]
-    assert not got[1003] and not got[1004] and not got[1005]
+    assert got[9000] == [("MIT", k, k + 30, 1.0) for k in (0, 32, 64)]
+    assert [m[:3] for m in got[9001]] == [("Apache-2.0", 0, 46), ("Apache-2.0", 48, 94)]
+    assert got[9002] == [("MIT", 0, 29, 0.8), ("MIT", 31, 61, 1.0)]
+    assert not got[9003] and not got[9004] and not got[9005]
 
 
 def spans_by_brute_force(text, templates, coverage=0.8):
