@@ -108,7 +108,8 @@ def _tile(threshold):
             np.add.at(links, a, weight[b])
             np.add.at(links, b, weight[a])
             roots = union_find(zip(rep[a].tolist(), rep[b].tolist(), strict=True))
-        return pd.DataFrame({"rep": rep, "root": [roots.get(r, r) for r in rep.tolist()], "links": links})
+        linked = np.flatnonzero(links)
+        return pd.DataFrame({"rep": rep[linked], "root": np.array([roots[r] for r in rep[linked].tolist()], np.int64), "links": links[linked]})
 
     return run
 

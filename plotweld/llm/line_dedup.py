@@ -19,8 +19,9 @@ equals a variant of a longer one. So the earliest line under a key is a witness
 a minimum with map-side combining finds it, no pairs of a group are made. The witness is verified by
 edit distance before a line goes.
 
-Null text stays null. Rows equal in doc_id and text count as one document and keep the same
-lines. Null doc_ids come last.
+Exact repeats are told by two hashes of the line and its length. Null text stays null, empty text has one empty line
+that stays. Rows equal in doc_id and text count as one document and keep the same lines. Ids are whole numbers
+(or cast to them); null ones come last. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, col, free
 
 MIN_CHARS = 20
 LAST = (1 << 63) - 1
@@ -58,7 +59,7 @@ def line_occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int
     lines = base.withColumn("n", F.length("line")).where((F.col("n") >= min_chars) & ((F.col("n") >= MIN_CHARS) | F.col("line").rlike(r"\S")))
     line, n = F.col("line"), F.col("n")
     a, b = _halves(line, n, n), _halves(line, n, n - 1)
-    return lines.select("o", "dh", "pos", F.xxhash64("line").alias("h"), "n", F.array_distinct(F.array(*a, *b)).alias("halves"))
+    return lines.select("o", "dh", "pos", F.xxhash64("line").alias("h"), "n", F.xxhash64(F.lit("second"), "line").alias("h2"), F.array_distinct(F.array(*a, *b)).alias("halves"))
 
 
 def dropped_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -67,7 +68,7 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     box = Scratch(spark, "lines")
     seen = box.save(line_occurrences(docs, id_col, text_col, min_chars))
     first = F.struct("o", "pos", "dh")
-    distinct = box.save(seen.groupBy("h", "n").agg(F.min(first).alias("first"), F.count("*").alias("count"), F.first("halves").alias("halves")))
+    distinct = box.save(seen.groupBy("h", "n", "h2").agg(F.min(first).alias("first"), F.count("*").alias("count"), F.first("halves").alias("halves")))
 
     keys = distinct.select("h", "n", "first", F.explode("halves").alias("key"))
     common = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
@@ -100,27 +101,38 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         F.count("*").alias("c"), F.min(F.when(F.col("kind") == "s", F.col("first"))).alias("s"), F.min(F.when(F.col("kind") == "l", F.col("first"))).alias("l"), F.min(F.when(F.col("kind") == "d", F.col("first"))).alias("d")
     ).where("c > 1").drop("c")
     witness = F.when(F.col("kind") == "s", F.col("s")).when(F.col("kind") == "l", F.col("d")).otherwise(F.col("l"))
-    near = variants.join(least, "key").select("h", "first", witness.alias("witness")).where("witness < first").groupBy("h").agg(F.min("witness").alias("witness"))
-    mine = lines.select(F.col("h").alias("ah"), F.col("line").alias("a"))
+    near = variants.join(least, "key").select("h", "first", witness.alias("witness")).where("witness < first").groupBy("h", "first").agg(F.min("witness").alias("witness"))
+    mine = lines.select(F.col("h").alias("ah"), F.col("first").alias("af"), F.col("line").alias("a"))
     its = lines.select(F.col("first").alias("bf"), F.col("line").alias("b"))
-    checked = near.join(mine, F.col("h") == F.col("ah")).join(its, F.col("witness") == F.col("bf")).where(F.levenshtein("a", "b", 1) >= 0).select(F.col("h").alias("gone"))
+    # `first` tells distinct lines apart where they share a hash.
+    checked = near.join(mine, (F.col("h") == F.col("ah")) & (F.col("first") == F.col("af"))).join(its, F.col("witness") == F.col("bf")).where(F.levenshtein("a", "b", 1) >= 0).select(F.col("h").alias("gone"), F.col("first").alias("gf"))
 
-    twice = distinct.join(checked, distinct.h == checked.gone, "left").where("count > 1 or gone is not null")
-    twice = box.save(twice.select(F.col("h").alias("th"), F.col("n").alias("tn"), F.col("first").alias("tf"), F.col("gone").isNotNull().alias("all")))
-    drops = seen.select("o", "dh", "pos", "h", "n").join(twice, (F.col("h") == F.col("th")) & (F.col("n") == F.col("tn")))
+    twice = distinct.join(checked, (distinct.h == checked.gone) & (distinct["first"] == checked["gf"]), "left").where("count > 1 or gone is not null")
+    twice = box.save(twice.select(F.col("h").alias("th"), F.col("n").alias("tn"), F.col("h2").alias("t2"), F.col("first").alias("tf"), F.col("gone").isNotNull().alias("all")))
+    drops = seen.select("o", "dh", "pos", "h", "n", "h2").join(twice, (F.col("h") == F.col("th")) & (F.col("n") == F.col("tn")) & (F.col("h2") == F.col("t2")))
     drops = drops.where(F.col("all") | (F.struct("o", "pos", "dh") != F.col("tf")))
     return drops.groupBy("o", "dh").agg(F.collect_set("pos").alias("drops"))
 
 
+def lines_column(docs: DataFrame) -> str:
+    """The name of the struct of line counts beside the columns of `docs`."""
+    return free("__lines", docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of `docs` with `text` less its repeated lines, and a struct `__lines` of n_lines and n_dropped."""
-    gone = dropped_lines(spark, docs, id_col, text_col, min_chars).select(F.col("o").alias("__o"), F.col("dh").alias("__dh"), F.col("drops").alias("__drops"))
-    key = (F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)) == F.col("__o")) & (F.xxhash64(text_col) == F.col("__dh"))
-    out = docs.join(gone, key, "left").withColumn("__all", F.split(F.col(text_col), "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__drops"))
-    text = F.when(F.col("__drops").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("__all", i + 1)), "\n"))
-    count = F.struct(F.coalesce(F.size("__all"), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("__drops"), F.lit(0)).cast("bigint").alias("n_dropped"))
-    out = out.withColumn("__lines", F.when(F.col(text_col).isNull(), F.struct(F.lit(0).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"))).otherwise(F.when(F.col("__drops").isNull(), F.struct(F.size("__all").cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"))).otherwise(count)))
-    out = out.withColumn("__text", text)
-    columns = [F.col("__text").alias(c) if c == text_col else (F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns]
-    return out.select(*columns, "__lines")
+    """The rows of `docs` with `text` less its repeated lines, and a struct `__lines` of n_lines and n_dropped (see `lines_column`).
+
+    Where there is a column n_chars it is brought up to date.
+    """
+    gone = dropped_lines(spark, docs.select(col(id_col).alias("id"), col(text_col).alias("text")), "id", "text", min_chars)
+    # Own names for the input's columns: none clashes with those added here.
+    own = dict(zip(docs.columns, (f"c{k}" for k in range(len(docs.columns))), strict=True))
+    rows, text_in = docs.toDF(*own.values()), F.col(own[text_col])
+    key = (F.coalesce(F.col(own[id_col]).cast("bigint"), F.lit(LAST)) == F.col("o")) & (F.xxhash64(text_in) == F.col("dh"))
+    out = rows.join(gone, key, "left").withColumn("parts", F.split(text_in, "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drops"))
+    text = F.when(F.col("drops").isNull(), text_in).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("parts", i + 1)), "\n"))
+    n_lines, n_dropped = (F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("bigint") for c in ("parts", "drops"))
+    out = out.withColumn("kept_text", text).withColumn("counts", F.struct(n_lines.alias("n_lines"), n_dropped.alias("n_dropped")))
+    value = lambda c: F.col("kept_text") if c == text_col else F.length("kept_text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(own[c])
+    return out.select(*(value(c).alias(c) for c in docs.columns), F.col("counts").alias(lines_column(docs)))

@@ -2,23 +2,25 @@
 
 Plan, every step distributed and bounded by the input:
 
-1. Every text becomes a set of 64-bit shingle hashes; equal sets form one class (`f1`).
+1. Every text becomes a set of 64-bit shingle hashes; equal sets form one class. A class bears the set's fingerprint
+   f1, mixed with a second one and the size where two sets share f1 (those few f1 are found first and broadcast).
 2. Postings (token, class) are dealt by token range as compressed blocks, so the document
    frequency of every token is exact. Tokens seen in one class only cannot join anything and
    stop here. Very frequent tokens, found on a bounded sample, are spread over salted groups:
    they need no counting, being frequent, and the choice changes the layout and not the result.
 3. Postings return to their class. With the rarest tokens first, a class whose prefix of
    n - ceil(t n) + 1 tokens holds only unshared tokens has no partner and is left out.
-4. Classes that share a prefix token are grouped (connected components of class and token).
-   Groups are packed into bounded blocks; a group above the block size is cut into chunks and
-   all pairs of chunks are searched, so no pair is lost and no task grows with a group.
+4. Classes that share a prefix token are grouped (connected components of class and token; a frequent token's
+   classes meet in salted parts first). Groups are packed into blocks bounded in tokens and rows; a group
+   above the block size is cut into chunks and all pairs of chunks are searched, so no pair is lost and no task grows with a group.
 5. Inside a block, DivideSkip: merge the short inverted lists of a query, probe the L longest by
    binary search, keep what reaches the required overlap. Where probing would cost more than
    merging (dense groups of copies), all lists are merged.
 
-A token keeps the upper 48 bits of its hash. Ties, repeated rows: rows with equal sets are one
-class and linked; rows sharing a doc_id share their component. Null, empty and wordless texts
-have no shingles and link with nothing; a row without doc_id takes no part (component_id null).
+Tokens keep all 64 bits of their hash, so overlaps are counted on whole hashes. Ties, repeated rows: rows with equal
+sets are one class and linked; rows that share an id but not their set are told apart by their class, so each has
+its own component. Null, empty and wordless texts have no shingles and link with nothing; a row without id takes
+no part (component_id null). Ids may have any type with an order; other columns are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, col
 from .components import components, union_find
 from .textkernel import U64, mix, shingle_sets
 
@@ -41,18 +43,26 @@ SAMPLE_DOCS = 5_000
 HOT_SHARE = 0.01
 HOT_SALTS = 32
 BLOCK_TOKENS = 250_000
-TOKEN_BITS = 48
+BLOCK_ROWS = 500
+PIVOT_SALTS = 16
 
 
-def _fingerprints(width):
+def _prints(s: np.ndarray) -> tuple[int, int]:
+    """Two fingerprints of a set of hashes."""
+    f1 = mix(np.add.reduce(mix(s), keepdims=True) + U64(len(s))).view(np.int64)[0]
+    return int(f1), int(np.bitwise_xor.reduce(mix(s ^ U64(0x5851F42D4C957F2D))).view(np.int64))
+
+
+def _fingerprints(width, prints):
     def run(batches):
         for batch in batches:
             n, f1, f2 = [], [], []
             for s in shingle_sets(batch.column(1), width):
+                a, b = prints(s) if len(s) else (None, None)
                 n.append(len(s))
-                f1.append(int(mix(np.add.reduce(mix(s), keepdims=True) + U64(len(s))).view(np.int64)[0]) if len(s) else None)
-                f2.append(int(np.bitwise_xor.reduce(mix(s ^ U64(0x5851F42D4C957F2D))).view(np.int64)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["doc_id", "n", "f1", "f2"])
+                f1.append(a)
+                f2.append(b)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["doc_id", "n", "f1", "f2"])
 
     return run
 
@@ -61,7 +71,7 @@ def _sampled_tokens(width):
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column(0), width))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, U64)]) >> U64(64 - TOKEN_BITS)).cast(pa.int64())], ["token"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, U64)]).view(np.int64))], ["token"])
 
     return run
 
@@ -88,7 +98,7 @@ def _steps(sorted_values: np.ndarray) -> np.ndarray:
     return np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
 
 
-def _postings(width: int, slices: int, hot: np.ndarray):
+def _postings(width: int, slices: int, hot: np.ndarray, doubled: frozenset, prints):
     """Blocks of (token, class) by token range; hot tokens go to salted groups after the ranges."""
 
     def flush(sets, classes, turn):
@@ -109,10 +119,10 @@ def _postings(width: int, slices: int, hot: np.ndarray):
         if is_hot.any():
             put(slices + turn % HOT_SALTS, at[is_hot].astype(U64), doc[is_hot])
             tok, doc = tok[~is_hot], doc[~is_hot]
-        cut = np.searchsorted((tok * U64(slices)) >> U64(TOKEN_BITS), np.arange(slices + 1, dtype=U64))
-        for g in range(slices):
-            if cut[g] < cut[g + 1]:
-                put(g, tok[cut[g] : cut[g + 1]], doc[cut[g] : cut[g + 1]])
+        at = _slice(tok, slices)
+        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+        for x, y in zip(start, np.r_[start[1:], len(at)], strict=True):
+            put(int(at[x]), tok[x:y], doc[x:y])
         return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(blobs, pa.binary())], ["g", "blob"])
 
     def run(batches):
@@ -121,11 +131,13 @@ def _postings(width: int, slices: int, hot: np.ndarray):
             for s in shingle_sets(batch.column(0), width):
                 if not len(s):
                     continue
-                f1 = int(mix(np.add.reduce(mix(s), keepdims=True) + U64(len(s))).view(np.int64)[0])
+                f1, f2 = prints(s)
+                if f1 in doubled:
+                    f1 ^= f2 ^ len(s)
                 if f1 in seen:
                     continue
                 seen.add(f1)
-                sets.append(s >> U64(64 - TOKEN_BITS))
+                sets.append(s)
                 classes.append(f1)
                 held += len(s)
                 if held >= FLUSH_TOKENS:
@@ -138,8 +150,9 @@ def _postings(width: int, slices: int, hot: np.ndarray):
     return run
 
 
-def _bucket(f1: np.ndarray, buckets: int) -> np.ndarray:
-    return ((f1.view(U64) >> U64(32)) * U64(buckets)) >> U64(32)
+def _slice(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """Equal ranges of 64-bit hashes."""
+    return ((hashes >> U64(32)) * U64(slices)) >> U64(32)
 
 
 def _shared(slices: int, buckets: int):
@@ -175,7 +188,7 @@ def _shared(slices: int, buckets: int):
             f1 = f1[keep]
         order = np.argsort(f1.view(U64), kind="stable")
         f1, ident, df = f1[order], ident[order], df[order]
-        cut = np.searchsorted(_bucket(f1, buckets), np.arange(buckets + 1, dtype=U64))
+        cut = np.searchsorted(_slice(f1.view(U64), buckets), np.arange(buckets + 1, dtype=U64))
         rows = [(b, _pack(_steps(f1[x:y].view(U64)), ident[x:y], df[x:y])) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
         return pd.DataFrame(rows, columns=["b", "blob"])
 
@@ -282,48 +295,57 @@ def _search(percent: int):
         np.add.at(links, a, weight[b])
         np.add.at(links, b, weight[a])
         roots = union_find(zip(f1[a].tolist(), f1[b].tolist(), strict=True))
-        return pd.DataFrame({"f1": f1, "root": [roots.get(x, x) for x in f1.tolist()], "links": links})
+        linked = np.flatnonzero(links)
+        return pd.DataFrame({"f1": f1[linked], "root": np.array([roots[x] for x in f1[linked].tolist()], np.int64), "links": links[linked]})
 
     return run
 
 
-def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, n_links, component_id.
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, fingerprint=_prints) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id, n_links.
 
-    n_links counts the other rows linked directly, copies included; component_id is the smallest
-    doc_id reachable by links. An empty table gives an empty result.
+    component_id is the smallest doc_id reachable by links; n_links counts the other rows linked directly, copies
+    included. An empty table gives an empty result.
     """
     box = Scratch(spark, "ngram")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = box.save(rows.mapInArrow(_fingerprints(width), "doc_id bigint, n bigint, f1 bigint, f2 bigint"))
-    classes = prints.where("f1 is not null and doc_id is not null").groupBy("f1").agg(
-        F.min("n").alias("n"), F.count("*").alias("size"), F.min("doc_id").alias("least"),
-        F.assert_true((F.min("f2") == F.max("f2")) & (F.min("n") == F.max("n")), F.lit("two shingle sets share a fingerprint")).alias("checked"),
-    )
-    classes = box.save(classes.where("checked is null").drop("checked"))
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    prints = box.save(rows.mapInArrow(_fingerprints(width, fingerprint), f"doc_id {kind}, n bigint, f1 bigint, f2 bigint"))
+    known = prints.where("f1 is not null and doc_id is not null")
+    # Chance alone makes few of them: n classes share about n * n / 2**65 fingerprints.
+    doubled = frozenset(r[0] for r in known.groupBy("f1").agg((F.min("f2") != F.max("f2")).alias("a"), (F.min("n") != F.max("n")).alias("b")).where("a or b").select("f1").collect())
+    own = F.when(F.col("f1").isin(*doubled), F.col("f1").bitwiseXOR(F.col("f2")).bitwiseXOR(F.col("n"))).otherwise(F.col("f1")) if doubled else F.col("f1")
+    prints, known = prints.withColumn("f1", own), known.withColumn("f1", own)
+    classes = box.save(known.groupBy("f1").agg(F.min("n").alias("n"), F.count("*").alias("size"), F.min("doc_id").alias("least")))
     text = rows.where("doc_id is not null and text is not null")
     total, count = text.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    slices = min(65_000, max(MIN_SLICES, -(-int(total or 0) // SLICE_BYTES)))
+    slices = max(MIN_SLICES, -(-int(total or 0) // SLICE_BYTES))
 
     every = max(1, count // SAMPLE_DOCS)
     sample = text.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
     hot_least = max(16, int(HOT_SHARE * count / every))
-    hot = np.array(sorted(r[0] for r in sample.mapInArrow(_sampled_tokens(width), "token bigint").groupBy("token").count().where(F.col("count") > hot_least).collect()), np.int64).view(U64)
+    hot = np.sort(np.array([r[0] for r in sample.mapInArrow(_sampled_tokens(width), "token bigint").groupBy("token").count().where(F.col("count") > hot_least).collect()], np.int64).view(U64))
 
-    blocks = text.select("text").mapInArrow(_postings(width, slices, hot), "g int, blob binary")
+    blocks = text.select("text").mapInArrow(_postings(width, slices, hot, doubled, fingerprint), "g int, blob binary")
     shared = blocks.groupBy("g").applyInPandas(_shared(slices, slices), "b int, blob binary")
     sized = classes.select(((F.shiftrightunsigned(F.col("f1"), 32) * slices) / F.lit(1 << 32)).cast("int").alias("b"), "f1", "n")
     active = box.save(shared.groupBy("b").cogroup(sized.groupBy("b")).applyInPandas(_active(percent), "f1 bigint, n bigint, tokens binary, prefix array<bigint>"))
 
-    tokens = active.select("f1", F.explode("prefix").alias("token"))
-    pivots = tokens.groupBy("token").agg(F.min("f1").alias("pivot"), F.count("*").alias("df")).where("df > 1")
-    edges = box.save(tokens.join(pivots, "token").where("f1 <> pivot").select("f1", "pivot").distinct())
+    # A token's classes meet at its least one, first within salted parts of them, then the parts' least ones.
+    tokens = active.select("f1", F.explode("prefix").alias("token")).withColumn("salt", F.pmod(F.xxhash64("f1"), F.lit(PIVOT_SALTS)))
+    parts = tokens.groupBy("token", "salt").agg(F.min("f1").alias("part"))
+    pivots = parts.groupBy("token").agg(F.min("part").alias("pivot"), F.count("*").alias("c")).where("c > 1")
+    near = tokens.join(parts, ["token", "salt"]).where("f1 <> part").select("f1", F.col("part").alias("pivot"))
+    far = parts.join(pivots, "token").where("part <> pivot").select(F.col("part").alias("f1"), "pivot")
+    edges = box.save(near.unionByName(far).distinct())
     groups = components(spark, edges)
-    group = box.save(active.join(groups, active.f1 == groups.node).join(classes.select(F.col("f1").alias("c"), "size"), F.col("f1") == F.col("c")).select("f1", "n", "size", "tokens", F.col("component").alias("k")))
-    weights = group.groupBy("k").agg(F.sum(F.octet_length("tokens") / 8).alias("w"))
-    small_total = weights.where(F.col("w") <= 2 * BLOCK_TOKENS).agg(F.sum("w")).first()[0] or 0
+    group = active.join(groups, active.f1 == groups.node).join(classes.select(F.col("f1").alias("c"), "size"), F.col("f1") == F.col("c"))
+    group = box.save(group.select("f1", "n", "size", "tokens", F.col("component").alias("k")))
+    weigh = F.greatest(F.octet_length("tokens") / 8, F.lit(BLOCK_TOKENS / BLOCK_ROWS))
+    weights = group.groupBy("k").agg(F.sum(weigh).alias("w"))
+    small_total = weights.where(F.col("w") <= BLOCK_TOKENS).agg(F.sum("w")).first()[0] or 0
     packs = max(MIN_SLICES, int(small_total // BLOCK_TOKENS) + 1)
-    placed = group.join(weights, "k").withColumn("cuts", F.when(F.col("w") > 2 * BLOCK_TOKENS, F.ceil(F.col("w") / BLOCK_TOKENS)).otherwise(1).cast("int"))
+    placed = group.join(weights, "k").withColumn("cuts", F.when(F.col("w") > BLOCK_TOKENS, F.ceil(2 * F.col("w") / BLOCK_TOKENS)).otherwise(1).cast("int"))
     placed = placed.withColumn("side", F.pmod(F.xxhash64("f1"), F.col("cuts")).cast("int")).withColumn("g", F.when(F.col("cuts") > 1, F.col("k")).otherwise(F.pmod(F.xxhash64("k"), F.lit(packs))))
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("o")
     tiles = placed.select("f1", "n", "size", "tokens", "side", "g", (F.col("cuts") > 1).alias("cut"), other)
@@ -334,6 +356,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     label = classes.join(linked, classes.f1 == linked.node, "left").select("f1", "size", "least", F.coalesce("component", "f1").alias("k"))
     low = label.groupBy("k").agg(F.min("least").alias("component_id"))
     links = found.groupBy("f1").agg(F.sum("links").alias("links"))
-    result = label.join(low, "k").join(links, "f1", "left").select(F.col("f1").alias("c"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    result = box.save(label.join(low, "k").join(links, "f1", "left").select(F.col("f1").alias("c"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
+    box.drop(active, edges, group, found)
     out = prints.join(result, (prints.f1 == result.c) & prints.doc_id.isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -296,6 +296,9 @@ class PieceEncoder:
             raise ValueError("the piece table does not fit 16 bits")
         self.shared, self.seed, self.end, self.pad = spark.sparkContext.broadcast(parts), seed, size, size + 1
 
+    def counts(self, ids: pa.Array, column: pa.Array) -> list[int]:
+        return [len(x) for x in self.arrays(ids, column)]
+
     def arrays(self, ids: pa.Array, column: pa.Array):
         """The sampled ids of each text of a column, keyed by the rows' ids."""
         pieces, keys = _held(self.shared), row_keys(ids)

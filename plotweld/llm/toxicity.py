@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch, col, free
+from .common import Scratch, free
 
 SAMPLE_ROWS = 20_000
 STEM = (3, 4, 5, 6, 7, 8)
@@ -297,9 +297,10 @@ def score_column(docs: DataFrame) -> str:
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text_col: str = "text") -> DataFrame:
     """The rows of `docs` with a double `__score` in [0, 1] (see `score_column`)."""
-    shared, name = spark.sparkContext.broadcast(model), score_column(docs)
-    rows = docs.select("*", col(text_col).cast("string").alias(name))
-    return rows.mapInArrow(_scores(shared), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    shared, names = spark.sparkContext.broadcast(model), [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("score", F.col(names[docs.columns.index(text_col)]).cast("string"))
+    form = StructType([*(StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)), StructField("score", DoubleType())])
+    return rows.mapInArrow(_scores(shared), form).toDF(*docs.columns, score_column(docs))
 
 
 def held_out(id_col: str):

@@ -92,6 +92,9 @@ class ByteEncoder:
 
     end, pad = END, PAD
 
+    def counts(self, ids: pa.Array, column: pa.Array) -> list[int]:
+        return [len(x) for x in self.arrays(ids, column)]
+
     def arrays(self, ids: pa.Array, column: pa.Array):
         for text in column:
             yield np.frombuffer(text.as_buffer(), np.uint8).astype(np.uint16) if text.is_valid else np.zeros(0, np.uint16)
@@ -124,9 +127,14 @@ class RankEncoder:
         return _ENCODINGS[self.name]
 
     def arrays(self, ids: pa.Array, column: pa.Array):
-        encode = self.encoding().encode_to_numpy
+        encode = self.encoding().encode_ordinary
         for text in column:
-            yield encode(text.as_py(), disallowed_special=()).astype(np.uint16) if text.is_valid else np.zeros(0, np.uint16)
+            yield np.array(encode(text.as_py()), np.uint16) if text.is_valid else np.zeros(0, np.uint16)
+
+    def counts(self, ids: pa.Array, column: pa.Array) -> list[int]:
+        """The numbers of ids, without arrays of them."""
+        encode = self.encoding().encode_ordinary
+        return [len(encode(text.as_py())) if text.is_valid else 0 for text in column]
 
 
 def _runs(encoder, stride: int, pack: bool):
@@ -135,10 +143,10 @@ def _runs(encoder, stride: int, pack: bool):
     def run(batches):
         part, out = TaskContext.get().partitionId(), []
         for batch in batches:
-            for file, row, ids in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), encoder.arrays(batch.column(0), batch.column(1)), strict=True):
+            for file, row, ids in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), encoder.counts(batch.column(0), batch.column(1)), strict=True):
                 if not out or out[-1][0] != file:
                     out.append([file, row, 0])
-                out[-1][2] += _room(len(ids), stride, pack)
+                out[-1][2] += _room(ids, stride, pack)
         if out:
             file, row, total = zip(*out, strict=True)
             n = len(out)
