@@ -11,6 +11,9 @@ whose angle ranges lie further apart than the threshold angle can hold no pair a
 made. What is left is one bounded task a pair of blocks. Only counts of links and a spanning
 forest leave a task.
 
+A vector's row carries its label and components whatever other columns are called; those are left out. Ids are whole
+numbers. An empty table gives an empty result. A cosine of just the threshold links.
+
 Null labels, null vectors, zero vectors and vectors with null or non-finite components link with
 nothing. Vectors of different length are never similar. A repeated vec_id shares its component.
 """
@@ -25,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, col
 from .components import components, union_find
 
 BLOCK = 1024
+SALTS = 16
 #: Largest length for which int8 products sum exactly in single precision.
 EXACT_DIMS = 1040
 
@@ -117,7 +121,7 @@ def _tile(threshold):
 def embedding_near_dedup(spark: SparkSession, vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept (see the module text)."""
     box = Scratch(spark, "vectors")
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(col(id_col).cast("bigint").alias("vec_id"), col(label_col).cast("string").alias("label"), col(vector_col).cast("array<double>").alias("v"))
     prepared = box.save(rows.mapInArrow(_prepare, "vec_id bigint, label string, raw binary, angle double"))
     can = prepared.where("raw is not null and label is not null and vec_id is not null")
     # A class is a distinct vector of a label; its node is its smallest vec_id.
@@ -127,7 +131,10 @@ def embedding_near_dedup(spark: SparkSession, vectors: DataFrame, threshold: flo
     width = math.acos(threshold) / 2
     cells = parts.withColumn("cell", F.floor(F.col("angle") / width).cast("int"))
     full = cells.groupBy("label", "len", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
-    placed = cells.join(full, ["label", "len", "cell"]).withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
+    # A cell may hold much of a label: its rows meet their count in salted parts.
+    full = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cells = cells.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    placed = cells.join(full, ["label", "len", "cell", "salt"]).drop("salt").withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
     placed = placed.withColumn("block", F.col("cell") * 1_000_000 + F.col("cut"))
     blocks = placed.groupBy("label", "len", "block", "cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
     near, reach = blocks.alias("p"), math.acos(threshold) + 1e-9
