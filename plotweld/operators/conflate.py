@@ -76,11 +76,14 @@ def decide(sources: DataFrame, scored: DataFrame) -> DataFrame:
     A split's coverage sums its children's common area with the parent: children that overlap more than the
     tolerance fail anyway.
     """
-    r = ranked(scored).withColumn("second", F.coalesce(F.lead("p").over(W.partitionBy("s_parcel_id").orderBy("rank")), F.lit(0.0)))
     s, t = g.box("s_"), g.box("t_")
-    child = F.struct("rank", "t_parcel_id", "p", g.intersection_area(s, t).alias("common"), g.area(t).alias("size"), *(F.col(f"t_{n}").alias(n) for n in ("xmin", "ymin", "xmax", "ymax")))
-    high = r.where((F.col("p") >= RULES.high_p) & (F.col("rank") <= 4)).groupBy("s_parcel_id").agg(F.array_sort(F.collect_list(child)).alias("high"))
-    best = r.where("rank = 1").join(high, "s_parcel_id", "left")
+    # The four best of a source in one aggregate: the best, the second's p and the likely children all come from it.
+    columns = [c for c in scored.columns if c != "s_parcel_id"]
+    four = ranked(scored).where("rank <= 4").groupBy("s_parcel_id").agg(F.array_sort(F.collect_list(F.struct("rank", *columns, g.intersection_area(s, t).alias("common"), g.area(t).alias("size")))).alias("four"))
+    second = F.coalesce(F.get("four", F.lit(1))["p"], F.lit(0.0))
+    child = lambda c: F.struct(c["rank"], c["t_parcel_id"], c["p"], c["common"], c["size"], *(c[f"t_{n}"].alias(n) for n in ("xmin", "ymin", "xmax", "ymax")))
+    high = F.transform(F.filter("four", lambda c: c["p"] >= RULES.high_p), child)
+    best = four.select("s_parcel_id", *(F.get("four", F.lit(0))[c].alias(c) for c in columns), second.alias("second"), high.alias("high"))
     total = lambda f: F.aggregate("high", F.lit(0.0), lambda a, c: a + f(c))
     parent = g.area(s)
     worst = F.array_max(F.flatten(F.transform("high", lambda a: F.transform(F.filter("high", lambda b: b["rank"] > a["rank"]), lambda b: F.greatest(F.lit(0.0), F.least(a["xmax"], b["xmax"]) - F.greatest(a["xmin"], b["xmin"])) * F.greatest(F.lit(0.0), F.least(a["ymax"], b["ymax"]) - F.greatest(a["ymin"], b["ymin"])) / F.least(a["size"], b["size"])))))

@@ -41,11 +41,14 @@ def overlaps(layer: DataFrame) -> DataFrame:
 
 
 def checklist(rows: DataFrame) -> DataFrame:
-    """The nine conditions of automatic acceptance; a missing flag counts against it."""
+    """The nine conditions of automatic acceptance; a missing flag counts against it.
+
+    Registration counts as passed unless the rows carry a column `registration_passed`.
+    """
     free = F.col("conflict_type").isNull()
     return rows.withColumns({
         "ok_probability": F.coalesce(F.col("probability") >= RULES.auto_match, F.lit(False)), "ok_geometry": F.coalesce(F.col("e_geometry") >= 0.5, F.lit(False)),
-        "ok_registration": F.lit(True), "ok_topology": F.coalesce(g.area(g.box("t_")) >= 0.01, F.lit(False)), "ok_conflict": free,
+        "ok_registration": F.coalesce("registration_passed", F.lit(False)) if "registration_passed" in rows.columns else F.lit(True), "ok_topology": F.coalesce(g.area(g.box("t_")) >= 0.01, F.lit(False)), "ok_conflict": free,
         "ok_attribute": F.col("attribute_message").isNull(), "ok_physical": F.coalesce(F.col("conflict_type") != "PHYSICAL_EVIDENCE_CONFLICT", F.lit(True)),
         "ok_structure": ~(F.col("relation").isin("AMBIGUOUS", "SPLIT", "MERGE") & (F.col("probability") < RULES.auto_match)), "ok_target": F.size("targets") > 0,
     })

@@ -31,6 +31,22 @@ def conflict_metrics(found: DataFrame, known: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)), 6)})
 
 
+def conflict_ids(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Every parcel id found or known, with how it counts: hit, false alarm or missed."""
+    f, k = found.select(F.col("parcel_id").alias("f")).distinct(), known.select(F.col("parcel_id").alias("k")).distinct()
+    kind = F.when(F.col("k").isNull(), "false_alarm").when(F.col("f").isNull(), "missed").otherwise("hit")
+    return f.join(k, F.col("f") == F.col("k"), "full").select(F.coalesce("f", "k").alias("parcel_id"), kind.alias("outcome"))
+
+
+def summary(routed: DataFrame, truth: DataFrame, found: DataFrame, known: DataFrame, quality: DataFrame) -> DataFrame:
+    """One row: the benchmark's figures beside their targets."""
+    precision = auto_accept_precision(routed, truth).select(F.col("precision").alias("conflation_precision"))
+    recall = conflict_metrics(found, known).select(F.col("recall").alias("conflict_recall"))
+    effort = routed.agg(F.round(F.avg((F.col("route") == "AUTO_ACCEPT").cast("int")), 6).alias("manual_effort_reduction"), F.count(F.when((F.col("route") == "AUTO_ACCEPT") & F.col("conflict_type").isNotNull(), 1)).alias("silent_errors"))
+    out = precision.crossJoin(recall).crossJoin(effort).crossJoin(quality.select(F.col("passed").alias("registration_passed"), F.round("worst_p95", 6).alias("worst_p95")))
+    return out.withColumns({"precision_target": F.lit(0.95), "recall_target": F.lit(0.95), "effort_target": F.lit(0.5)})
+
+
 def reliability_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Mean score and share of positives of half-open bins; a score of 1 falls in none."""
     rows = scored.where("p < 1").withColumn("bin", F.floor(F.col("p") * bins).cast("int"))

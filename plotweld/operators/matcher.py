@@ -74,6 +74,21 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return scored.select(*rows.columns, "p")
 
 
+def linear_score(rows: DataFrame, weights: dict[str, float], intercept: float) -> DataFrame:
+    """`p` of a regression with given weights, four digits: a fitted model's, kept as plain numbers."""
+    z = sum((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * w for f, w in weights.items()), F.lit(intercept))
+    return rows.withColumn("p", F.round(1 / (1 + F.exp(-z)), 4))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Written over what lies there."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
     return list(zip(FEATURES, map(float, model.stages[-1].coefficients), strict=True))
 

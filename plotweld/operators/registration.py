@@ -53,6 +53,63 @@ def with_region(rows: DataFrame, bins: int = 3) -> DataFrame:
     return out.withColumn("region", F.concat(F.lit("r"), F.col("row"), F.lit("c"), F.col("col")))
 
 
+def helmert_matrix(fit: DataFrame) -> DataFrame:
+    """The similarity as the six parameters of an affine map."""
+    a, b = F.col("scale") * F.cos("rotation"), F.col("scale") * F.sin("rotation")
+    return fit.select(a.alias("a"), (-b).alias("b"), F.col("shift_x").alias("e"), b.alias("c"), a.alias("d"), F.col("shift_y").alias("f"))
+
+
+def gate(rows: DataFrame, threshold: float = 0.5, regional: float = 1.5) -> DataFrame:
+    """One row: global P95, worst regional P95, and whether both keep their bounds; without residuals nothing passes."""
+    worst = rows.groupBy("region").agg(F.percentile("residual", 0.95).alias("p95")).agg(F.max("p95").alias("worst_p95"), F.count(F.when(F.col("p95") <= regional * threshold, 1)).alias("passing_regions"), F.count(F.when(F.col("p95") > regional * threshold, 1)).alias("failing_regions"))
+    total = rows.agg(F.count("*").alias("n"), F.percentile("residual", 0.95).alias("p95"), F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rmse"))
+    return total.crossJoin(F.broadcast(worst)).withColumn("passed", F.coalesce((F.col("failing_regions") == 0) & (F.col("p95") <= threshold), F.lit(False)))
+
+
+def single_shot(points: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(fit, gate) of the affine map; of fewer than three points, whose map is not determined, nothing passes."""
+    fit = affine(points)
+    return fit, gate(with_region(with_residual(apply_affine(points, fit))), threshold)
+
+
+def escalation_steps(points: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Similarity, then affine map, with the P95 of each: the first that keeps 1.5 times the threshold is chosen; `none` where there are fewer than three points."""
+    steps = None
+    for n, (name, fit) in enumerate((("helmert", helmert_matrix(helmert(points))), ("affine", affine(points))), 1):
+        r = with_residual(apply_affine(points, fit)).agg(F.count("*").alias("n"), F.percentile("residual", 0.95).alias("p95"))
+        row = r.select(F.lit(n).alias("step"), F.when(F.col("n") >= 3, name).otherwise("none").alias("method"), F.when(F.col("n") >= 3, F.col("p95")).otherwise(F.lit(float("inf"))).alias("p95"))
+        steps = row if steps is None else steps.unionByName(row)
+    steps = steps.withColumn("accepted", F.coalesce(F.col("p95") <= 1.5 * threshold, F.lit(False)))
+    first = steps.where("accepted").agg(F.min("step").alias("first"))
+    return steps.crossJoin(F.broadcast(first)).withColumn("chosen", F.coalesce(F.col("step") == F.col("first"), F.lit(False))).drop("first")
+
+
+def registered(rings: DataFrame, fit: DataFrame, quality: DataFrame, origin: tuple[float, float]) -> DataFrame:
+    """The next version of every parcel of `rings` (parcel_id, version, ring), moved by a map about the origin.
+
+    Status CANDIDATE, attributes replaced by the stage, uncertainty the P95 of the registration.
+    """
+    ox, oy = origin
+    rows = rings.crossJoin(F.broadcast(fit)).crossJoin(F.broadcast(quality.select("p95")))
+    x, y = (lambda v: v["x"] - ox), (lambda v: v["y"] - oy)
+    ring = F.transform("ring", lambda v: F.struct((F.col("a") * x(v) + F.col("b") * y(v) + F.col("e") + ox).alias("x"), (F.col("c") * x(v) + F.col("d") * y(v) + F.col("f") + oy).alias("y")))
+    return rows.select("parcel_id", (F.col("version") + 1).alias("version"), F.lit("CANDIDATE").alias("status"), F.lit('{"stage":"registered"}').alias("attributes"), ring.alias("ring"), F.col("p95").alias("uncertainty"))
+
+
+def residual_vectors(rows: DataFrame) -> DataFrame:
+    """From each point to where the map takes it."""
+    return rows.select("point_id", F.col("sx").alias("from_x"), F.col("sy").alias("from_y"), F.col("px").alias("to_x"), F.col("py").alias("to_y"), "residual")
+
+
+def heatmap_cells(rows: DataFrame, bins: int = 3) -> DataFrame:
+    """The heat map's cells that hold points, with bounds and the share of the mean in the P95, 1 at most."""
+    e = rows.agg(F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"))
+    cells = heatmap(rows, bins).where("n > 0").crossJoin(F.broadcast(e))
+    at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / bins
+    share = F.least(F.col("mean") / F.greatest("p95", F.lit(0.01)), F.lit(1.0))
+    return cells.select("row", "col", "n", "mean", "p95", share.alias("residual"), at("x0", "x1", F.col("col")).alias("xmin"), at("y0", "y1", F.col("row")).alias("ymin"), at("x0", "x1", F.col("col") + 1).alias("xmax"), at("y0", "y1", F.col("row") + 1).alias("ymax"))
+
+
 def regional_stats(rows: DataFrame) -> DataFrame:
     r = F.col("residual")
     return rows.groupBy("region").agg(F.count("*").alias("n"), F.sqrt(F.avg(r * r)).alias("rmse"), F.percentile(r, 0.5).alias("p50"), F.percentile(r, 0.95).alias("p95"), F.max(r).alias("max"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import rings
 from ..operators import conflate, imagery, matcher
+from ..operators.corners import box_ring
 from .queries import Plan, query
 
 
@@ -16,7 +18,7 @@ def _labelled(p: Plan) -> DataFrame:
     rows = conflate.with_evidence(p.scored(), gnss, conflate.building_support(p.layer("target_parcel"), p.layer("observation")))
     s, t = g.box("s_"), g.box("t_")
     named = {
-        "boundary_distance": F.col("hausdorff"), "intersection_area": g.intersection_area(s, t), "orientation_similarity": F.lit(1.0),
+        "boundary_distance": F.col("hausdorff"), "intersection_area": g.intersection_area(s, t), "orientation_similarity": rings.orientation_similarity(box_ring("s_xmin", "s_ymin", "s_xmax", "s_ymax"), box_ring("t_xmin", "t_ymin", "t_xmax", "t_ymax")),
         "gnss_support": F.col("e_survey"), "building_support": F.col("e_physical"), "y": (F.col("s_k") == F.col("t_k")).cast("int"),
     }
     return matcher.with_part(rows.withColumns(named), "s_parcel_id").select("s_parcel_id", "t_parcel_id", *matcher.FEATURES, "y", "part")
@@ -55,7 +57,12 @@ def calibrated_scores(p: Plan) -> DataFrame:
 
 @query(None)
 def matcher_cross_validation(p: Plan) -> DataFrame:
-    losses = matcher.cross_validate(matcher.synthetic_pairs(p.spark), "id")
+    """Log loss of five folds over all candidate pairs."""
+    rows = _labelled(p).persist()
+    try:
+        losses = matcher.cross_validate(rows, "s_parcel_id")
+    finally:
+        rows.unpersist()
     return p.spark.createDataFrame(list(enumerate(losses)), "fold int, log_loss double")
 
 

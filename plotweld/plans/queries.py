@@ -24,16 +24,16 @@ class Plan:
     def pairs(self) -> DataFrame:
         return conflate.with_features(conflate.candidates(self.layer("source_parcel"), self.layer("target_parcel")))
 
-    def scored(self) -> DataFrame:
-        return conflate.rule_probability(self.pairs())
+    def scored(self, score=conflate.rule_probability) -> DataFrame:
+        return score(self.pairs())
 
-    def evidence(self) -> DataFrame:
-        rows = self.scored()
+    def evidence(self, score=conflate.rule_probability) -> DataFrame:
+        rows = self.scored(score)
         gnss = conflate.gnss_support(conflate.candidates(self.layer("source_parcel"), self.layer("target_parcel")), self.layer("survey_point"))
         return conflate.with_evidence(rows, gnss, conflate.building_support(self.layer("target_parcel"), self.layer("observation")))
 
-    def decided(self) -> DataFrame:
-        return conflate.decide(self.layer("source_parcel"), self.evidence())
+    def decided(self, score=conflate.rule_probability) -> DataFrame:
+        return conflate.decide(self.layer("source_parcel"), self.evidence(score))
 
     def conflicted(self) -> DataFrame:
         return conflicts.with_conflict(self.decided())

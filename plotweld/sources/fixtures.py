@@ -47,6 +47,36 @@ SELECT k AS point_id, CAST(41 * (k % 50) AS DOUBLE) AS sx, CAST(31 * (k {div} 50
 FROM (SELECT s_suppkey AS k FROM supplier) q""",
     "scored_label": """
 SELECT event_id, least(value / 512, CAST(1 AS DOUBLE)) AS p, CASE WHEN event_id % 7 < 3 THEN 1 ELSE 0 END AS y FROM events WHERE value IS NOT NULL""",
+    "source_ring": """
+SELECT concat('L-', k) AS parcel_id, k,
+  500000 + 41 * (k % 50) + 0 + ((7 * k + 3 * 0) % 17 - 8) / 16 + 0.03125e0 AS x0, 3000000 + 31 * (k {div} 50) + 0 + ((11 * k + 5 * 0) % 13 - 6) / 16 + 0.03125e0 AS y0,
+  500000 + 41 * (k % 50) + 40 + ((7 * k + 3 * 1) % 17 - 8) / 16 + 0.03125e0 AS x1, 3000000 + 31 * (k {div} 50) + 0 + ((11 * k + 5 * 1) % 13 - 6) / 16 + 0.03125e0 AS y1,
+  500000 + 41 * (k % 50) + 40 + ((7 * k + 3 * 2) % 17 - 8) / 16 + 0.03125e0 AS x2, 3000000 + 31 * (k {div} 50) + 30 + ((11 * k + 5 * 2) % 13 - 6) / 16 + 0.03125e0 AS y2,
+  500000 + 41 * (k % 50) + 0 + ((7 * k + 3 * 3) % 17 - 8) / 16 + 0.03125e0 AS x3, 3000000 + 31 * (k {div} 50) + 30 + ((11 * k + 5 * 3) % 13 - 6) / 16 + 0.03125e0 AS y3
+FROM (SELECT c_custkey AS k FROM customer) q""",
+    "target_ring": """
+SELECT concat('S-', k) AS parcel_id, k,
+  500000 + 41 * (k % 50) + 0 + ((5 * k + 7 * 0) % 9 - 4) / 16 AS x0, 3000000 + 31 * (k {div} 50) + 0 + ((3 * k + 4 * 0) % 7 - 3) / 16 AS y0,
+  500000 + 41 * (k % 50) + 40 + ((5 * k + 7 * 1) % 9 - 4) / 16 AS x1, 3000000 + 31 * (k {div} 50) + 0 + ((3 * k + 4 * 1) % 7 - 3) / 16 AS y1,
+  500000 + 41 * (k % 50) + 40 + ((5 * k + 7 * 2) % 9 - 4) / 16 AS x2, 3000000 + 31 * (k {div} 50) + 30 + ((3 * k + 4 * 2) % 7 - 3) / 16 AS y2,
+  500000 + 41 * (k % 50) + 0 + ((5 * k + 7 * 3) % 9 - 4) / 16 AS x3, 3000000 + 31 * (k {div} 50) + 30 + ((3 * k + 4 * 3) % 7 - 3) / 16 AS y3
+FROM (SELECT c_custkey AS k FROM customer) q""",
+    "half_parcel": """
+SELECT concat('H-', k) AS parcel_id, k, CAST(500000 + 50 * (k {div} 2 % 40) + 20 * (k % 2) AS DOUBLE) AS xmin, CAST(3000000 + 40 * (k {div} 80) AS DOUBLE) AS ymin,
+  CAST(500020 + 50 * (k {div} 2 % 40) + 20 * (k % 2) AS DOUBLE) AS xmax, CAST(3000030 + 40 * (k {div} 80) AS DOUBLE) AS ymax,
+  concat('SN-', k {div} 2) AS survey_no, 'owner' AS owner_name, 'residential' AS land_use, CAST(600 AS DOUBLE) AS revenue_area, CAST(0.25 AS DOUBLE) AS sigma FROM (SELECT c_custkey AS k FROM customer) q""",
+    "joint_parcel": """
+SELECT concat('J-', j) AS parcel_id, j AS k, CAST(500000 + 50 * (j % 40) AS DOUBLE) AS xmin, CAST(3000000 + 40 * (j {div} 40) AS DOUBLE) AS ymin,
+  CAST(500040 + 50 * (j % 40) AS DOUBLE) AS xmax, CAST(3000030 + 40 * (j {div} 40) AS DOUBLE) AS ymax,
+  concat('SN-', j) AS survey_no, 'owner' AS owner_name, 'residential' AS land_use, CAST(1200 AS DOUBLE) AS revenue_area, CAST(0.25 AS DOUBLE) AS sigma FROM (SELECT DISTINCT c_custkey {div} 2 AS j FROM customer) q""",
+    "crowded_parcel": """
+SELECT concat('C-', k) AS parcel_id, CAST(x0 AS DOUBLE) AS xmin, CAST(y0 AS DOUBLE) AS ymin, CAST(x0 + 40 AS DOUBLE) AS xmax, CAST(y0 + 30 AS DOUBLE) AS ymax
+FROM (SELECT c_custkey AS k, 500000 + 41 * (c_custkey % 50) + CASE WHEN c_custkey % 5 = 2 THEN 4 ELSE 0 END AS x0, 3000000 + 31 * (c_custkey {div} 50) AS y0 FROM customer) q""",
+    "pipeline_run": """
+SELECT concat('R-', o_orderkey) AS run_id, concat('D', substr(o_orderpriority, 1, 1)) AS source_dataset, concat('D', CAST(o_custkey % 3 AS VARCHAR(9))) AS reference_dataset,
+  CASE o_orderstatus WHEN 'F' THEN 'PASSED' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status, o_totalprice AS rmse, o_orderdate AS created_at, o_orderkey AS row_id FROM orders""",
+    "asset": """
+SELECT concat('A-', s_suppkey) AS asset_id, CASE s_suppkey % 3 WHEN 0 THEN 'ORI' WHEN 1 THEN 'DSM' ELSE 'DTM' END AS type, concat('tiles/', s_name, '.tif') AS path, s_suppkey AS row_id FROM supplier""",
     "truth_box": """
 SELECT concat('T-', k) AS parcel_id, CAST(x0 AS DOUBLE) AS xmin, CAST(y0 AS DOUBLE) AS ymin, CAST(x0 + 40 AS DOUBLE) AS xmax, CAST(y0 + 30 AS DOUBLE) AS ymax
 FROM (SELECT c_custkey AS k, 500000 + 41 * (c_custkey % 50) AS x0, 3000000 + 31 * (c_custkey {div} 50) AS y0 FROM customer) q""",

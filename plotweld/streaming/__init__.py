@@ -1 +1 @@
-
+"""Streams of review events."""
