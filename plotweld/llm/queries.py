@@ -133,5 +133,17 @@ WITH l AS (
 )
 SELECT doc_id, n_lines, n_dropped, text_sha256 FROM d
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+""",
+    "op10_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w
+), n AS (SELECT doc_id, COALESCE(len(sh), 0) AS n FROM s), e AS (SELECT doc_id, unnest(sh) AS x FROM s), links AS (
+  SELECT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), k AS (SELECT a, count(*) AS k FROM links GROUP BY a), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, LEAST(n.doc_id, COALESCE(c.c, n.doc_id)) AS component_id, COALESCE(k.k, 0) AS n_links FROM n LEFT JOIN k ON k.a = n.doc_id LEFT JOIN c ON c.a = n.doc_id
 """,
 }

@@ -11,7 +11,8 @@ Passing alone favours short strings, which tests can hardly reject. So each cand
 a p-value for "written as prose or as an identifier": the likelihood ratio of PROSE against the uniform
 model is an e-value, its inverse a p-value by Markov's inequality, which falls with length. Over
 all candidates of the corpus, in strata by length, Benjamini-Hochberg at `RATE` decides; p-values are
-counted in tenths of a decimal order, rounded up, so the table of counts has a fixed size.
+counted in tenths of a decimal order, rounded up, so the table of counts has a fixed size. So the two steps combine by
+"and": the battery rejects what is not random within its encoding, false-discovery control what prose explains.
 
 Offsets are code points, end exclusive; the span of an assignment is its whole match. Null text
 counts as empty. Every row is scanned for itself: repeated rows and null ids need no care.

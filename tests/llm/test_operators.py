@@ -1,5 +1,4 @@
 import collections
-import hashlib
 import pathlib
 import random
 import re
@@ -419,4 +418,5 @@ def test_pipeline(spark):
             assert all(any(near(a, b) for b in before if b < a) for a in set(before) - kept)
     rows = corpus_pipeline.STAGES[-1][1](spark, seen, DATA).collect()
     assert len(rows) == seen.count() and all(r.lossless for r in rows)
-    assert hashlib.sha256(b"").hexdigest()
+    whole = {r.doc_id: WORD.findall(r.text or "") for r in common.table(spark, DATA, "documents").collect()}
+    assert {r.doc_id for r in rows} <= set(whole)
