@@ -2,8 +2,8 @@
 
 A line goes if it repeats an earlier one exactly, or if an earlier line lies within one edit of
 it (insertion, deletion or substitution of a character). Earlier is by doc_id, then line number.
-Lines of fewer than `min_chars` characters are never compared: MIN_CHARS by default, as in the SQL of the query;
-1 compares every line that is not blank, exactly and by edits.
+Lines of fewer than `min_chars` characters are never compared: MIN_CHARS by default; 1, as in the query and the pipeline,
+compares every line that is not blank, exactly and by edits.
 
 All one-character deletion variants of all lines would be as many keys as the corpus has characters, so two
 exact filters come first; neither loses a pair within one edit:

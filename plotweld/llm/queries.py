@@ -54,7 +54,7 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.line_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
     return out.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -116,17 +116,20 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
-    "op9_line_dedup": """
+    "op9_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL
 ), f AS (
-  SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE length(line) >= 20 GROUP BY line
+  SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE length(line) >= 20 OR regexp_matches(line, '\S') GROUP BY line
 ), h AS (
-  SELECT line, first, unnest(list_distinct([hash(length(line) // 4 , substr(line, 1, 4)), hash(length(line) // 4, 's', right(line, 4)), hash((length(line) - 1) // 4, substr(line, 1, 4)), hash((length(line) - 1) // 4, 's', right(line, 4))])) AS k FROM f
+  SELECT line, first, unnest(list_distinct([hash(length(line) // 4 , substr(line, 1, 4)), hash(length(line) // 4, 's', right(line, 4)), hash((length(line) - 1) // 4, substr(line, 1, 4)), hash((length(line) - 1) // 4, 's', right(line, 4)), CASE WHEN length(line) <= 8 THEN hash('short') END])) AS k FROM f
 ), gone AS (
-  SELECT DISTINCT a.line FROM h a JOIN h b ON a.k = b.k AND b.first < a.first AND abs(length(a.line) - length(b.line)) <= 1 WHERE levenshtein(a.line, b.line) <= 1
+  SELECT DISTINCT a.line FROM h a JOIN h b ON a.k = b.k AND b.first < a.first AND abs(length(a.line) - length(b.line)) <= 1 WHERE levenshtein(a.line, b.line) <= 4 AND CASE length(a.line) - length(b.line)
+    WHEN 0 THEN len(list_filter(range(1, length(a.line) + 1), lambda i: substr(a.line, i, 1) <> substr(b.line, i, 1))) <= 1
+    WHEN 1 THEN list_bool_or(list_transform(range(length(a.line)), lambda i: concat(substr(a.line, 1, i), substr(a.line, i + 2)) = b.line))
+    ELSE list_bool_or(list_transform(range(length(b.line)), lambda i: concat(substr(b.line, 1, i), substr(b.line, i + 2)) = a.line)) END
 ), kept AS (
-  SELECT l.*, length(l.line) < 20 OR (g.line IS NULL AND f.first = {'d': l.doc_id, 'p': l.pos}) AS keep
+  SELECT l.*, f.line IS NULL OR (g.line IS NULL AND f.first = {'d': l.doc_id, 'p': l.pos}) AS keep
   FROM l LEFT JOIN f ON f.line = l.line LEFT JOIN gone g ON g.line = l.line
 ), d AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT keep) AS n_dropped, sha256(COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE keep), '')) AS text_sha256 FROM kept GROUP BY doc_id

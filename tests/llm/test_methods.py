@@ -85,7 +85,7 @@ def test_text_without_spaces(spark):
     assert row.lossless and row.n_pieces == len(row.ids)
 
 
-@pytest.mark.parametrize("name", ["op10_ngram_jaccard_join", "op4_mixing"])
+@pytest.mark.parametrize("name", ["op10_ngram_jaccard_join", "op4_mixing", "op9_line_dedup"])
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
