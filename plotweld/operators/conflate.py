@@ -118,6 +118,15 @@ def merges(decided: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFr
     return grouped.where(good).select("target_id", "sources", F.lit("MERGE").alias("relation"), F.lit(RULES.merge_p).alias("probability"))
 
 
+def with_merges(decided: DataFrame, merged: DataFrame) -> DataFrame:
+    """The decisions, those of sources that a merge joins turned into it; their targets stay."""
+    parts = merged.select(F.explode("sources").alias("part"), F.col("probability").alias("merge_p"))
+    rows = decided.join(parts, F.col("source_id") == F.col("part"), "left")
+    joined = F.col("part").isNotNull()
+    rows = rows.withColumns({"relation": F.when(joined, "MERGE").otherwise(F.col("relation")), "probability": F.when(joined, F.col("merge_p")).otherwise(F.col("probability"))})
+    return rows.drop("part", "merge_p")
+
+
 def fuse(rows: DataFrame) -> DataFrame:
     """Weighted score of the six dimensions and whether the strong ones disagree with the weak."""
     e = {d: F.coalesce(F.col(f"e_{d}"), F.lit(0.0)) for d in WEIGHTS}

@@ -181,6 +181,23 @@ def registration_steps(p: Plan) -> DataFrame:
     return registration.escalation_steps(p.layer("control_point")).withColumn("p95", F.round("p95", 5))
 
 
+@query("SELECT COALESCE((SELECT method FROM es WHERE p95 <= 0.75 ORDER BY step LIMIT 1), 'none') AS method, n, round(rmse, 6) AS rmse, round(p95, 6) AS p95, failing_regions = 0 AND p95 <= 0.5 AS passed, CASE WHEN failing_regions = 0 AND p95 <= 0.5 THEN NULL ELSE 'REGISTRATION_FAILURE' END AS conflict_type FROM gt", FIT + HELMERT + GATE)
+def registration_run(p: Plan) -> DataFrame:
+    """The record of a run: the method chosen, its figures, and the conflict of a failure."""
+    points = p.layer("control_point")
+    chosen = registration.escalation_steps(points).where("chosen").agg(F.coalesce(F.max("method"), F.lit("none")).alias("method"))
+    _, quality = registration.single_shot(points)
+    return chosen.crossJoin(quality).select("method", "n", F.round("rmse", 6).alias("rmse"), F.round("p95", 6).alias("p95"), "passed", F.when(~F.col("passed"), "REGISTRATION_FAILURE").alias("conflict_type"))
+
+
+@query("SELECT source_id, relation, CASE WHEN route = 'AUTO_ACCEPT' AND failing_regions = 0 AND p95 <= 0.5 THEN 'AUTO_ACCEPT' ELSE 'REVIEW' END AS route FROM ro, gt", DECIDED + FIT + GATE)
+def route_registered(p: Plan) -> DataFrame:
+    """Routing where the registration's gate is one of the nine conditions."""
+    _, quality = registration.single_shot(p.layer("control_point"))
+    rows = p.conflicted().crossJoin(F.broadcast(quality.select(F.col("passed").alias("registration_passed"))))
+    return conflicts.route(rows).select("source_id", "relation", "route")
+
+
 @query("SELECT point_id, sx AS from_x, sy AS from_y, round(px, 6) AS to_x, round(py, 6) AS to_y, round(r, 6) AS residual FROM res", FIT)
 def residual_vectors(p: Plan) -> DataFrame:
     points = p.layer("control_point")
@@ -279,6 +296,13 @@ def datasets_ready(p: Plan) -> DataFrame:
     return ingest.both_exist(p.layer("parcel_version"), "D1", "D2")
 
 
+@query("SELECT 'BENCH-META' AS dataset_id, '{\"matched\":' || count(*) FILTER (WHERE relation_type = 'ONE_TO_ONE') || ',\"split\":' || count(*) FILTER (WHERE relation_type = 'SPLIT') || ',\"unmatched\":' || count(*) FILTER (WHERE relation_type = 'NO_MATCH') || '}' AS metadata FROM tk", TRUTH)
+def metadata_dataset(p: Plan) -> DataFrame:
+    """The known answers of a benchmark as one row of JSON beside the datasets."""
+    count = lambda kind: F.count(F.when(F.col("relation_type") == kind, 1))
+    return p.truth().agg(F.to_json(F.struct(count("ONE_TO_ONE").alias("matched"), count("SPLIT").alias("split"), count("NO_MATCH").alias("unmatched"))).alias("metadata")).select(F.lit("BENCH-META").alias("dataset_id"), "metadata")
+
+
 @query("SELECT parcel_id FROM src WHERE k % 4 <> 0")
 def ingest_new_parcels(p: Plan) -> DataFrame:
     feed = p.layer("source_parcel")
