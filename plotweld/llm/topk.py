@@ -184,13 +184,16 @@ def _tile(shared, k: int, scale: int):
 
 
 def _blocks(spark: SparkSession, rows: DataFrame, size: int, order: list) -> DataFrame:
-    """`rows` with a number `block` of rows next to each other in an order; a block holds rows of one length, `size` at most."""
-    box = Scratch(spark, "blocks")
-    dealt = box.save(rows.repartitionByRange("dims", *order).sortWithinPartitions("dims", *order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
-    starts = dealt.groupBy("part", "dims").agg(F.min("at").alias("start"))
-    number = F.floor((F.col("at") - F.col("start")) / size)
-    # The numbers of two lengths in a partition lie apart: there are no more blocks than rows.
-    return dealt.join(F.broadcast(starts), ["part", "dims"]).withColumn("block", F.col("start") + number).drop("part", "at", "start")
+    """`rows` with a number `block` of `size` rows next to each other in an order; a block holds rows of one length.
+
+    Blocks go on from one partition to the next, so their number follows from the rows, not from the partitions.
+    """
+    dealt = Scratch(spark, "blocks").save(rows.repartitionByRange("dims", *order).sortWithinPartitions("dims", *order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    starts = dealt.groupBy("part", "dims").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("dims").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = starts.select("part", "dims", (F.coalesce(before, F.lit(0)) - F.col("start")).alias("shift"))
+    number = F.floor((F.col("at") + F.col("shift")) / size)
+    return dealt.join(F.broadcast(starts), ["part", "dims"]).withColumn("block", F.shiftleft(F.col("dims").cast("bigint"), 40) + number).drop("part", "at", "shift")
 
 
 def exact_top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
