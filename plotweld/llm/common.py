@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN_ROOT: dict[str, str] = {}
 
@@ -28,6 +29,11 @@ def free(name: str, columns) -> str:
     return name
 
 
+def with_field(schema: StructType, name: str, kind: str) -> StructType:
+    """The schema and one more field at its end."""
+    return StructType([*schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only in local mode (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

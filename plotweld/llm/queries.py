@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, licenses, line_dedup, mixing, ngram_join, secrets, sentencepieces, topk, toxicity, training_order
+from . import embedding_dedup, filter_audit, licenses, line_dedup, mixing, ngram_join, periodic, repeats, secrets, sentencepieces, topk, toxicity, training_order
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -62,10 +62,32 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("__repeats.spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"])
+    return out.select("doc_id", "__repeats.n_bytes", removed.alias("n_removed"), F.size("__repeats.spans").cast("bigint").alias("n_spans"), F.sha2("__repeats.kept", 256).alias("kept_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(spark, periodic.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    runs = F.col("__runs.runs")
+    order = F.transform(runs, lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")))
+    lines = F.transform(runs, lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    joined = F.when(F.size(runs) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    out = out.select("doc_id", F.size(runs).cast("bigint").alias("n_runs"), F.array_min(order).alias("longest"), F.sha2(joined, 256).alias("runs_sha256"), F.sha2("__runs.collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(1000 * F.col("longest.length") / F.col("longest.period")).cast("bigint")
+    return out.select("doc_id", "n_runs", "longest.start", "longest.length", "longest.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     named = (
         op1_sentencepiece_sampling, op2_embedding_near_dedup, op3_training_order, op4_mixing, op5_toxicity, op6_license_scan,
-        op7_secret_scan, op8_exact_top_k, op9_line_dedup, op10_ngram_jaccard_join,
+        op7_secret_scan, op8_exact_top_k, op9_line_dedup, op10_ngram_jaccard_join, op11_suffix_array_dedup, op12_periodic_runs,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in named}
 
@@ -148,5 +170,26 @@ WITH RECURSIVE w AS (
   SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
 ), k AS (SELECT a, count(*) AS k FROM links GROUP BY a), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, LEAST(n.doc_id, COALESCE(c.c, n.doc_id)) AS component_id, COALESCE(k.k, 0) AS n_links FROM n LEFT JOIN k ON k.a = n.doc_id LEFT JOIN c ON c.a = n.doc_id
+""",
+    "op13_filter_audit": r"""
+WITH lab AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1
+), d AS (
+  SELECT doc_id, COALESCE(text, '') AS t, COALESCE(source, '') AS part, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), m AS (
+  SELECT part, COALESCE(good, 0) AS good, COALESCE(toxic, 0) AS toxic, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+    d.doc_id > min(d.doc_id) OVER (PARTITION BY t)] AS f FROM d LEFT JOIN lab USING (doc_id)
+), c AS (
+  SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2
+), l AS (SELECT unnest([1, 2, 3, 4, 5]) AS x), o AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT part, o, i AS step, n, good, toxic, f[o[i]] AS own, COALESCE(list_bool_or([f[k] for k in o[1:i - 1]]), false) AS earlier, len(list_filter(f, lambda b: b)) AS fails FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS i) st
+), r AS (
+  SELECT part, o, step, sum(n) FILTER (WHERE NOT own AND NOT earlier) AS kept, sum(n) FILTER (WHERE own AND NOT earlier) AS removed, sum(n) FILTER (WHERE own AND earlier) AS redundant, sum(n) FILTER (WHERE own AND fails = 1) AS unique_fails,
+    sum(good) FILTER (WHERE own AND NOT earlier) AS good_lost, sum(toxic) FILTER (WHERE own AND NOT earlier) AS toxic_lost FROM s GROUP BY 1, 2, 3
+)
+SELECT part, array_to_string([chr(64 + x) for x in o], '') AS filter_order, step::INTEGER AS step, COALESCE(kept, 0)::BIGINT AS kept, COALESCE(removed, 0)::BIGINT AS removed, COALESCE(redundant, 0)::BIGINT AS redundant,
+  COALESCE(unique_fails, 0)::BIGINT AS unique_fails, COALESCE(good_lost, 0)::BIGINT AS good_lost, COALESCE(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(COALESCE(removed, 0)) OVER (PARTITION BY part, o[step]))::BIGINT AS shapley FROM r
 """,
 }

@@ -70,12 +70,12 @@ def word_bounds(raw: np.ndarray, offs: np.ndarray, separator: np.ndarray = SEPAR
     return s, e, np.searchsorted(s, offs)
 
 
-def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    low = LOWER[raw].astype(U64) + U64(1)
-    low *= _powers(BASE, len(raw))
+def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True, base: int = BASE, inverse: int = BASE_INVERSE) -> np.ndarray:
+    low = (LOWER[raw] if lower else raw).astype(U64) + U64(1)
+    low *= _powers(base, len(raw))
     total = np.zeros(len(raw) + 1, U64)
     np.cumsum(low, out=total[1:])
-    return mix((total[e] - total[s]) * _powers(BASE_INVERSE, len(raw) + 1)[s] + (e - s).astype(U64))
+    return mix((total[e] - total[s]) * _powers(inverse, len(raw) + 1)[s] + (e - s).astype(U64))
 
 
 def shingle_sets(column: pa.Array, width: int):
