@@ -418,6 +418,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, uni
     keyed = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.coalesce(text, F.lit("")).alias("text")).where(F.octet_length("text") >= width)
     rows = keyed.mapInArrow(_found(width), "k1 bigint, k2 bigint, anchor bigint, seg bigint, start bigint, strings int, places int")
     again = rows.groupBy("anchor").agg(F.sum("places").alias("c")).where("c > 1").select("anchor")
+    again = box.save(again)  # read behind an exchange of its own, so that a hot anchor's rows can be split
     met = box.save(rows.drop("places").join(again, "anchor", "left_semi"))
     classes = met.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "strings")).alias("at"))
     size = classes.groupBy("anchor").agg(F.count("*").alias("segs"), F.sum(F.col("at.strings") + width - 1).alias("bytes"))
