@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import RULES, WEIGHTS
 from ..functions import geometry as g
+from ..functions import rings
 from .spatial_join import distance_join, prefixed
 
 BUILDINGS = ("BUILDING", "BUILDING_EDGE", "WALL")
@@ -33,15 +34,27 @@ def rule_probability(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("p", F.round(p, 4))
 
 
-def gnss_support(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Survey points near the common area of a pair, or near the source where there is none."""
+def _spots(points: DataFrame) -> DataFrame:
+    return points.select(F.col("point_id").alias("g_id"), *(F.col(c).alias(f"g_{n}") for c, n in (("x", "xmin"), ("y", "ymin"), ("x", "xmax"), ("y", "ymax"))))
+
+
+def with_gnss(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs with n_gnss, the survey points near their common area, or near the source where there is none.
+
+    The pairs go through the join once and are counted afterwards, so that what made them is not computed again.
+    """
     s, t = g.box("s_"), g.box("t_")
     i = g.intersection(s, t)
     some = (i[2] > i[0]) & (i[3] > i[1])
-    zone = pairs.select("s_parcel_id", "t_parcel_id", *(F.when(some, a).otherwise(b).alias(f"z_{n}") for a, b, n in zip(i, s, ("xmin", "ymin", "xmax", "ymax"), strict=True)), F.when(some, RULES.gnss_radius + 0.01).otherwise(RULES.gnss_radius).alias("z_radius"))
-    spots = points.select(F.col("point_id"), *(F.col(c).alias(f"g_{n}") for c, n in (("x", "xmin"), ("y", "ymin"), ("x", "xmax"), ("y", "ymax"))))
-    near = distance_join(zone, spots, "z_", "g_", F.col("z_radius"))
-    return near.groupBy("s_parcel_id", "t_parcel_id").agg(F.count("*").alias("n_gnss"))
+    zone = pairs.withColumns({f"z_{n}": F.when(some, a).otherwise(b) for a, b, n in zip(i, s, ("xmin", "ymin", "xmax", "ymax"), strict=True)})
+    near = distance_join(zone, _spots(points), "z_", "g_", F.when(some, RULES.gnss_radius + 0.01).otherwise(RULES.gnss_radius), keep_left=True)
+    own = [c for c in pairs.columns if c not in ("s_parcel_id", "t_parcel_id")]
+    counted = near.groupBy("s_parcel_id", "t_parcel_id").agg(F.count("g_id").alias("n_gnss"), F.any_value(F.struct(*own)).alias("own"))
+    return counted.select("s_parcel_id", "t_parcel_id", "own.*", "n_gnss")
+
+
+def gnss_support(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    return with_gnss(pairs, points).select("s_parcel_id", "t_parcel_id", "n_gnss").where("n_gnss > 0")
 
 
 def building_support(targets: DataFrame, observations: DataFrame) -> DataFrame:
@@ -50,81 +63,143 @@ def building_support(targets: DataFrame, observations: DataFrame) -> DataFrame:
     return near.groupBy("t_parcel_id").agg(F.count("*").alias("n_buildings"))
 
 
-def with_evidence(pairs: DataFrame, gnss: DataFrame, buildings: DataFrame) -> DataFrame:
-    rows = pairs.join(gnss, ["s_parcel_id", "t_parcel_id"], "left").join(buildings, "t_parcel_id", "left").fillna(0, ["n_gnss", "n_buildings"])
-    return rows.withColumns({
+def with_own_evidence(pairs: DataFrame) -> DataFrame:
+    """The dimensions that a pair has by itself."""
+    return pairs.withColumns({
         "e_geometry": F.round(0.5 * F.col("iou") + 0.25 * F.col("area_ratio") + 0.25 * F.col("shape_similarity"), 4),
-        "e_attribute": F.round("attribute_similarity", 4), "e_survey": F.round(F.least(F.lit(1.0), F.col("n_gnss") / 3), 4),
-        "e_physical": F.round(F.least(F.lit(1.0), F.col("n_buildings") / 2), 4), "e_temporal": F.lit(RULES.temporal), "e_identity": F.col("identity"),
+        "e_attribute": F.round("attribute_similarity", 4), "e_temporal": F.lit(RULES.temporal), "e_identity": F.col("identity"),
     })
 
 
+def with_evidence(pairs: DataFrame, points: DataFrame, buildings: DataFrame) -> DataFrame:
+    """All six dimensions: those of the pair, and the support of survey points and buildings."""
+    rows = with_gnss(pairs, points).join(buildings, "t_parcel_id", "left").fillna(0, ["n_gnss", "n_buildings"])
+    return with_own_evidence(rows).withColumns({"e_survey": F.round(F.least(F.lit(1.0), F.col("n_gnss") / 3), 4), "e_physical": F.round(F.least(F.lit(1.0), F.col("n_buildings") / 2), 4)})
+
+
 def ranked(pairs: DataFrame) -> DataFrame:
     order = W.partitionBy("s_parcel_id").orderBy(F.col("p").desc(), "t_parcel_id")
     return pairs.withColumn("rank", F.row_number().over(order))
 
 
-def boundary_adjusted():
-    big = F.greatest(g.area(g.box("s_")), g.area(g.box("t_")))
-    differ = F.abs(g.area(g.box("s_")) - g.area(g.box("t_"))) / big
-    return (F.col("iou") >= 0.70) & (F.col("centroid_distance") <= 5.0) & (differ < 0.25)
+class Boxes:
+    """What the rules measure of a pair, on boxes. A split's coverage sums the children's common area with the parent: children that overlap more than the tolerance fail anyway."""
+
+    child = ("xmin", "ymin", "xmax", "ymax")
+
+    def area(self, side: str) -> Column:
+        return g.area(g.box(f"{side}_"))
+
+    def common(self) -> Column:
+        return g.intersection_area(g.box("s_"), g.box("t_"))
+
+    def overlap(self, a: Column, b: Column) -> Column:
+        return g.intersection_area(*([x[c] for c in self.child] for x in (a, b)))
+
+    def covered(self, side: str, parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0.0), lambda acc, c: acc + c["common"])
+
+    def together(self, parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0.0), lambda acc, c: acc + c["size"])
+
 
+class Rings(Boxes):
+    """The same on rings of any shape: what children share counts once."""
 
-def decide(sources: DataFrame, scored: DataFrame) -> DataFrame:
+    child = ("ring",)
+
+    def area(self, side: str) -> Column:
+        return F.col(f"{side}_area")
+
+    def common(self) -> Column:
+        return F.col("common")
+
+    def overlap(self, a: Column, b: Column) -> Column:
+        return rings.overlap_area(a["ring"], b["ring"])
+
+    def covered(self, side: str, parts: Column) -> Column:
+        return rings.covered_area(F.col(f"{side}_ring"), F.transform(parts, lambda c: c["ring"]))
+
+    def together(self, parts: Column) -> Column:
+        return rings.union_area(F.transform(parts, lambda c: c["ring"]))
+
+
+BOXES, RINGS = Boxes(), Rings()
+
+
+def boundary_adjusted(measure: Boxes = BOXES) -> Column:
+    s, t = measure.area("s"), measure.area("t")
+    return (F.col("iou") >= 0.70) & (F.col("centroid_distance") <= 5.0) & (F.abs(s - t) / F.greatest(s, t) < 0.25)
+
+
+def worst_overlap(parts: Column, measure: Boxes) -> Column:
+    """Largest share of the smaller of two parts that they have in common; 0 for a single one."""
+    of = lambda a, i: F.transform(F.slice(parts, i + 2, F.size(parts)), lambda b: g.safe_ratio(measure.overlap(a, b), F.least(a["size"], b["size"])))
+    return F.coalesce(F.array_max(F.flatten(F.transform(parts, of))), F.lit(0.0))
+
+
+def decide(sources: DataFrame, scored: DataFrame, measure: Boxes = BOXES) -> DataFrame:
     """One relation for each source, in the fixed order of the rules; also sources without candidates.
 
-    A split's coverage sums its children's common area with the parent: children that overlap more than the
-    tolerance fail anyway.
+    The best row keeps its columns, so those that a query does not ask for are pruned; of the likely others only what the
+    rules measure is gathered, in the same window.
     """
-    s, t = g.box("s_"), g.box("t_")
-    # The four best of a source in one aggregate: the best, the second's p and the likely children all come from it.
-    columns = [c for c in scored.columns if c != "s_parcel_id"]
-    four = ranked(scored).where("rank <= 4").groupBy("s_parcel_id").agg(F.array_sort(F.collect_list(F.struct("rank", *columns, g.intersection_area(s, t).alias("common"), g.area(t).alias("size")))).alias("four"))
-    second = F.coalesce(F.get("four", F.lit(1))["p"], F.lit(0.0))
-    child = lambda c: F.struct(c["rank"], c["t_parcel_id"], c["p"], c["common"], c["size"], *(c[f"t_{n}"].alias(n) for n in ("xmin", "ymin", "xmax", "ymax")))
-    high = F.transform(F.filter("four", lambda c: c["p"] >= RULES.high_p), child)
-    best = four.select("s_parcel_id", *(F.get("four", F.lit(0))[c].alias(c) for c in columns), second.alias("second"), high.alias("high"))
-    total = lambda f: F.aggregate("high", F.lit(0.0), lambda a, c: a + f(c))
-    parent = g.area(s)
-    worst = F.array_max(F.flatten(F.transform("high", lambda a: F.transform(F.filter("high", lambda b: b["rank"] > a["rank"]), lambda b: F.greatest(F.lit(0.0), F.least(a["xmax"], b["xmax"]) - F.greatest(a["xmin"], b["xmin"])) * F.greatest(F.lit(0.0), F.least(a["ymax"], b["ymax"]) - F.greatest(a["ymin"], b["ymin"])) / F.least(a["size"], b["size"])))))
+    by = W.partitionBy("s_parcel_id")
+    order = by.orderBy(F.col("p").desc(), "t_parcel_id")
+    part = F.struct("rank", "t_parcel_id", "p", measure.common().alias("common"), measure.area("t").alias("size"), *(F.col(f"t_{n}").alias(n) for n in measure.child))
+    likely = F.collect_list(F.when((F.col("rank") <= 4) & (F.col("p") >= RULES.high_p), part))
+    rows = scored.withColumns({"rank": F.row_number().over(order), "second": F.coalesce(F.lead("p").over(order), F.lit(0.0))})
+    best = rows.withColumn("high", likely.over(by.orderBy("rank").rowsBetween(W.currentRow, W.unboundedFollowing))).where("rank = 1")
+    share = lambda c: g.safe_ratio(c["common"], c["size"])
+    parent, sizes = measure.area("s"), F.aggregate("high", F.lit(0.0), lambda a, c: a + c["size"])
     split = (
-        (F.size("high") >= 2) & F.forall("high", lambda c: c["common"] / c["size"] >= RULES.child_share) & (total(lambda c: c["common"]) / parent >= RULES.split_coverage)
-        & (worst <= RULES.split_overlap) & (F.abs(1 - total(lambda c: c["size"]) / parent) <= RULES.area_tolerance)
+        F.forall("high", lambda c: share(c) >= RULES.child_share) & (g.safe_ratio(measure.covered("s", F.col("high")), parent) >= RULES.split_coverage)
+        & (worst_overlap(F.col("high"), measure) <= RULES.split_overlap) & (F.abs(1 - g.safe_ratio(sizes, parent)) <= RULES.area_tolerance)
     )
     clear = (F.col("p") >= RULES.clear_p) & (F.col("p") - F.col("second") >= RULES.clear_margin)
-    contested = ~clear & (F.coalesce(F.size("high"), F.lit(0)) >= 2)
-    adjusted = boundary_adjusted()
+    best = best.withColumn("contested", ~clear & (F.size("high") >= 2))
+    # Measured for contested sources alone.
+    best = best.withColumn("split", F.when(F.col("contested"), split).otherwise(F.lit(False)))
+    adjusted = boundary_adjusted(measure)
     relation = (
-        F.when(F.col("p").isNull(), "NO_MATCH").when(contested & split, "SPLIT").when(contested & (F.col("p") >= 0.75) & (F.col("iou") >= 0.55), F.when(adjusted, "BOUNDARY_ADJUSTMENT").otherwise("ONE_TO_ONE"))
-        .when(contested, "AMBIGUOUS").when(adjusted & (F.col("p") >= RULES.clear_p), "BOUNDARY_ADJUSTMENT").when(F.col("p") < RULES.no_match_p, "NO_MATCH").otherwise("ONE_TO_ONE")
+        F.when(F.col("p").isNull(), "NO_MATCH").when(F.col("contested") & F.col("split"), "SPLIT").when(F.col("contested") & (F.col("p") >= 0.75) & (F.col("iou") >= 0.55), F.when(adjusted, "BOUNDARY_ADJUSTMENT").otherwise("ONE_TO_ONE"))
+        .when(F.col("contested"), "AMBIGUOUS").when(adjusted & (F.col("p") >= RULES.clear_p), "BOUNDARY_ADJUSTMENT").when(F.col("p") < RULES.no_match_p, "NO_MATCH").otherwise("ONE_TO_ONE")
     )
     ids = F.transform("high", lambda c: c["t_parcel_id"])
     out = sources.select(F.col("parcel_id").alias("source_id")).join(best, F.col("source_id") == F.col("s_parcel_id"), "left").withColumn("relation", relation)
     targets = F.when(F.col("relation") == "SPLIT", ids).when(F.col("relation") == "AMBIGUOUS", F.slice(ids, 1, 3)).when(F.col("relation") == "NO_MATCH", F.array().cast("array<string>")).otherwise(F.array("t_parcel_id"))
-    mean = total(lambda c: c["p"]) / F.size("high")
-    return out.withColumn("targets", targets).withColumn("probability", F.when(F.col("relation") == "SPLIT", F.round(mean, 4)).otherwise(F.coalesce("p", F.lit(0.0))))
+    mean = F.aggregate("high", F.lit(0.0), lambda a, c: a + c["p"]) / F.size("high")
+    return out.withColumn("targets", targets).withColumn("probability", F.when(F.col("relation") == "SPLIT", F.round(mean, 4)).otherwise(F.coalesce("p", F.lit(0.0)))).drop("contested", "split")
 
 
-def merges(decided: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Targets that two sources or more fill together."""
+def merges(decided: DataFrame, sources: DataFrame, targets: DataFrame, measure: Boxes = BOXES) -> DataFrame:
+    """Targets that two sources or more fill together, with the coverage.
+
+    On boxes every source must lie in the target by half; on rings the union of the sources is measured, and what two of
+    them share is held against the smaller one.
+    """
     single = decided.where(F.col("relation").isin("ONE_TO_ONE", "BOUNDARY_ADJUSTMENT")).select("source_id", F.col("targets")[0].alias("target_id"))
     rows = single.join(prefixed(sources, "s_"), F.col("source_id") == F.col("s_parcel_id")).join(prefixed(targets, "t_"), F.col("target_id") == F.col("t_parcel_id"))
-    s, t = g.box("s_"), g.box("t_")
-    grouped = rows.groupBy("target_id").agg(
-        F.count("*").alias("n"), F.sum(g.intersection_area(s, t)).alias("common"), F.sum(g.area(s)).alias("size"), F.first(g.area(t)).alias("parent"),
-        F.min(g.intersection_area(s, t) / g.area(s)).alias("least"), F.array_sort(F.collect_list("source_id")).alias("sources"),
-    )
-    good = (F.col("n") >= 2) & (F.col("least") >= RULES.child_share) & (F.col("common") / F.col("parent") >= RULES.split_coverage) & (F.abs(1 - F.col("size") / F.col("parent")) <= RULES.area_tolerance)
-    return grouped.where(good).select("target_id", "sources", F.lit("MERGE").alias("relation"), F.lit(RULES.merge_p).alias("probability"))
+    if measure is RINGS:
+        rows = rows.withColumns({"s_area": rings.area(F.col("s_ring")), "common": rings.overlap_area(F.col("s_ring"), F.col("t_ring"))})
+    part = F.struct("source_id", measure.common().alias("common"), measure.area("s").alias("size"), *(F.col(f"s_{n}").alias(n) for n in measure.child))
+    kept = [f"t_{n}" for n in measure.child]
+    grouped = rows.groupBy("target_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), *(F.first(c).alias(c) for c in kept)).where(F.size("parts") >= 2)
+    if measure is RINGS:
+        grouped = grouped.withColumn("t_area", rings.area(F.col("t_ring")))
+        fits = F.lit(True)
+    else:
+        fits = F.forall("parts", lambda c: g.safe_ratio(c["common"], c["size"]) >= RULES.child_share)
+    parent = measure.area("t")
+    grouped = grouped.withColumn("coverage", g.safe_ratio(measure.covered("t", F.col("parts")), parent))
+    good = fits & (F.col("coverage") >= RULES.split_coverage) & (worst_overlap(F.col("parts"), measure) <= RULES.split_overlap) & (F.abs(1 - g.safe_ratio(measure.together(F.col("parts")), parent)) <= RULES.area_tolerance)
+    return grouped.where(good).select("target_id", F.transform("parts", lambda c: c["source_id"]).alias("sources"), F.lit("MERGE").alias("relation"), F.lit(RULES.merge_p).alias("probability"), "coverage")
 
 
 def with_merges(decided: DataFrame, merged: DataFrame) -> DataFrame:
-    """The decisions, those of sources that a merge joins turned into it; their targets stay."""
-    parts = merged.select(F.explode("sources").alias("part"), F.col("probability").alias("merge_p"))
-    rows = decided.join(parts, F.col("source_id") == F.col("part"), "left")
-    joined = F.col("part").isNotNull()
-    rows = rows.withColumns({"relation": F.when(joined, "MERGE").otherwise(F.col("relation")), "probability": F.when(joined, F.col("merge_p")).otherwise(F.col("probability"))})
-    return rows.drop("part", "merge_p")
+    """The decisions, and a row more for each merge: its first source, all sources in `merged_sources`. The sources keep their own rows."""
+    extra = merged.select(F.get("sources", F.lit(0)).alias("source_id"), "relation", F.array("target_id").alias("targets"), "probability", F.col("sources").alias("merged_sources"), F.col("coverage").alias("e_geometry"))
+    return decided.withColumn("merged_sources", F.lit(None).cast("array<string>")).unionByName(extra, allowMissingColumns=True)
 
 
 def fuse(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Registration: fits by sums over the cluster, residual statistics, RANSAC and splines on small point sets."""
+"""Registration: fits by sums over the cluster, residual statistics, the kernels of small point sets."""
 
 from __future__ import annotations
 
@@ -72,30 +72,6 @@ def single_shot(points: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, D
     return fit, gate(with_region(with_residual(apply_affine(points, fit))), threshold)
 
 
-def escalation_steps(points: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Similarity, then affine map, with the P95 of each: the first that keeps 1.5 times the threshold is chosen; `none` where there are fewer than three points."""
-    steps = None
-    for n, (name, fit) in enumerate((("helmert", helmert_matrix(helmert(points))), ("affine", affine(points))), 1):
-        r = with_residual(apply_affine(points, fit)).agg(F.count("*").alias("n"), F.percentile("residual", 0.95).alias("p95"))
-        row = r.select(F.lit(n).alias("step"), F.when(F.col("n") >= 3, name).otherwise("none").alias("method"), F.when(F.col("n") >= 3, F.col("p95")).otherwise(F.lit(float("inf"))).alias("p95"))
-        steps = row if steps is None else steps.unionByName(row)
-    steps = steps.withColumn("accepted", F.coalesce(F.col("p95") <= 1.5 * threshold, F.lit(False)))
-    first = steps.where("accepted").agg(F.min("step").alias("first"))
-    return steps.crossJoin(F.broadcast(first)).withColumn("chosen", F.coalesce(F.col("step") == F.col("first"), F.lit(False))).drop("first")
-
-
-def registered(rings: DataFrame, fit: DataFrame, quality: DataFrame, origin: tuple[float, float]) -> DataFrame:
-    """The next version of every parcel of `rings` (parcel_id, version, ring), moved by a map about the origin.
-
-    Status CANDIDATE, attributes replaced by the stage, uncertainty the P95 of the registration.
-    """
-    ox, oy = origin
-    rows = rings.crossJoin(F.broadcast(fit)).crossJoin(F.broadcast(quality.select("p95")))
-    x, y = (lambda v: v["x"] - ox), (lambda v: v["y"] - oy)
-    ring = F.transform("ring", lambda v: F.struct((F.col("a") * x(v) + F.col("b") * y(v) + F.col("e") + ox).alias("x"), (F.col("c") * x(v) + F.col("d") * y(v) + F.col("f") + oy).alias("y")))
-    return rows.select("parcel_id", (F.col("version") + 1).alias("version"), F.lit("CANDIDATE").alias("status"), F.lit('{"stage":"registered"}').alias("attributes"), ring.alias("ring"), F.col("p95").alias("uncertainty"))
-
-
 def residual_vectors(rows: DataFrame) -> DataFrame:
     """From each point to where the map takes it."""
     return rows.select("point_id", F.col("sx").alias("from_x"), F.col("sy").alias("from_y"), F.col("px").alias("to_x"), F.col("py").alias("to_y"), "residual")
@@ -115,6 +91,12 @@ def regional_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("region").agg(F.count("*").alias("n"), F.sqrt(F.avg(r * r)).alias("rmse"), F.percentile(r, 0.5).alias("p50"), F.percentile(r, 0.95).alias("p95"), F.max(r).alias("max"))
 
 
+def regional_sketch(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """Quantiles by region from sketches that merge: each is a residual whose rank is off by n / accuracy at most."""
+    both = F.percentile_approx("residual", [0.5, 0.95], accuracy)
+    return rows.groupBy("region").agg(F.count("*").alias("n"), both.alias("q")).select("region", "n", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
+
+
 def heatmap(rows: DataFrame, bins: int = 3) -> DataFrame:
     """All cells of the grid, empty ones with nulls."""
     grid = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("col"))
@@ -132,50 +114,22 @@ def helmert_fit(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return m
 
 
-def ransac(src: np.ndarray, dst: np.ndarray, threshold: float = 2.0, iterations: int = 500, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity with the most inliers over random samples of three, refitted on them; and the inliers."""
-    rng = np.random.default_rng(seed)
-    miss = lambda m: np.linalg.norm(src @ m[:2, :2].T + m[:2, 2] - dst, axis=1)
-    best = np.zeros(len(src), bool)
-    for _ in range(iterations):
-        pick = rng.choice(len(src), 3, replace=False)
-        got = miss(helmert_fit(src[pick], dst[pick])) < threshold
-        if got.sum() > best.sum():
-            best = got
-    m = helmert_fit(src[best], dst[best]) if best.sum() >= 2 else helmert_fit(src, dst)
-    return m, miss(m) < threshold
+def _kernel(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    r2 = ((p[:, None] - q[None]) ** 2).sum(2)
+    return np.where(r2 > 0, 0.5 * r2 * np.log(np.maximum(r2, 1e-300)), 0.0)
 
 
-def spline(src: np.ndarray, dst: np.ndarray, smoothing: float = 0.1):
-    """Thin-plate spline with smoothing and a linear tail; returns a function of points."""
-
-    def kernel(p, q):
-        r2 = ((p[:, None] - q[None]) ** 2).sum(2)
-        return np.where(r2 > 0, 0.5 * r2 * np.log(np.maximum(r2, 1e-300)), 0.0)
-
+def spline_weights(src: np.ndarray, dst: np.ndarray, smoothing: float = 0.1) -> np.ndarray:
+    """Weights of a thin-plate spline with smoothing, a row a point, then the constant and the two slopes of its tail."""
     n = len(src)
     k = np.zeros((n + 3, n + 3))
-    k[:n, :n] = kernel(src, src) + smoothing * np.eye(n)
+    k[:n, :n] = _kernel(src, src) + smoothing * np.eye(n)
     k[:n, n], k[:n, n + 1 :] = 1, src
     k[n:, :n] = k[:n, n:].T
-    w = np.linalg.solve(k, np.r_[dst, np.zeros((3, 2))])
-    return lambda p: kernel(p, src) @ w[:n] + np.c_[np.ones(len(p)), p] @ w[n:]
-
-
-def escalate(src: np.ndarray, dst: np.ndarray, envelope: float = 0.5) -> tuple[str, bool, list[dict]]:
-    """Similarity, then affine, then spline, until the 95th percentile of residuals fits the envelope."""
-    log: list[dict] = []
-    if len(src) < 3:
-        return "none", False, log
-    ones = np.c_[src, np.ones(len(src))]
-    fits = (
-        ("helmert", 1.5, lambda: src @ (m := helmert_fit(src, dst))[:2, :2].T + m[:2, 2]),
-        ("affine", 1.5, lambda: ones @ np.linalg.lstsq(ones, dst, rcond=None)[0]),
-        ("tps", 2.0, lambda: spline(src, dst)(src)),
-    )
-    for name, factor, predict in fits:
-        p95 = float(np.percentile(np.linalg.norm(predict() - dst, axis=1), 95))
-        log.append({"method": name, "p95": p95, "accepted": p95 <= factor * envelope})
-        if p95 <= factor * envelope:
-            return name, True, log
-    return name, False, log
+    return np.linalg.solve(k, np.r_[dst, np.zeros((3, 2))])
+
+
+def spline(src: np.ndarray, dst: np.ndarray, smoothing: float = 0.1):
+    """The spline as a function of points."""
+    n, w = len(src), spline_weights(src, dst, smoothing)
+    return lambda p: _kernel(p, src) @ w[:n] + np.c_[np.ones(len(p)), p] @ w[n:]

@@ -14,8 +14,7 @@ from .queries import Plan, query
 
 def _labelled(p: Plan) -> DataFrame:
     """Candidate pairs with all features; a pair of the same parcel number is a match."""
-    gnss = conflate.gnss_support(conflate.candidates(p.layer("source_parcel"), p.layer("target_parcel")), p.layer("survey_point"))
-    rows = conflate.with_evidence(p.scored(), gnss, conflate.building_support(p.layer("target_parcel"), p.layer("observation")))
+    rows = p.evidence()
     s, t = g.box("s_"), g.box("t_")
     named = {
         "boundary_distance": F.col("hausdorff"), "intersection_area": g.intersection_area(s, t), "orientation_similarity": rings.orientation_similarity(box_ring("s_xmin", "s_ymin", "s_xmax", "s_ymax"), box_ring("t_xmin", "t_ymin", "t_xmax", "t_ymax")),

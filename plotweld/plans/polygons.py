@@ -117,13 +117,13 @@ def merge_twins(p: Plan) -> DataFrame:
     return conflate.merges(conflate.decide(s, scored), s, t).select("target_id", F.array_join("sources", ",").alias("sources"), "relation", "probability")
 
 
-@query("""SELECT s.parcel_id AS source_id, t.parcel_id AS target_id, CASE WHEN count(*) OVER (PARTITION BY t.parcel_id) = 2 THEN 'MERGE' ELSE 'ONE_TO_ONE' END AS relation,
-  CASE WHEN count(*) OVER (PARTITION BY t.parcel_id) = 2 THEN 0.85 ELSE 0.625 END::DOUBLE AS probability FROM hs s JOIN jt t ON t.k = s.k // 2""", TWINS)
+@query("""SELECT s.parcel_id AS source_id, t.parcel_id AS target_id, 'ONE_TO_ONE' AS relation, 0.625::DOUBLE AS probability, NULL AS merged_sources FROM hs s JOIN jt t ON t.k = s.k // 2
+  UNION ALL SELECT min(s.parcel_id), t.parcel_id, 'MERGE', 0.85::DOUBLE, string_agg(s.parcel_id, ',' ORDER BY s.parcel_id) FROM hs s JOIN jt t ON t.k = s.k // 2 GROUP BY t.parcel_id HAVING count(*) = 2""", TWINS)
 def decisions_with_merges(p: Plan) -> DataFrame:
     s, t = p.layer("half_parcel"), p.layer("joint_parcel")
     scored = conflate.rule_probability(conflate.with_features(conflate.candidates(s, t)))
     decided = conflate.decide(s, scored.withColumns({f"e_{d}": F.lit(0.5) for d in conflate.WEIGHTS}))
-    return conflate.with_merges(decided, conflate.merges(decided, s, t)).select("source_id", F.get("targets", F.lit(0)).alias("target_id"), "relation", "probability")
+    return conflate.with_merges(decided, conflate.merges(decided, s, t)).select("source_id", F.get("targets", F.lit(0)).alias("target_id"), "relation", "probability", F.array_join("merged_sources", ",").alias("merged_sources"))
 
 
 CROWD = f""",

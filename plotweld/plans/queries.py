@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -28,15 +29,15 @@ class Plan:
         return score(self.pairs())
 
     def evidence(self, score=conflate.rule_probability) -> DataFrame:
-        rows = self.scored(score)
-        gnss = conflate.gnss_support(conflate.candidates(self.layer("source_parcel"), self.layer("target_parcel")), self.layer("survey_point"))
-        return conflate.with_evidence(rows, gnss, conflate.building_support(self.layer("target_parcel"), self.layer("observation")))
+        return conflate.with_evidence(self.scored(score), self.layer("survey_point"), conflate.building_support(self.layer("target_parcel"), self.layer("observation")))
 
-    def decided(self, score=conflate.rule_probability) -> DataFrame:
-        return conflate.decide(self.layer("source_parcel"), self.evidence(score))
+    def decided(self, score=conflate.rule_probability, supports: bool = False) -> DataFrame:
+        """Decisions; the support of points and buildings, which no rule reads, comes with them only where it is asked for."""
+        rows = self.evidence(score) if supports else conflate.with_own_evidence(self.scored(score))
+        return conflate.decide(self.layer("source_parcel"), rows)
 
-    def conflicted(self) -> DataFrame:
-        return conflicts.with_conflict(self.decided())
+    def conflicted(self, supports: bool = False) -> DataFrame:
+        return conflicts.with_conflict(self.decided(supports=supports))
 
     def routed(self) -> DataFrame:
         return conflicts.route(self.conflicted())
@@ -126,9 +127,10 @@ LATEST = "SELECT *, row_number() OVER (PARTITION BY parcel_id ORDER BY version D
 
 @query("SELECT source_id, t_id AS target_id, iou, p FROM (SELECT s.parcel_id AS source_id, f.t_id, f.iou, f.p, row_number() OVER (PARTITION BY s.parcel_id ORDER BY f.iou DESC, f.t_id) AS n FROM src s LEFT JOIN sc f ON f.parcel_id = s.parcel_id) WHERE n = 1", PAIRS)
 def best_match_ranked(p: Plan) -> DataFrame:
-    best = p.scored().groupBy("s_parcel_id").agg(F.min(F.struct((-F.col("iou")).alias("o"), F.col("t_parcel_id").alias("t"), "iou", "p")).alias("b"))
+    first = W.partitionBy("s_parcel_id").orderBy(F.col("iou").desc(), "t_parcel_id")
+    best = p.scored().select("s_parcel_id", F.col("t_parcel_id").alias("target_id"), "iou", "p", F.row_number().over(first).alias("n")).where("n = 1")
     s = p.layer("source_parcel").select(F.col("parcel_id").alias("source_id"))
-    return s.join(best, F.col("source_id") == F.col("s_parcel_id"), "left").select("source_id", F.col("b.t").alias("target_id"), "b.iou", "b.p")
+    return s.join(best, F.col("source_id") == F.col("s_parcel_id"), "left").select("source_id", "target_id", "iou", "p")
 
 
 @query(f"SELECT parcel_id, version, status, area FROM ({LATEST} log WHERE dataset_id = 'D1') WHERE n = 1")

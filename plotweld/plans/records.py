@@ -170,26 +170,6 @@ def conflicts_gated(p: Plan) -> DataFrame:
     return governance.gated(Desk(p).conflicts, quality.select("passed"))
 
 
-HELMERT = """,
-hz AS (SELECT sqrt(sum((tx - mu) ** 2 + (ty - mv) ** 2) / sum((sx - mx) ** 2 + (sy - my) ** 2)) AS k, atan2(sum(((ty - mv) * (sx - mx) - (tx - mu) * (sy - my)) / ((sx - mx + 1e-12) ** 2 + (sy - my) ** 2)), sum(((tx - mu) * (sx - mx) + (ty - mv) * (sy - my)) / ((sx - mx + 1e-12) ** 2 + (sy - my) ** 2))) AS w FROM cp, m),
-hr AS (SELECT sqrt((mu + k * (cos(w) * (sx - mx) - sin(w) * (sy - my)) - tx) ** 2 + (mv + k * (sin(w) * (sx - mx) + cos(w) * (sy - my)) - ty) ** 2) AS r FROM cp, m, hz),
-es AS (SELECT 1 AS step, 'helmert' AS method, (SELECT quantile_cont(r, 0.95) FROM hr) AS p95 UNION ALL SELECT 2, 'affine', (SELECT quantile_cont(r, 0.95) FROM res))"""
-
-
-@query("SELECT step::INT AS step, method, round(p95, 5) AS p95, p95 <= 0.75 AS accepted, step = (SELECT min(step) FROM es WHERE p95 <= 0.75) AS chosen FROM es", FIT + HELMERT)
-def registration_steps(p: Plan) -> DataFrame:
-    return registration.escalation_steps(p.layer("control_point")).withColumn("p95", F.round("p95", 5))
-
-
-@query("SELECT COALESCE((SELECT method FROM es WHERE p95 <= 0.75 ORDER BY step LIMIT 1), 'none') AS method, n, round(rmse, 6) AS rmse, round(p95, 6) AS p95, failing_regions = 0 AND p95 <= 0.5 AS passed, CASE WHEN failing_regions = 0 AND p95 <= 0.5 THEN NULL ELSE 'REGISTRATION_FAILURE' END AS conflict_type FROM gt", FIT + HELMERT + GATE)
-def registration_run(p: Plan) -> DataFrame:
-    """The record of a run: the method chosen, its figures, and the conflict of a failure."""
-    points = p.layer("control_point")
-    chosen = registration.escalation_steps(points).where("chosen").agg(F.coalesce(F.max("method"), F.lit("none")).alias("method"))
-    _, quality = registration.single_shot(points)
-    return chosen.crossJoin(quality).select("method", "n", F.round("rmse", 6).alias("rmse"), F.round("p95", 6).alias("p95"), "passed", F.when(~F.col("passed"), "REGISTRATION_FAILURE").alias("conflict_type"))
-
-
 @query("SELECT source_id, relation, CASE WHEN route = 'AUTO_ACCEPT' AND failing_regions = 0 AND p95 <= 0.5 THEN 'AUTO_ACCEPT' ELSE 'REVIEW' END AS route FROM ro, gt", DECIDED + FIT + GATE)
 def route_registered(p: Plan) -> DataFrame:
     """Routing where the registration's gate is one of the nine conditions."""
@@ -214,15 +194,6 @@ def heatmap_cells(p: Plan) -> DataFrame:
     return out.withColumns({c: F.round(c, 6 if c in ("mean", "p95", "residual") else 4) for c in out.columns if c not in ("row", "col", "n")})
 
 
-@query("SELECT parcel_id, 2 AS version, 'CANDIDATE' AS status, '{\"stage\":\"registered\"}' AS attributes, " + ", ".join(f"round(a * (xs[{v + 1}] - 500000) + b * (ys[{v + 1}] - 3000000) + e + 500000, 4) AS x{v}, round(c * (xs[{v + 1}] - 500000) + d * (ys[{v + 1}] - 3000000) + f + 3000000, 4) AS y{v}" for v in range(4)) + ", round(p95, 6) AS uncertainty FROM ra, fit, gt", RINGS + FIT + GATE)
-def registered_layer(p: Plan) -> DataFrame:
-    """The next version of every parcel, moved by the fitted map."""
-    fit, quality = registration.single_shot(p.layer("control_point"))
-    rows = registration.registered(ring_layer(p, "source_ring").withColumn("version", F.lit(1)), fit, quality, (500000.0, 3000000.0))
-    corner = lambda v, c: F.round(F.get("ring", F.lit(v))[c], 4).alias(f"{c}{v}")
-    return rows.select("parcel_id", "version", "status", "attributes", *(corner(v, c) for v in range(4) for c in "xy"), F.round("uncertainty", 6).alias("uncertainty"))
-
-
 # --- lists and lookups --------------------------------------------------------------------------
 
 RUNS = f", run AS ({fixtures.sql('pipeline_run', '//')}), ast AS ({fixtures.sql('asset', '//')})"
@@ -450,7 +421,7 @@ def review_bands(p: Plan) -> DataFrame:
     good = (prob >= 0.95) & F.col("conflict_type").isNull() & (F.col("relation") == "ONE_TO_ONE")
     for c, v in least.items():
         good = good & (F.col(c) >= v)
-    return p.conflicted().select("source_id", F.when(prob > 0.9, "high").when(prob > 0.7, "medium").otherwise("low").alias("band"), F.coalesce(good, F.lit(False)).alias("shown_acceptable"))
+    return p.conflicted(supports=True).select("source_id", F.when(prob > 0.9, "high").when(prob > 0.7, "medium").otherwise("low").alias("band"), F.coalesce(good, F.lit(False)).alias("shown_acceptable"))
 
 
 @query("SELECT s.parcel_id AS source_id, t.parcel_id AS target_id, (list_contains(refs, t.parcel_id) AND refs IS NOT NULL)::INT AS y FROM src s JOIN tgt t ON t.xmin <= s.xmax + 50 AND t.xmax >= s.xmin - 50 AND t.ymin <= s.ymax + 50 AND t.ymax >= s.ymin - 50 AND sqrt(pow(greatest(0, s.xmin - t.xmax, t.xmin - s.xmax), 2) + pow(greatest(0, s.ymin - t.ymax, t.ymin - s.ymax), 2)) <= 50 JOIN tk ON tk.legacy_id = s.parcel_id", TRUTH)

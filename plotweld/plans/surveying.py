@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import projection
-from ..operators import corners, registration
+from ..operators import corners, escalation, registration
+from ..operators.lineage import cut
 from ..sources import fixtures, scenario
 from .queries import ORACLE, QUERIES, Plan, query
 
@@ -62,23 +62,22 @@ def homologous_pairs(p: Plan) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 9))
 
 
-def _points(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Control points on the driver: the scenario's 16, or the 100 that homologous() keeps at most."""
-    rows = np.array([tuple(r) for r in df.select("sx", "sy", "tx", "ty").orderBy("sx", "sy").collect()], float).reshape(-1, 4)
-    centre = rows[:, :2].mean(0) if len(rows) else 0.0
-    return rows[:, :2] - centre, rows[:, 2:] - centre
-
-
 @query(None)
 def escalation_log(p: Plan) -> DataFrame:
-    """Methods tried on the scenario's control points, until one fits."""
-    _, _, log = registration.escalate(*_points(scenario.scenario(p.spark, "control")))
-    return p.spark.createDataFrame([(n, x["method"], x["p95"], x["accepted"]) for n, x in enumerate(log, 1)], "step int, method string, p95 double, accepted boolean")
+    """Methods tried on homologous corners, wrong ones left out, until one fits."""
+    steps = escalation.escalated(_numbered(p).transform(escalation.ransac).where("inlier"))
+    return steps.select("step", "method", "p95", "worst_p95", "accepted")
 
 
 @query(None)
 def ransac_helmert(p: Plan) -> DataFrame:
-    """The similarity of homologous corners, and which of them it fits."""
-    src, dst = _points(corners.homologous(_corners(p, "legacy_box"), _corners(p, "truth_box")))
-    m, inlier = registration.ransac(src, dst)
-    return p.spark.createDataFrame([(float(np.hypot(m[0, 0], m[1, 0])), float(np.arctan2(m[1, 0], m[0, 0])), float(m[0, 2]), float(m[1, 2]), int(inlier.sum()), len(src))], "scale double, rotation double, shift_x double, shift_y double, inliers int, points int")
+    """The similarity of homologous corners, and how many of them it fits."""
+    found = escalation.ransac(_numbered(p))
+    fit = registration.helmert(found.where("inlier"))
+    return fit.crossJoin(found.agg(F.count(F.when(F.col("inlier"), 1)).alias("inliers"), F.count("*").alias("points")))
+
+
+def _numbered(p: Plan) -> DataFrame:
+    """The 100 pairs of corners that homologous() keeps at most, as control points about the layer's origin."""
+    pairs = corners.homologous(_corners(p, "legacy_box"), _corners(p, "truth_box"))
+    return cut(pairs).select(F.concat_ws(":", "sx", "sy").alias("point_id"), (F.col("sx") - 500000).alias("sx"), (F.col("sy") - 3000000).alias("sy"), (F.col("tx") - 500000).alias("tx"), (F.col("ty") - 3000000).alias("ty"))

@@ -45,6 +45,9 @@ SELECT k AS point_id, CAST(41 * (k % 50) AS DOUBLE) AS sx, CAST(31 * (k {div} 50
   CAST(1.0078125 AS DOUBLE) * (41 * (k % 50)) - CAST(0.015625 AS DOUBLE) * (31 * (k {div} 50)) + CAST(1.25 AS DOUBLE) + ((3 * k) % 7 - 3) / 64 AS tx,
   CAST(0.015625 AS DOUBLE) * (41 * (k % 50)) + CAST(1.0078125 AS DOUBLE) * (31 * (k {div} 50)) - CAST(0.75 AS DOUBLE) + ((5 * k) % 11 - 5) / 64 AS ty
 FROM (SELECT s_suppkey AS k FROM supplier) q""",
+    "control_point_sheared": "SELECT point_id, sx, sy, tx + CAST(0.0625 AS DOUBLE) * sy AS tx, ty FROM ({control_point}) c",
+    "control_point_bent": "SELECT point_id, sx, sy, tx + CAST(4 AS DOUBLE) * sin(sx / 300) AS tx, ty FROM ({control_point}) c",
+    "control_point_outliers": "SELECT point_id, sx, sy, tx + CASE WHEN point_id % 9 = 4 THEN 25 + point_id % 7 ELSE 0 END AS tx, ty FROM ({control_point}) c",
     "scored_label": """
 SELECT event_id, least(value / 512, CAST(1 AS DOUBLE)) AS p, CASE WHEN event_id % 7 < 3 THEN 1 ELSE 0 END AS y FROM events WHERE value IS NOT NULL""",
     "source_ring": """
@@ -87,13 +90,17 @@ FROM (SELECT c_custkey AS k, 500001 + 41 * (c_custkey % 50) + ((7 * c_custkey) %
 TABLES = ("customer", "orders", "part", "supplier", "events")
 
 
+def _text(name: str) -> str:
+    return LAYERS[name].replace("{control_point}", LAYERS["control_point"])
+
+
 def sql(name: str, div: str) -> str:
-    return LAYERS[name].replace("{div}", div)
+    return _text(name).replace("{div}", div)
 
 
 def layer(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived layer; its tables are bound by name for this plan only."""
-    bound = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in LAYERS[name]}
+    bound = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in _text(name)}
     text = sql(name, "div")
     for t in bound:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
