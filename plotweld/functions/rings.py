@@ -148,7 +148,7 @@ def validity(r: Column) -> Column:
         F.flatten(F.transform(e, lambda a, i: F.transform(F.filter(e, lambda b, j: away(i, j, F.size(e))), lambda b: (_side(a, b["p"]) * _side(a, b["q"]) < 0) & (_side(b, a["p"]) * _side(b, a["q"]) < 0)))),
         lambda x: x,
     )
-    return F.when(r.isNull() | (F.size(r) < 3), "too few vertices").when(area(r) == 0, "no area").when(cross, "edges cross")
+    return F.when(r.isNull() | (F.size(r) < 3), "too few vertices").when(cross, "edges cross").when(area(r) == 0, "no area")
 
 
 def let(value: Column, f) -> Column:

@@ -38,23 +38,13 @@ def _spots(points: DataFrame) -> DataFrame:
     return points.select(F.col("point_id").alias("g_id"), *(F.col(c).alias(f"g_{n}") for c, n in (("x", "xmin"), ("y", "ymin"), ("x", "xmax"), ("y", "ymax"))))
 
 
-def with_gnss(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs with n_gnss, the survey points near their common area, or near the source where there is none.
-
-    The pairs go through the join once and are counted afterwards, so that what made them is not computed again.
-    """
+def gnss_support(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Survey points near the common area of a pair, or near the source where there is none; pairs with none have no row."""
     s, t = g.box("s_"), g.box("t_")
     i = g.intersection(s, t)
     some = (i[2] > i[0]) & (i[3] > i[1])
-    zone = pairs.withColumns({f"z_{n}": F.when(some, a).otherwise(b) for a, b, n in zip(i, s, ("xmin", "ymin", "xmax", "ymax"), strict=True)})
-    near = distance_join(zone, _spots(points), "z_", "g_", F.when(some, RULES.gnss_radius + 0.01).otherwise(RULES.gnss_radius), keep_left=True)
-    own = [c for c in pairs.columns if c not in ("s_parcel_id", "t_parcel_id")]
-    counted = near.groupBy("s_parcel_id", "t_parcel_id").agg(F.count("g_id").alias("n_gnss"), F.any_value(F.struct(*own)).alias("own"))
-    return counted.select("s_parcel_id", "t_parcel_id", "own.*", "n_gnss")
-
-
-def gnss_support(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    return with_gnss(pairs, points).select("s_parcel_id", "t_parcel_id", "n_gnss").where("n_gnss > 0")
+    zone = pairs.select("s_parcel_id", "t_parcel_id", *(F.when(some, a).otherwise(b).alias(f"z_{n}") for a, b, n in zip(i, s, ("xmin", "ymin", "xmax", "ymax"), strict=True)), F.when(some, RULES.gnss_radius + 0.01).otherwise(RULES.gnss_radius).alias("z_radius"))
+    return distance_join(zone, _spots(points), "z_", "g_", F.col("z_radius")).groupBy("s_parcel_id", "t_parcel_id").agg(F.count("*").alias("n_gnss"))
 
 
 def building_support(targets: DataFrame, observations: DataFrame) -> DataFrame:
@@ -63,6 +53,25 @@ def building_support(targets: DataFrame, observations: DataFrame) -> DataFrame:
     return near.groupBy("t_parcel_id").agg(F.count("*").alias("n_buildings"))
 
 
+def gnss_support_ring(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The same on convex rings: points near the clipped ring of a pair; cells of the zone's box find them, the ring decides."""
+    part = rings.clip(F.col("s_ring"), F.col("t_ring"))
+    rows = pairs.select("s_parcel_id", "t_parcel_id", F.col("s_ring").alias("source"), part.alias("part"))
+    some = F.size("part") > 2
+    rows = rows.select("s_parcel_id", "t_parcel_id", F.when(some, F.col("part")).otherwise(F.col("source")).alias("z_ring"), F.when(some, RULES.gnss_radius + 0.01).otherwise(RULES.gnss_radius).alias("z_radius"))
+    zone = rows.withColumns({f"z_{n}": c for n, c in zip(("xmin", "ymin", "xmax", "ymax"), rings.bounds(F.col("z_ring")), strict=True)})
+    near = distance_join(zone, _spots(points), "z_", "g_", F.col("z_radius"))
+    spot = F.struct(F.col("g_xmin").alias("x"), F.col("g_ymin").alias("y"))
+    return near.where(rings.distance_to(spot, F.col("z_ring")) <= F.col("z_radius")).groupBy("s_parcel_id", "t_parcel_id").agg(F.count("*").alias("n_gnss"))
+
+
+def building_support_ring(targets: DataFrame, observations: DataFrame) -> DataFrame:
+    """The same on rings of any shape: those that share a point."""
+    built = prefixed(observations.where(F.col("type").isin(*BUILDINGS)), "o_")
+    near = distance_join(prefixed(targets, "t_"), built, "t_", "o_", 0.0).where(rings.meets(F.col("t_ring"), F.col("o_ring")))
+    return near.groupBy("t_parcel_id").agg(F.count("*").alias("n_buildings"))
+
+
 def with_own_evidence(pairs: DataFrame) -> DataFrame:
     """The dimensions that a pair has by itself."""
     return pairs.withColumns({
@@ -73,7 +82,7 @@ def with_own_evidence(pairs: DataFrame) -> DataFrame:
 
 def with_evidence(pairs: DataFrame, points: DataFrame, buildings: DataFrame) -> DataFrame:
     """All six dimensions: those of the pair, and the support of survey points and buildings."""
-    rows = with_gnss(pairs, points).join(buildings, "t_parcel_id", "left").fillna(0, ["n_gnss", "n_buildings"])
+    rows = pairs.join(gnss_support(pairs, points), ["s_parcel_id", "t_parcel_id"], "left").join(buildings, "t_parcel_id", "left").fillna(0, ["n_gnss", "n_buildings"])
     return with_own_evidence(rows).withColumns({"e_survey": F.round(F.least(F.lit(1.0), F.col("n_gnss") / 3), 4), "e_physical": F.round(F.least(F.lit(1.0), F.col("n_buildings") / 2), 4)})
 
 

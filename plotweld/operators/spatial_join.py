@@ -22,18 +22,15 @@ def _cells(df: DataFrame, b, cell: float, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))))
 
 
-def distance_join(left: DataFrame, right: DataFrame, left_prefix: str, right_prefix: str, radius: Column | float = 0.0, cell: float = CELL, keep_left: bool = False) -> DataFrame:
-    """Pairs whose boxes lie within `radius` (an expression of the left row); columns of both sides.
-
-    With `keep_left`, every cell of a left row that meets nothing gives a row with nulls on the right: for counting.
-    """
+def distance_join(left: DataFrame, right: DataFrame, left_prefix: str, right_prefix: str, radius: Column | float = 0.0, cell: float = CELL) -> DataFrame:
+    """Pairs whose boxes lie within `radius` (an expression of the left row); columns of both sides."""
     r = F.lit(float(radius)) if isinstance(radius, (int, float)) else radius
     lb, rb = g.box(left_prefix), g.box(right_prefix)
     l = _cells(left.withColumn("_r", r), (lb[0] - F.col("_r"), lb[1] - F.col("_r"), lb[2] + F.col("_r"), lb[3] + F.col("_r")), cell, "_c")  # noqa: E741
     rt = _cells(right, rb, cell, "_d")
     own = (F.floor(F.greatest(lb[0] - F.col("_r"), rb[0]) / cell) == F.col("_c.x")) & (F.floor(F.greatest(lb[1] - F.col("_r"), rb[1]) / cell) == F.col("_c.y"))
     meet = (F.col("_c.x") == F.col("_d.x")) & (F.col("_c.y") == F.col("_d.y")) & own & (g.distance(lb, rb) <= F.col("_r"))
-    return l.join(rt, meet, "left" if keep_left else "inner").drop("_c", "_d", "_r")
+    return l.join(rt, meet).drop("_c", "_d", "_r")
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:

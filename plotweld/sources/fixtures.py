@@ -75,6 +75,20 @@ SELECT concat('J-', j) AS parcel_id, j AS k, CAST(500000 + 50 * (j % 40) AS DOUB
     "crowded_parcel": """
 SELECT concat('C-', k) AS parcel_id, CAST(x0 AS DOUBLE) AS xmin, CAST(y0 AS DOUBLE) AS ymin, CAST(x0 + 40 AS DOUBLE) AS xmax, CAST(y0 + 30 AS DOUBLE) AS ymax
 FROM (SELECT c_custkey AS k, 500000 + 41 * (c_custkey % 50) + CASE WHEN c_custkey % 5 = 2 THEN 4 ELSE 0 END AS x0, 3000000 + 31 * (c_custkey {div} 50) AS y0 FROM customer) q""",
+    "slanted_source": """
+SELECT concat('L-', k, tail) AS parcel_id, k, kind, CAST(x0 + a AS DOUBLE) AS xmin, CAST(y0 AS DOUBLE) AS ymin, CAST(x0 + b AS DOUBLE) AS xmax, CAST(y0 + 30 AS DOUBLE) AS ymax,
+  concat('SN-', k) AS survey_no, 'owner' AS owner_name, 'residential' AS land_use, CAST((b - a) * 30 AS DOUBLE) AS revenue_area, CAST(0.25 AS DOUBLE) AS sigma
+FROM (SELECT c_custkey AS k, c_custkey % 8 AS kind, 500000 + 70 * (c_custkey % 50) AS x0, 3000000 + 40 * (c_custkey {div} 50) AS y0 FROM customer) c
+JOIN (SELECT 0 AS pk, '' AS tail, 0 AS a, 40 AS b UNION ALL SELECT 1, '', 0, 40 UNION ALL SELECT 2, '', 0, 40 UNION ALL SELECT 3, '', 0, 40 UNION ALL SELECT 4, '', 0, 40 UNION ALL SELECT 5, '', 0, 40 UNION ALL SELECT 6, '', 0, 40
+  UNION ALL SELECT 7, '-a', 0, 21 UNION ALL SELECT 7, '-b', 20, 40) q ON pk = kind""",
+    "slanted_target": """
+SELECT concat('S-', k, tail) AS parcel_id, k, CAST(x0 + a AS DOUBLE) AS xmin, CAST(y0 AS DOUBLE) AS ymin, CAST(x0 + b AS DOUBLE) AS xmax, CAST(y0 + 30 AS DOUBLE) AS ymax,
+  concat('SN-', k) AS survey_no, 'owner' AS owner_name, 'residential' AS land_use, CAST((b - a) * 30 AS DOUBLE) AS revenue_area, CAST(0.25 AS DOUBLE) AS sigma
+FROM (SELECT c_custkey AS k, c_custkey % 8 AS kind, 500000 + 70 * (c_custkey % 50) AS x0, 3000000 + 40 * (c_custkey {div} 50) AS y0 FROM customer) c
+JOIN (SELECT 0 AS pk, '-a' AS tail, 0 AS a, 20 AS b UNION ALL SELECT 0, '-b', 20, 40 UNION ALL SELECT 1, '-a', 0, 21 UNION ALL SELECT 1, '-b', 19, 40 UNION ALL SELECT 2, '-a', 0, 17.5e0 UNION ALL SELECT 2, '-b', 16, 33.5e0
+  UNION ALL SELECT 3, '-a', 0, 14 UNION ALL SELECT 3, '-b', 13, 27 UNION ALL SELECT 3, '-c', 26, 40 UNION ALL SELECT 4, '', 1, 41 UNION ALL SELECT 6, '-a', 0, 26 UNION ALL SELECT 6, '-b', 14, 40 UNION ALL SELECT 7, '', 0, 40) q ON pk = kind""",
+    "raw_ring": """
+SELECT concat('W-', k) AS parcel_id, k, k % 5 AS kind, CAST(500000 + 70 * (k % 50) AS DOUBLE) AS x, CAST(3000000 + 40 * (k {div} 50) AS DOUBLE) AS y, CAST(8 + k % 11 AS DOUBLE) AS w, CAST(6 + k % 7 AS DOUBLE) AS h FROM (SELECT c_custkey AS k FROM customer) q""",
     "pipeline_run": """
 SELECT concat('R-', o_orderkey) AS run_id, concat('D', substr(o_orderpriority, 1, 1)) AS source_dataset, concat('D', CAST(o_custkey % 3 AS VARCHAR(9))) AS reference_dataset,
   CASE o_orderstatus WHEN 'F' THEN 'PASSED' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status, o_totalprice AS rmse, o_orderdate AS created_at, o_orderkey AS row_id FROM orders""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotweld.functions import kernels, rings
 from plotweld.operators import features, governance, matcher, registration
-from plotweld.plans import polygons, queries, records, registering  # noqa: F401  they register their queries
+from plotweld.plans import polygons, queries, records, regions, registering  # noqa: F401  they register their queries
 from plotweld.sources import ingest
 
 DATA = "/root/testdata/sf0.01"
@@ -19,7 +19,7 @@ def text(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables absent")
-@pytest.mark.parametrize("name", ["best_match_ring", "orientation_ring", "merge_twins", "overlap_geometries", "accepted_versions", "review_action_results", "registered_layer", "registration_steps", "parcel_features", "relation_decision_fitted", "ingest_versions"])
+@pytest.mark.parametrize("name", ["best_match_ring", "orientation_ring", "merge_twins", "overlap_geometries", "accepted_versions", "review_action_results", "registered_layer", "registration_steps", "registration_run_robust", "decisions_ring", "fixed_rings", "parcel_features", "relation_decision_fitted", "ingest_versions"])
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:
