@@ -13,11 +13,13 @@ exact filters come first; neither loses a pair within one edit:
 2. segments: a line of n characters in ceil(sqrt(n)) wide segments; such lines agree but for one
    segment. A (line, segment) whose remainder nobody shares is left out.
 
-What is left emits its deletion variants, inside the shared segments, as hashed keys. With the position in
+The hash of a remainder is put together from the hashes of the segments before and behind, so a row carries one segment
+and never the line: work and rows grow with a line's length, not faster. What is left emits its deletion variants, inside
+the shared segments, as hashed keys of remainder and shortened segment. With the position in
 the key, lines of equal length under one key differ by one substitution at most; a shorter line
 equals a variant of a longer one. So the earliest line under a key is a witness for the others:
-a minimum with map-side combining finds it, no pairs of a group are made. The witness is verified by
-edit distance before a line goes.
+a minimum with map-side combining finds it, no pairs of a group are made. Before a line goes, it is compared with its
+witness, less the character at the place that the key names.
 
 Exact repeats are told by two hashes of the line and its length. Null text stays null, empty text has one empty line
 that stays. Rows equal in doc_id and text count as one document and keep the same lines. Ids are whole numbers
@@ -47,9 +49,45 @@ def _halves(line: Column, n: Column, shorter: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit("p"), g, F.substring(line, F.lit(1), g)), F.xxhash64(F.lit("s"), g, F.substring(line, n - g + 1, g))
 
 
-def _without(line: Column, at: Column, width: Column, n: Column) -> Column:
-    """The line without `width` characters from offset `at` (from 0)."""
-    return F.concat(F.substring(line, F.lit(1), at), F.substring(line, at + width + 1, n))
+def _without(line: Column, at: Column) -> Column:
+    """The line without the character at offset `at` (from 0)."""
+    return F.concat(F.substring(line, F.lit(1), at), F.substring(line, at + 2, F.length(line)))
+
+
+def _width(longer: Column) -> Column:
+    return F.ceil(F.sqrt(longer.cast("double"))).cast("int")
+
+
+def _pieces(line: Column, width: Column) -> Column:
+    """The line in pieces of `width` characters, in one pass."""
+    return F.regexp_extract_all(line, F.concat(F.lit("(?s).{1,"), width.cast("string"), F.lit("}")), F.lit(0))
+
+
+def _mixed(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+
+
+def _segment_rows(lines: DataFrame, role: str, rows: Column) -> DataFrame:
+    out = lines.select("h", "first", "m", "w", F.explode(rows).alias("x"))
+    return out.select("h", "first", "m", "w", F.lit(role).alias("role"), "x.seg", "x.rest", "x.piece")
+
+
+def _long_segments(lines: DataFrame) -> DataFrame:
+    """Each segment of each line, with the hash of the line's other segments."""
+    cut = lines.select("h", "first", F.col("n").alias("m"), _width(F.col("n")).alias("w"), "line").withColumn("pieces", _pieces(F.col("line"), F.col("w")))
+    cut = cut.withColumn("hashes", F.transform("pieces", lambda s, i: F.xxhash64(i, s))).withColumn("all", _mixed(F.col("hashes")))
+    return _segment_rows(cut, "long", F.transform("pieces", lambda s, i: F.struct(i.alias("seg"), F.col("all").bitwiseXOR(F.get("hashes", i)).alias("rest"), s.alias("piece"))))
+
+
+def _short_segments(lines: DataFrame) -> DataFrame:
+    """The same for a line taken as one of a character more that has lost one in the segment: what follows it is set off by one."""
+    cut = lines.select("h", "first", (F.col("n") + 1).alias("m"), _width(F.col("n") + 1).alias("w"), "line")
+    cut = cut.withColumns({"pieces": _pieces(F.col("line"), F.col("w")), "later": _pieces(F.substring("line", F.col("w"), F.length("line")), F.col("w")), "k": F.ceil(F.col("m") / F.col("w")).cast("int")})
+    # Behind a segment j come those numbered from j + 1, the first of `later` being number 1.
+    cut = cut.withColumns({"before": F.transform("pieces", lambda s, i: F.xxhash64(i, s)), "behind": F.transform("later", lambda s, i: F.xxhash64(i + 1, s))})
+    rest = lambda j: _mixed(F.slice("before", F.lit(1), j)).bitwiseXOR(_mixed(F.slice("behind", j + 1, F.greatest(F.col("k") - 1 - j, F.lit(0)))))
+    own = lambda j: F.substring(F.coalesce(F.get("pieces", j), F.lit("")), F.lit(1), F.col("w") - 1)
+    return _segment_rows(cut, "short", F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(j.alias("seg"), rest(j).alias("rest"), own(j).alias("piece"))))
 
 
 def line_occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -79,33 +117,29 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     texts = texts.select("o", "dh", F.split("text", "\n", -1).alias("lines"), "want").select("o", "dh", F.explode(F.transform("want", lambda w: F.struct(w["h"].alias("h"), w["n"].alias("n"), w["pos"].alias("pos"), F.element_at("lines", w["pos"] + 1).alias("line")))).alias("x"))
     lines = box.save(texts.select("x.h", "x.n", F.struct(F.col("o").alias("o"), F.col("x.pos").alias("pos"), F.col("dh").alias("dh")).alias("first"), "x.line").distinct())
 
-    def segments(longer: Column, cut: int, role: str) -> DataFrame:
-        width = F.ceil(F.sqrt(longer.cast("double"))).cast("int")
-        at = F.explode(F.sequence(F.lit(0), (F.floor((longer - 1) / width)).cast("int"))).alias("seg")
-        rows = lines.select("h", "n", "first", "line", width.alias("w"), longer.alias("m"), at)
-        rest = _without(F.col("line"), F.col("seg") * F.col("w"), F.least(F.col("w"), F.col("m") - F.col("seg") * F.col("w")) - cut, F.col("n"))
-        return rows.select("h", "n", "first", "w", "seg", F.lit(role).alias("role"), F.xxhash64("m", "seg", rest).alias("key"))
-
-    parts = segments(F.col("n"), 0, "long").unionByName(segments(F.col("n") + 1, 1, "short"))
-    shared = parts.groupBy("key").agg(F.count("*").alias("c"), F.max("role").alias("hi"), F.min("role").alias("lo")).where("c > 1 and lo = 'long'").select("key")
-    live = parts.join(shared, "key", "left_semi")
-    ranges = live.where("role = 'long'").groupBy("h", "w").agg(F.collect_set("seg").alias("segs")).select(F.col("h").alias("vh"), "w", "segs")
-    deletions = lines.join(ranges, lines.h == ranges.vh).select("h", "n", "first", "line", "w", F.explode("segs").alias("seg"))
-    deletions = deletions.select("h", "n", "first", "line", F.explode(F.sequence(F.col("seg") * F.col("w"), F.least(F.col("n"), (F.col("seg") + 1) * F.col("w")) - 1)).alias("p"))
-    variant = _without(F.col("line"), F.col("p"), F.lit(1), F.col("n"))
-    deletions = deletions.select("h", "first", "p", variant.alias("v"))
-    longs = deletions.select("h", "first", F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.xxhash64(F.lit("s"), "p", "v").alias("key")), F.struct(F.lit("l").alias("kind"), F.xxhash64(F.lit("d"), "v").alias("key")))).alias("x")).select("h", "first", "x.kind", "x.key").distinct()
-    shorts = lines.join(live.where("role = 'short'").select(F.col("h").alias("vh")).distinct(), F.col("h") == F.col("vh"), "left_semi")
-    variants = longs.unionByName(shorts.select("h", "first", F.lit("d").alias("kind"), F.xxhash64(F.lit("d"), "line").alias("key")))
-    least = variants.groupBy("key").agg(
-        F.count("*").alias("c"), F.min(F.when(F.col("kind") == "s", F.col("first"))).alias("s"), F.min(F.when(F.col("kind") == "l", F.col("first"))).alias("l"), F.min(F.when(F.col("kind") == "d", F.col("first"))).alias("d")
-    ).where("c > 1").drop("c")
+    parts = _long_segments(lines).unionByName(_short_segments(lines))
+    key = F.xxhash64("m", "seg", "rest")
+    shared = parts.groupBy(key.alias("shared")).agg(F.count("*").alias("c"), F.min("role").alias("lo")).where("c > 1 and lo = 'long'").select("shared")
+    live = parts.withColumn("key", key).join(shared, F.col("key") == F.col("shared"), "left_semi").drop("key")
+    places = F.explode(F.sequence(F.lit(0), F.length("piece") - 1)).alias("q")
+    cut = live.where("role = 'long'").select("h", "first", "m", "w", "seg", "rest", "piece", places)
+    variant = F.concat(F.substring("piece", F.lit(1), F.col("q")), F.substring("piece", F.col("q") + 2, F.length("piece")))
+    cut = cut.select("h", "first", (F.col("seg") * F.col("w") + F.col("q")).alias("p"), F.xxhash64("m", "seg", "rest", variant).alias("v"))
+    longs = cut.select("h", "first", "p", F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.xxhash64(F.lit("s"), "p", "v").alias("key")), F.struct(F.lit("l").alias("kind"), F.xxhash64(F.lit("d"), "v").alias("key")))).alias("x")).select("h", "first", "p", "x.kind", "x.key")
+    shorts = live.where("role = 'short'").select("h", "first", F.lit(-1).alias("p"), F.lit("d").alias("kind"), F.xxhash64(F.lit("d"), F.xxhash64("m", "seg", "rest", "piece")).alias("key"))
+    variants = longs.unionByName(shorts)
+    at = F.struct("first", "p")
+    least = variants.groupBy("key").agg(F.count("*").alias("c"), *(F.min(F.when(F.col("kind") == k, at)).alias(k) for k in "sld")).where("c > 1").drop("c")
     witness = F.when(F.col("kind") == "s", F.col("s")).when(F.col("kind") == "l", F.col("d")).otherwise(F.col("l"))
-    near = variants.join(least, "key").select("h", "first", witness.alias("witness")).where("witness < first").groupBy("h", "first").agg(F.min("witness").alias("witness"))
+    near = variants.join(least, "key").select("h", "first", "kind", F.greatest(F.col("p"), witness["p"]).alias("p"), witness["first"].alias("witness")).where("witness < first")
+    near = near.groupBy("h", "first").agg(F.min(F.struct("witness", "kind", "p")).alias("w")).select("h", "first", "w.*")
     mine = lines.select(F.col("h").alias("ah"), F.col("first").alias("af"), F.col("line").alias("a"))
     its = lines.select(F.col("first").alias("bf"), F.col("line").alias("b"))
     # `first` tells distinct lines apart where they share a hash.
-    checked = near.join(mine, (F.col("h") == F.col("ah")) & (F.col("first") == F.col("af"))).join(its, F.col("witness") == F.col("bf")).where(F.levenshtein("a", "b", 1) >= 0).select(F.col("h").alias("gone"), F.col("first").alias("gf"))
+    checked = near.join(mine, (F.col("h") == F.col("ah")) & (F.col("first") == F.col("af"))).join(its, F.col("witness") == F.col("bf"))
+    less = lambda c: _without(F.col(c), F.col("p"))
+    same = F.when(F.col("kind") == "s", (F.length("a") == F.length("b")) & (less("a") == less("b"))).when(F.col("kind") == "l", less("a") == F.col("b")).otherwise(F.col("a") == less("b"))
+    checked = checked.where(same).select(F.col("h").alias("gone"), F.col("first").alias("gf"))
 
     twice = distinct.join(checked, (distinct.h == checked.gone) & (distinct["first"] == checked["gf"]), "left").where("count > 1 or gone is not null")
     twice = box.save(twice.select(F.col("h").alias("th"), F.col("n").alias("tn"), F.col("h2").alias("t2"), F.col("first").alias("tf"), F.col("gone").isNotNull().alias("all")))

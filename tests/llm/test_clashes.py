@@ -83,3 +83,39 @@ def test_sets_that_share_a_fingerprint(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = {(i, i // 3 * 3, 2) for i, _ in rows}
     assert {(r.doc_id, r.component_id, r.n_links) for r in ngram_join.ngram_jaccard_join(spark, docs, fingerprint=weak).collect()} == want
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def test_lines_of_all_lengths_by_hand(spark):
+    import random
+
+    rng = random.Random(4)
+    lines = []
+    for n in [*range(1, 40), 63, 64, 65, 99, 100, 101, 400, 401]:
+        base = "".join(rng.choice("abcdeé𝄞 ") for _ in range(n - 1)) + "x"
+        for _ in range(5):
+            at, kind = rng.randrange(n), rng.randrange(4)
+            lines.append((base, base[:at] + rng.choice("pqé𝄞") + base[at + 1 :], base[:at] + base[at + 1 :], base[:at] + rng.choice("pq") + base[at:])[kind])
+    lines = [x for x in lines if x.strip()]
+    rng.shuffle(lines)
+    docs = [(i, "\n".join(lines[i::7])) for i in range(7)]
+    order = [(i, pos, x) for i, t in docs for pos, x in enumerate(t.split("\n"))]
+    want = {(i, pos) for k, (i, pos, x) in enumerate(order) if any(one_edit(x, y) for _, _, y in order[:k])}
+    got = line_dedup.dropped_lines(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), min_chars=1).collect()
+    assert {(r.o, pos) for r in got for pos in r.drops} == want
+
+
+def test_very_long_lines(spark):
+    import time
+
+    base = "".join(chr(97 + (i * i * 7 + i // 11) % 26) for i in range(900_000))
+    rows = [(1, base), (2, base[:450_000] + "#" + base[450_001:]), (3, base[:-3] + base[-2:]), (4, base[:500] + "!!" + base[502:])]
+    began = time.time()
+    got = line_dedup.dropped_lines(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), min_chars=1).collect()
+    assert {r.o for r in got} == {2, 3} and time.time() - began < 120
