@@ -67,27 +67,41 @@ def _mixed(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
 
 
-def _segment_rows(lines: DataFrame, role: str, rows: Column) -> DataFrame:
-    out = lines.select("h", "first", "m", "w", F.explode(rows).alias("x"))
-    return out.select("h", "first", "m", "w", F.lit(role).alias("role"), "x.seg", "x.rest", "x.piece")
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once: what a lambda names by a column may be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _segment_keys(lines: DataFrame, long: bool) -> DataFrame:
+    """A key for each segment of each line: its number, what the line counts as, and the hash of the other segments."""
+    return lines.select("lid", "m", F.posexplode("rests").alias("seg", "rest")).select("lid", "seg", F.lit(long).alias("long"), F.xxhash64("m", "seg", "rest").alias("key"))
+
+
+def _chosen(lines: DataFrame, segs: str) -> DataFrame:
+    """Rows of the segments named by a column."""
+    out = lines.select("first", "m", "w", segs, F.posexplode(F.arrays_zip("rests", "pieces")).alias("seg", "x")).where(F.array_contains(segs, F.col("seg")))
+    return out.select("first", "m", "w", "seg", F.col("x.rests").alias("rest"), F.coalesce("x.pieces", F.lit("")).alias("piece"))
 
 
 def _long_segments(lines: DataFrame) -> DataFrame:
-    """Each segment of each line, with the hash of the line's other segments."""
-    cut = lines.select("h", "first", F.col("n").alias("m"), _width(F.col("n")).alias("w"), "line").withColumn("pieces", _pieces(F.col("line"), F.col("w")))
-    cut = cut.withColumn("hashes", F.transform("pieces", lambda s, i: F.xxhash64(i, s))).withColumn("all", _mixed(F.col("hashes")))
-    return _segment_rows(cut, "long", F.transform("pieces", lambda s, i: F.struct(i.alias("seg"), F.col("all").bitwiseXOR(F.get("hashes", i)).alias("rest"), s.alias("piece"))))
+    """The segments of each line and, for each, the hash of the others."""
+    cut = lines.withColumns({"m": F.col("n"), "w": _width(F.col("n"))}).withColumn("pieces", _pieces(F.col("line"), F.col("w")))
+    others = lambda hashes: _once(_mixed(hashes), lambda every: F.transform(hashes, lambda x: every.bitwiseXOR(x)))
+    return cut.withColumn("rests", _once(F.transform("pieces", lambda s, i: F.xxhash64(i, s)), others))
 
 
 def _short_segments(lines: DataFrame) -> DataFrame:
     """The same for a line taken as one of a character more that has lost one in the segment: what follows it is set off by one."""
-    cut = lines.select("h", "first", (F.col("n") + 1).alias("m"), _width(F.col("n") + 1).alias("w"), "line")
-    cut = cut.withColumns({"pieces": _pieces(F.col("line"), F.col("w")), "later": _pieces(F.substring("line", F.col("w"), F.length("line")), F.col("w")), "k": F.ceil(F.col("m") / F.col("w")).cast("int")})
-    # Behind a segment j come those numbered from j + 1, the first of `later` being number 1.
-    cut = cut.withColumns({"before": F.transform("pieces", lambda s, i: F.xxhash64(i, s)), "behind": F.transform("later", lambda s, i: F.xxhash64(i + 1, s))})
-    rest = lambda j: _mixed(F.slice("before", F.lit(1), j)).bitwiseXOR(_mixed(F.slice("behind", j + 1, F.greatest(F.col("k") - 1 - j, F.lit(0)))))
-    own = lambda j: F.substring(F.coalesce(F.get("pieces", j), F.lit("")), F.lit(1), F.col("w") - 1)
-    return _segment_rows(cut, "short", F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(j.alias("seg"), rest(j).alias("rest"), own(j).alias("piece"))))
+    cut = lines.withColumns({"m": F.col("n") + 1, "w": _width(F.col("n") + 1)})
+    cut = cut.withColumns({"whole": _pieces(F.col("line"), F.col("w")), "later": _pieces(F.substring("line", F.col("w"), F.length("line")), F.col("w")), "k": F.ceil(F.col("m") / F.col("w")).cast("int")})
+
+    def rests(before: Column, behind: Column) -> Column:
+        # Behind a segment j come those numbered from j + 1, the first of `behind` being number 1.
+        rest = lambda j: _mixed(F.slice(before, F.lit(1), j)).bitwiseXOR(_mixed(F.slice(behind, j + 1, F.size(behind))))
+        return F.transform(F.sequence(F.lit(0), F.col("k") - 1), rest)
+
+    both = _once(F.transform("whole", lambda s, i: F.xxhash64(i, s)), lambda a: _once(F.transform("later", lambda s, i: F.xxhash64(i + 1, s)), lambda b: rests(a, b)))
+    return cut.withColumns({"rests": both, "pieces": F.transform("whole", lambda s: F.substring(s, F.lit(1), F.col("w") - 1))})
 
 
 def line_occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -115,31 +129,31 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     text = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("o"), F.xxhash64(text_col).alias("dh"), F.col(text_col).alias("text"))
     texts = text.join(by_doc, (F.col("o") == F.col("so")) & (F.col("dh") == F.col("sdh")))
     texts = texts.select("o", "dh", F.split("text", "\n", -1).alias("lines"), "want").select("o", "dh", F.explode(F.transform("want", lambda w: F.struct(w["h"].alias("h"), w["n"].alias("n"), w["pos"].alias("pos"), F.element_at("lines", w["pos"] + 1).alias("line")))).alias("x"))
-    lines = box.save(texts.select("x.h", "x.n", F.struct(F.col("o").alias("o"), F.col("x.pos").alias("pos"), F.col("dh").alias("dh")).alias("first"), "x.line").distinct())
+    lines = box.save(texts.select("x.h", "x.n", F.struct(F.col("o").alias("o"), F.col("x.pos").alias("pos"), F.col("dh").alias("dh")).alias("first"), "x.line").distinct().withColumn("lid", F.monotonically_increasing_id()))
 
-    parts = _long_segments(lines).unionByName(_short_segments(lines))
-    key = F.xxhash64("m", "seg", "rest")
-    shared = parts.groupBy(key.alias("shared")).agg(F.count("*").alias("c"), F.min("role").alias("lo")).where("c > 1 and lo = 'long'").select("shared")
-    live = parts.withColumn("key", key).join(shared, F.col("key") == F.col("shared"), "left_semi").drop("key")
+    parts = _segment_keys(_long_segments(lines), True).unionByName(_segment_keys(_short_segments(lines), False))
+    shared = parts.groupBy(F.col("key").alias("shared")).agg(F.count("*").alias("c"), F.max("long").alias("any")).where("c > 1 and any").select("shared")
+    live = parts.join(shared, F.col("key") == F.col("shared"), "left_semi").groupBy("lid").agg(*(F.collect_set(F.when(F.col("long") == k, F.col("seg"))).alias(c) for k, c in ((True, "as_long"), (False, "as_short"))))
+    found = lines.join(live.withColumnRenamed("lid", "live"), F.col("lid") == F.col("live"))
     places = F.explode(F.sequence(F.lit(0), F.length("piece") - 1)).alias("q")
-    cut = live.where("role = 'long'").select("h", "first", "m", "w", "seg", "rest", "piece", places)
+    cut = _chosen(_long_segments(found), "as_long").select("first.*", "m", (F.col("seg") * F.col("w")).alias("at"), "seg", "rest", "piece", places)
     variant = F.concat(F.substring("piece", F.lit(1), F.col("q")), F.substring("piece", F.col("q") + 2, F.length("piece")))
-    cut = cut.select("h", "first", (F.col("seg") * F.col("w") + F.col("q")).alias("p"), F.xxhash64("m", "seg", "rest", variant).alias("v"))
-    longs = cut.select("h", "first", "p", F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.xxhash64(F.lit("s"), "p", "v").alias("key")), F.struct(F.lit("l").alias("kind"), F.xxhash64(F.lit("d"), "v").alias("key")))).alias("x")).select("h", "first", "p", "x.kind", "x.key")
-    shorts = live.where("role = 'short'").select("h", "first", F.lit(-1).alias("p"), F.lit("d").alias("kind"), F.xxhash64(F.lit("d"), F.xxhash64("m", "seg", "rest", "piece")).alias("key"))
+    cut = cut.select("o", "pos", "dh", (F.col("at") + F.col("q")).alias("p"), F.xxhash64("m", "seg", "rest", variant).alias("v"))
+    # Kinds: 0 a line of equal length, 1 the longer of two, 2 the shorter.
+    longs = cut.select("o", "pos", "dh", "p", F.posexplode(F.array(F.xxhash64(F.lit("s"), "p", "v"), F.xxhash64(F.lit("d"), "v"))).alias("kind", "key"))
+    shorts = _chosen(_short_segments(found), "as_short").select("first.*", F.lit(-1).alias("p"), F.lit(2).alias("kind"), F.xxhash64(F.lit("d"), F.xxhash64("m", "seg", "rest", "piece")).alias("key"))
     variants = longs.unionByName(shorts)
-    at = F.struct("first", "p")
-    least = variants.groupBy("key").agg(F.count("*").alias("c"), *(F.min(F.when(F.col("kind") == k, at)).alias(k) for k in "sld")).where("c > 1").drop("c")
-    witness = F.when(F.col("kind") == "s", F.col("s")).when(F.col("kind") == "l", F.col("d")).otherwise(F.col("l"))
-    near = variants.join(least, "key").select("h", "first", "kind", F.greatest(F.col("p"), witness["p"]).alias("p"), witness["first"].alias("witness")).where("witness < first")
-    near = near.groupBy("h", "first").agg(F.min(F.struct("witness", "kind", "p")).alias("w")).select("h", "first", "w.*")
+    least = variants.groupBy("key").agg(F.count("*").alias("c"), *(F.min(F.when(F.col("kind") == k, F.struct("o", "pos", "dh", "p"))).alias(f"w{k}") for k in range(3))).where("c > 1").drop("c")
+    witness = F.when(F.col("kind") == 0, F.col("w0")).when(F.col("kind") == 1, F.col("w2")).otherwise(F.col("w1"))
+    near = variants.join(least, "key").select(F.struct("o", "pos", "dh").alias("first"), "kind", F.greatest(F.col("p"), witness["p"]).alias("p"), F.struct(*(witness[c].alias(c) for c in ("o", "pos", "dh"))).alias("witness")).where("witness.o is not null and witness < first")
+    near = near.groupBy("first").agg(F.min(F.struct("witness", "kind", "p")).alias("w")).select("first", "w.*")
     mine = lines.select(F.col("h").alias("ah"), F.col("first").alias("af"), F.col("line").alias("a"))
     its = lines.select(F.col("first").alias("bf"), F.col("line").alias("b"))
     # `first` tells distinct lines apart where they share a hash.
-    checked = near.join(mine, (F.col("h") == F.col("ah")) & (F.col("first") == F.col("af"))).join(its, F.col("witness") == F.col("bf"))
+    checked = near.join(mine, F.col("first") == F.col("af")).join(its, F.col("witness") == F.col("bf"))
     less = lambda c: _without(F.col(c), F.col("p"))
-    same = F.when(F.col("kind") == "s", (F.length("a") == F.length("b")) & (less("a") == less("b"))).when(F.col("kind") == "l", less("a") == F.col("b")).otherwise(F.col("a") == less("b"))
-    checked = checked.where(same).select(F.col("h").alias("gone"), F.col("first").alias("gf"))
+    same = F.when(F.col("kind") == 0, (F.length("a") == F.length("b")) & (less("a") == less("b"))).when(F.col("kind") == 1, less("a") == F.col("b")).otherwise(F.col("a") == less("b"))
+    checked = checked.where(same).select(F.col("ah").alias("gone"), F.col("first").alias("gf"))
 
     twice = distinct.join(checked, (distinct.h == checked.gone) & (distinct["first"] == checked["gf"]), "left").where("count > 1 or gone is not null")
     twice = box.save(twice.select(F.col("h").alias("th"), F.col("n").alias("tn"), F.col("h2").alias("t2"), F.col("first").alias("tf"), F.col("gone").isNotNull().alias("all")))
