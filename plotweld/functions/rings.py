@@ -136,7 +136,11 @@ def turn(r: Column) -> Column:
 
 
 def orientation_similarity(a: Column, b: Column) -> Column:
-    d = F.abs(turn(a) - turn(b))
+    return turns_alike(turn(a), turn(b))
+
+
+def turns_alike(a: Column, b: Column) -> Column:
+    d = F.abs(a - b)
     return 1 - F.least(d, F.pi() - d) / (F.pi() / 2)
 
 

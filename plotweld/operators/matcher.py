@@ -61,6 +61,13 @@ def fit(rows: DataFrame) -> PipelineModel:
     return _stages(last).fit(_vector(weighted))
 
 
+def plain_weights(model: PipelineModel, names: tuple[str, ...]) -> tuple[dict[str, float], float]:
+    """The weights of some features, and the intercept, for features as they are instead of standardised ones."""
+    scaler, last = model.stages[1], model.stages[2]
+    per = {f: (w / s if s else 0.0, m) for f, w, s, m in zip(FEATURES, last.coefficients.toArray().tolist(), scaler.std.toArray().tolist(), scaler.mean.toArray().tolist(), strict=True)}
+    return {f: per[f][0] for f in names}, last.intercept - sum(w * m for w, m in per.values())
+
+
 def fit_boosted(rows: DataFrame, trees: int = 200) -> PipelineModel:
     weighted, _ = _balanced(rows.dropna(subset=["y"]))
     last = GBTClassifier(featuresCol="__x", labelCol="y", weightCol="__weight", predictionCol="__class", maxIter=trees, stepSize=0.1, maxDepth=5, seed=42)

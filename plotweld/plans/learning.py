@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import rings
 from ..operators import conflate, imagery, matcher
-from ..operators.corners import box_ring
+from .polygons import ring_layer
 from .queries import Plan, query
 
 
 def _labelled(p: Plan) -> DataFrame:
-    """Candidate pairs with all features; a pair of the same parcel number is a match."""
-    rows = p.evidence()
+    """Candidate pairs with all features; a pair of the same parcel number is a match. The turn of a parcel is that of its surveyed ring."""
+    turn = lambda layer, k, name: ring_layer(p, layer).select(F.col("k").alias(k), rings.turn(F.col("ring")).alias(name))
+    rows = p.evidence().join(turn("source_ring", "s_k", "s_turn"), "s_k", "left").join(turn("target_ring", "t_k", "t_turn"), "t_k", "left")
     s, t = g.box("s_"), g.box("t_")
     named = {
-        "boundary_distance": F.col("hausdorff"), "intersection_area": g.intersection_area(s, t), "orientation_similarity": rings.orientation_similarity(box_ring("s_xmin", "s_ymin", "s_xmax", "s_ymax"), box_ring("t_xmin", "t_ymin", "t_xmax", "t_ymax")),
+        "boundary_distance": F.col("hausdorff"), "intersection_area": g.intersection_area(s, t), "orientation_similarity": rings.turns_alike(F.col("s_turn"), F.col("t_turn")),
         "gnss_support": F.col("e_survey"), "building_support": F.col("e_physical"), "y": (F.col("s_k") == F.col("t_k")).cast("int"),
     }
     return matcher.with_part(rows.withColumns(named), "s_parcel_id").select("s_parcel_id", "t_parcel_id", *matcher.FEATURES, "y", "part")
@@ -32,6 +33,16 @@ def _fitted(p: Plan):
         train.unpersist()
 
 
+def fitted_weights(p: Plan) -> tuple[dict[str, float], float]:
+    """Weights and intercept, on the plain features, of a regression on the pairs' own features, fitted on the training part."""
+    own = ("iou", "centroid_distance", "area_ratio", "perimeter_ratio", "shape_similarity", "attribute_similarity")
+    train = _labelled(p).where("part = 'train'").withColumns({f: F.lit(0.0) for f in matcher.FEATURES if f not in own}).persist()
+    try:
+        return matcher.plain_weights(matcher.fit(train), own)
+    finally:
+        train.unpersist()
+
+
 @query(None)
 def matcher_scores(p: Plan) -> DataFrame:
     rows, model = _fitted(p)

@@ -116,7 +116,7 @@ def query(sql: str | None, ctes: str = ""):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Plan(spark, sf_dir))
         QUERIES[f.__name__].__name__ = f.__name__
         if sql:
-            ORACLE[f.__name__] = f"WITH {BASE}{ctes}\n{sql}"
+            ORACLE[f.__name__] = f"WITH RECURSIVE {BASE}{ctes}\n{sql}"
         return f
 
     return add

@@ -9,6 +9,7 @@ from ..functions import projection
 from ..operators import corners, escalation, registration
 from ..operators.lineage import cut
 from ..sources import fixtures, scenario
+from ..streaming import versions as governing
 from .queries import ORACLE, QUERIES, Plan, query
 
 
@@ -81,3 +82,25 @@ def _numbered(p: Plan) -> DataFrame:
     """The 100 pairs of corners that homologous() keeps at most, as control points about the layer's origin."""
     pairs = corners.homologous(_corners(p, "legacy_box"), _corners(p, "truth_box"))
     return cut(pairs).select(F.concat_ws(":", "sx", "sy").alias("point_id"), (F.col("sx") - 500000).alias("sx"), (F.col("sy") - 3000000).alias("sy"), (F.col("tx") - 500000).alias("tx"), (F.col("ty") - 3000000).alias("ty"))
+
+
+REQUESTS = """,
+rq AS (SELECT event_id, concat('P-', user_id) AS parcel_id, ts, CASE event_type WHEN 'signup' THEN 'CANDIDATE' WHEN 'click' THEN 'VALIDATED' WHEN 'view' THEN 'FIELD_VERIFICATION' WHEN 'purchase' THEN 'APPROVED' ELSE 'REJECTED' END AS requested, CASE WHEN event_id % 5 = 0 THEN 'AI_SERVICE' ELSE 'SURVEYOR' END AS role FROM events),
+sq AS (SELECT *, row_number() OVER (PARTITION BY parcel_id ORDER BY ts, event_id) AS i FROM rq),
+st(i, parcel_id, event_id, requested, status, version, accepted) AS (
+  SELECT 0, parcel_id, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), 'OBSERVED', 0, false FROM rq GROUP BY parcel_id
+  UNION ALL SELECT sq.i, sq.parcel_id, sq.event_id, sq.requested, CASE WHEN ok THEN sq.requested ELSE st.status END, st.version + ok::INT, ok FROM st JOIN sq ON sq.parcel_id = st.parcel_id AND sq.i = st.i + 1,
+    LATERAL (SELECT concat(st.status, '>', sq.requested) IN ('OBSERVED>CANDIDATE', 'CANDIDATE>VALIDATED', 'CANDIDATE>REJECTED', 'CANDIDATE>FIELD_VERIFICATION', 'VALIDATED>APPROVED', 'VALIDATED>REJECTED', 'VALIDATED>FIELD_VERIFICATION', 'FIELD_VERIFICATION>CANDIDATE', 'FIELD_VERIFICATION>VALIDATED', 'FIELD_VERIFICATION>REJECTED') AND NOT (sq.role = 'AI_SERVICE' AND sq.requested = 'APPROVED') AS ok) o)"""
+
+
+def review_requests(events: DataFrame) -> DataFrame:
+    """Events as requests for a status of the parcel that bears the user's number."""
+    asked = F.create_map(*(F.lit(x) for pair in {"signup": "CANDIDATE", "click": "VALIDATED", "view": "FIELD_VERIFICATION", "purchase": "APPROVED"}.items() for x in pair))
+    role = F.when(F.col("event_id") % 5 == 0, "AI_SERVICE").otherwise("SURVEYOR")
+    return events.select("event_id", F.concat(F.lit("P-"), F.col("user_id").cast("string")).alias("parcel_id"), "ts", F.coalesce(F.try_element_at(asked, F.col("event_type")), F.lit("REJECTED")).alias("requested"), role.alias("role"))
+
+
+@query("SELECT parcel_id, event_id, requested, status, version::BIGINT AS version, accepted FROM st WHERE i > 0", REQUESTS)
+def governed_events(p: Plan) -> DataFrame:
+    """Every review event by the state machine, with the version it makes; the stream gives the same rows."""
+    return governing.governed(review_requests(p.spark.read.parquet(f"{p.sf_dir}/events.parquet")))

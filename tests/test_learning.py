@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plotweld.operators import imagery, matcher
+from plotweld.plans import learning, queries, records
 
 
 def test_world_and_pixels():
@@ -70,3 +73,12 @@ def test_matcher(spark):
     with pytest.raises(ValueError):
         matcher.fit(train.where("y = 1"))
     assert matcher.choose(train, "id", trees=3)[0] in ("logistic", "boosted")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables absent")
+def test_weights_of_the_decisions_are_fitted(spark):
+    plan = queries.Plan(spark, "/root/testdata/sf0.01")
+    weights, intercept = learning.fitted_weights(plan)
+    assert {k: round(v, 2) for k, v in weights.items()} == pytest.approx(records.WEIGHTS, abs=0.03) and intercept == pytest.approx(records.INTERCEPT, abs=0.03)
+    ends = learning._labelled(plan).agg(*(f(c).alias(f"{n}_{c}") for c in matcher.FEATURES for n, f in (("min", F.min), ("max", F.max)))).first()
+    assert all(ends[f"min_{c}"] < ends[f"max_{c}"] for c in matcher.FEATURES)
