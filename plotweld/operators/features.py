@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import projection
+
 DIGITS = "decimal(18,7)"
 
 
@@ -42,3 +44,27 @@ def feature(name: Column, geometry: Column, /, **properties: Column) -> Column:
 def newest(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows of an order: each task keeps n, no table is sorted."""
     return rows.orderBy(*order).limit(n)
+
+
+def in_degrees(rows: DataFrame, ring: str = "ring") -> DataFrame:
+    """A ring or list of points in metres as longitude and latitude."""
+    lon, lat = projection.to_wgs84("v.x", "v.y")
+    return rows.withColumn(ring, F.expr(f"transform(`{ring}`, v -> named_struct('x', {lon}, 'y', {lat}))"))
+
+
+def geometry(points: Column, kind: str) -> Column:
+    """GeoJSON of an array of points: a Polygon of one ring, closed here, a LineString or a Point; null for none."""
+    text = lambda a: F.array_join(F.transform(a, lambda v: place(v["x"], v["y"])), ",")
+    inner = {"Polygon": F.concat(F.lit("[["), text(F.concat(points, F.slice(points, 1, 1))), F.lit("]]")), "LineString": F.concat(F.lit("["), text(points), F.lit("]")), "Point": text(points)}[kind]
+    return F.when(F.size(points) > 0, F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), inner, F.lit("}")))
+
+
+def properties(extra: Column | None = None, /, **own: Column) -> Column:
+    """Properties as JSON, keys in order; those of `extra`, a map of texts, replace a row's own of the same name."""
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    mine = F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(quoted(v), F.lit("null")).alias("v")) for k, v in own.items()))
+    if extra is not None:
+        more = F.coalesce(extra, F.create_map().cast("map<string,string>"))
+        theirs = F.transform(F.map_entries(more), lambda e: F.struct(e["key"].alias("k"), F.coalesce(quoted(e["value"]), F.lit("null")).alias("v")))
+        mine = F.concat(F.filter(mine, lambda p: ~F.map_contains_key(more, p["k"])), theirs)
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(mine), lambda p: F.concat(F.lit('"'), p["k"], F.lit('":'), p["v"])), ","), F.lit("}"))
