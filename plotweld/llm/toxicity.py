@@ -41,8 +41,8 @@ LEAST_RATIO = 20.0
 FUZZY_LETTERS, TWO_EDITS = 5, 9
 LONGEST = 60
 WINDOW = 120
-CACHE = 400_000
-WORDS_AT_ONCE = 50_000
+CACHE = 150_000
+WORDS_AT_ONCE = 20_000
 TEXTS_AT_ONCE = 500
 WORDS = re.compile(r"\w+")
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
@@ -212,15 +212,18 @@ def _count_terms(only: frozenset | None):
     return run
 
 
-def _in_parts(texts: list, trie: LexiconTrie, cache: dict) -> list[list[float]]:
-    return [x for at in range(0, len(texts), TEXTS_AT_ONCE) for x in features(texts[at : at + TEXTS_AT_ONCE], trie, cache)]
+def _in_parts(texts: pa.Array, trie: LexiconTrie, cache: dict) -> list[list[float]]:
+    """Features of a column, of which only some texts are Python strings at a time."""
+    rows = [x for at in range(0, len(texts), TEXTS_AT_ONCE) for x in features(texts.slice(at, TEXTS_AT_ONCE).to_pylist(), trie, cache)]
+    pa.default_memory_pool().release_unused()
+    return rows
 
 
 def _sample_features(shared):
     def run(batches):
         trie, cache = LexiconTrie(shared.value), {}
         for batch in batches:
-            rows = _in_parts(batch.column(0).to_pylist(), trie, cache)
+            rows = _in_parts(batch.column(0), trie, cache)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
     return run
@@ -283,7 +286,7 @@ def _scores(shared):
         trie, cache = LexiconTrie(terms), {}
         for batch in batches:
             # The text to score is the last column; the score takes its place.
-            x = np.array(_in_parts(batch.columns[-1].to_pylist(), trie, cache)).reshape(-1, 4)
+            x = np.array(_in_parts(batch.columns[-1], trie, cache)).reshape(-1, 4)
             score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
 
