@@ -89,6 +89,14 @@ JOIN (SELECT 0 AS pk, '-a' AS tail, 0 AS a, 20 AS b UNION ALL SELECT 0, '-b', 20
   UNION ALL SELECT 3, '-a', 0, 14 UNION ALL SELECT 3, '-b', 13, 27 UNION ALL SELECT 3, '-c', 26, 40 UNION ALL SELECT 4, '', 1, 41 UNION ALL SELECT 6, '-a', 0, 26 UNION ALL SELECT 6, '-b', 14, 40 UNION ALL SELECT 7, '', 0, 40) q ON pk = kind""",
     "raw_ring": """
 SELECT concat('W-', k) AS parcel_id, k, k % 5 AS kind, CAST(500000 + 70 * (k % 50) AS DOUBLE) AS x, CAST(3000000 + 40 * (k {div} 50) AS DOUBLE) AS y, CAST(8 + k % 11 AS DOUBLE) AS w, CAST(6 + k % 7 AS DOUBLE) AS h FROM (SELECT c_custkey AS k FROM customer) q""",
+    "district_or_parcel": """
+SELECT concat('N-', c_nationkey) AS id, CAST(min(500000 + 41 * (c_custkey % 50)) AS DOUBLE) AS xmin, CAST(min(3000000 + 31 * (c_custkey {div} 50)) AS DOUBLE) AS ymin,
+  CAST(max(500040 + 41 * (c_custkey % 50)) AS DOUBLE) AS xmax, CAST(max(3000030 + 31 * (c_custkey {div} 50)) AS DOUBLE) AS ymax FROM customer GROUP BY c_nationkey
+UNION ALL
+SELECT concat('L-', k), CAST(x0 AS DOUBLE), CAST(y0 AS DOUBLE), CAST(x0 + 40 AS DOUBLE), CAST(y0 + 30 AS DOUBLE) FROM (SELECT c_custkey AS k, 500000 + 41 * (c_custkey % 50) AS x0, 3000000 + 31 * (c_custkey {div} 50) AS y0 FROM customer) q""",
+    "shed_in_one_block": """
+SELECT concat('B-', o) AS id, 500100 + CAST((7 * o) % 1024 AS DOUBLE) / 16 AS xmin, 3000040 + CAST((11 * o) % 512 AS DOUBLE) / 16 AS ymin,
+  500100 + CAST((7 * o) % 1024 + 4 AS DOUBLE) / 16 AS xmax, 3000040 + CAST((11 * o) % 512 + 4 AS DOUBLE) / 16 AS ymax FROM (SELECT o_orderkey AS o FROM orders) q""",
     "pipeline_run": """
 SELECT concat('R-', o_orderkey) AS run_id, concat('D', substr(o_orderpriority, 1, 1)) AS source_dataset, concat('D', CAST(o_custkey % 3 AS VARCHAR(9))) AS reference_dataset,
   CASE o_orderstatus WHEN 'F' THEN 'PASSED' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status, o_totalprice AS rmse, o_orderdate AS created_at, o_orderkey AS row_id FROM orders""",
