@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from ..functions import geometry as g
+from .lineage import cut
 
 SMALLEST = 16.0
 FULL = 10_000  # rows of one side in a cell and salt
@@ -34,15 +35,14 @@ def _levelled(df: DataFrame, b: tuple[Column, ...], smallest: float) -> DataFram
     return df.where(sound).withColumn("_b", box)
 
 
-def _dealt(df: DataFrame, other: DataFrame, smallest: float, first: bool) -> DataFrame:
+def _dealt(df: DataFrame, levels: DataFrame, smallest: float, first: bool) -> DataFrame:
     """A row for each cell on the box's own level and on every coarser one of the other side.
 
     `_w` keeps finer rows of both sides apart, which meet on a level of their own: 0 joins the first side's own rows
     with all of the second, 1 the first side's finer rows with the second's own.
     """
-    theirs = other.agg(F.collect_set("_b.v").alias("_theirs"))  # one row of at most some forty levels
-    own = F.col("_b.v")
-    rows = df.crossJoin(F.broadcast(theirs)).withColumn("_v", F.explode(F.array_union(F.array(own), F.filter("_theirs", lambda v: v > own)))).drop("_theirs")
+    own, theirs = F.col("_b.v"), "_of_r" if first else "_of_l"
+    rows = df.crossJoin(F.broadcast(levels.select(theirs))).withColumn("_v", F.explode(F.array_union(F.array(own), F.filter(theirs, lambda v: v > own)))).drop(theirs)
     at_home = F.col("_v") == own
     if first:
         rows = rows.withColumn("_w", F.when(at_home, 0).otherwise(1))
@@ -55,14 +55,17 @@ def _dealt(df: DataFrame, other: DataFrame, smallest: float, first: bool) -> Dat
 
 
 def _hot(left: DataFrame, right: DataFrame, full: int, hot: int) -> DataFrame:
-    """Cells where both sides have rows and one has more than `full` and than 1 / `hot` of all it deals, with the salts of each side."""
+    """Cells where both sides have rows and one has more than `full` and than 1 / `hot` of all it deals, with the salts of each side.
+
+    Both results are small and computed now, so that the join's plan does not repeat how they were found.
+    """
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     both = left.select(*CELL, one.alias("l"), none.alias("r")).unionByName(right.select(*CELL, none.alias("l"), one.alias("r")))
     cells = both.groupBy(CELL).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    total = cells.agg(F.sum("l").alias("all_l"), F.sum("r").alias("all_r"))
+    total = cut(both.agg(F.sum("l").alias("all_l"), F.sum("r").alias("all_r")))
     many = lambda n, of: (F.col(n) > full) & (F.col(n) * hot > F.col(of))
     found = cells.where("l > 0 and r > 0").crossJoin(F.broadcast(total)).where(many("l", "all_l") | many("r", "all_r"))
-    return found.select(*CELL, F.ceil(F.col("l") / full).alias("_nl"), F.ceil(F.col("r") / full).alias("_nr"))
+    return cut(found.select(*CELL, F.ceil(F.col("l") / full).alias("_nl"), F.ceil(F.col("r") / full).alias("_nr")))
 
 
 def _salted(rows: DataFrame, hot: DataFrame, columns: list[str], mine: str, theirs: str) -> DataFrame:
@@ -78,7 +81,10 @@ def dealt(left: DataFrame, right: DataFrame, lb: tuple[Column, ...], rb: tuple[C
     plain = lambda df: [c for c in df.columns if not isinstance(df.schema[c].dataType, MapType)]
     names = plain(left), plain(right)
     l, r = _levelled(left, lb, smallest), _levelled(right, rb, smallest)  # noqa: E741
-    dl, dr = _dealt(l, r, smallest, True), _dealt(r, l, smallest, False)
+    seen = lambda df, name: df.agg(F.collect_set("_b.v").alias(name))
+    levels = cut(seen(l, "_of_l").crossJoin(seen(r, "_of_r")))  # one row, of at most some forty levels a side
+    dl, dr = _dealt(l, levels, smallest, True), _dealt(r, levels, smallest, False)
+    # Counting takes the cells alone, so only the columns of the boxes are read for it.
     cells = _hot(dl, dr, full, hot)
     return _salted(dl, cells, names[0], "l", "r"), _salted(dr, cells, names[1], "r", "l")
 
