@@ -97,6 +97,18 @@ SELECT concat('L-', k), CAST(x0 AS DOUBLE), CAST(y0 AS DOUBLE), CAST(x0 + 40 AS
     "shed_in_one_block": """
 SELECT concat('B-', o) AS id, 500100 + CAST((7 * o) % 1024 AS DOUBLE) / 16 AS xmin, 3000040 + CAST((11 * o) % 512 AS DOUBLE) / 16 AS ymin,
   500100 + CAST((7 * o) % 1024 + 4 AS DOUBLE) / 16 AS xmax, 3000040 + CAST((11 * o) % 512 + 4 AS DOUBLE) / 16 AS ymax FROM (SELECT o_orderkey AS o FROM orders) q""",
+    "evidence_request": """
+SELECT concat('E-', k) AS dataset_id, k % 2 = 0 AS with_height, CAST(500000 + 41 * (5 * k % 50) AS DOUBLE) AS xmin, CAST(3000000 + 31 * (k {div} 10) AS DOUBLE) AS ymin,
+  CAST(500120 + 41 * (5 * k % 50) AS DOUBLE) AS xmax, CAST(3000080 + 31 * (k {div} 10) AS DOUBLE) AS ymax FROM (SELECT s_suppkey AS k FROM supplier) q""",
+    "evidence_asset": """
+SELECT concat('A-', s_suppkey) AS asset_id, concat('E-', s_suppkey {div} 2) AS dataset_id, CASE s_suppkey % 3 WHEN 0 THEN 'ORI' WHEN 1 THEN 'DSM' ELSE 'DTM' END AS type, concat('tiles/', s_name, '.tif') AS path, s_suppkey AS row_id FROM supplier""",
+    "extracted_feature": """
+SELECT concat('A-', 2 * (p_partkey % 40)) AS asset_id, concat('X-', p_partkey) AS obs_id, CASE p_partkey % 3 WHEN 0 THEN 'WALL' ELSE 'BUILDING' END AS type, CAST(0.5 AS DOUBLE) + p_size / 256 AS confidence,
+  CAST(0.25 AS DOUBLE) AS uncertainty, CAST(3 + p_size % 9 AS DOUBLE) AS height, CAST(500000 + 41 * (p_partkey % 50) AS DOUBLE) AS x, CAST(3000000 + 31 * (p_partkey {div} 50) AS DOUBLE) AS y, CAST(4 + p_size % 5 AS DOUBLE) AS side FROM part""",
+    "parcel_box_version": """
+SELECT concat('L-', k) AS parcel_id, version, CAST(x0 AS DOUBLE) AS xmin, CAST(y0 AS DOUBLE) AS ymin, x0 + w AS xmax, y0 + h AS ymax
+FROM (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, 500000 + 41 * (o_custkey % 50) AS x0, 3000000 + 31 * (o_custkey {div} 50) AS y0,
+  CAST(CASE WHEN o_orderkey % 7 = 3 THEN 8 WHEN o_orderkey % 7 = 4 THEN 9 ELSE 32 + o_orderkey % 9 END AS DOUBLE) AS w, CAST(CASE WHEN o_orderkey % 11 = 5 THEN 1.5e0 ELSE 12 + o_orderkey % 19 END AS DOUBLE) AS h FROM orders) q""",
     "pipeline_run": """
 SELECT concat('R-', o_orderkey) AS run_id, concat('D', substr(o_orderpriority, 1, 1)) AS source_dataset, concat('D', CAST(o_custkey % 3 AS VARCHAR(9))) AS reference_dataset,
   CASE o_orderstatus WHEN 'F' THEN 'PASSED' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status, o_totalprice AS rmse, o_orderdate AS created_at, o_orderkey AS row_id FROM orders""",

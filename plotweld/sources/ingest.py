@@ -41,9 +41,9 @@ def both_exist(datasets: DataFrame, *ids: str) -> DataFrame:
     return datasets.agg((F.count_distinct(F.when(F.col("dataset_id").isin(*ids), F.col("dataset_id"))) == len(set(ids))).alias("ready"))
 
 
-def first_assets(assets: DataFrame) -> DataFrame:
-    """The first asset of each type, by row."""
-    return assets.groupBy("type").agg(F.min_by(F.struct("asset_id", "path"), "row_id").alias("a")).select("type", "a.asset_id", "a.path")
+def first_assets(assets: DataFrame, *within: str) -> DataFrame:
+    """The first asset of each type, by row; of each type within each value of these columns where some are named."""
+    return assets.groupBy(*within, "type").agg(F.min_by(F.struct("asset_id", "path"), "row_id").alias("a")).select(*within, "type", "a.asset_id", "a.path")
 
 
 def write_features(features: DataFrame, path: str, column: str = "feature") -> None:
