@@ -309,3 +309,13 @@ def fixed(r: Column) -> Column:
         return F.struct(ring_.alias("ring"), done.alias("fixes"))
 
     return F.when(F.size(r) > 0, let(clean, made))
+
+
+def from_wkt(text: Column) -> Column:
+    """The ring of a POLYGON text of one ring, without its closing vertex; null for other texts."""
+    inner = F.regexp_extract(F.upper(text), r"^\s*POLYGON\s*\(\s*\(([^()]*)\)\s*\)\s*$", 1)
+    at = lambda v, i: F.element_at(F.split(F.trim(v), r"\s+"), i).try_cast("double")
+    points = F.transform(F.split(inner, ","), lambda v: F.struct(at(v, 1).alias("x"), F.when(F.size(F.split(F.trim(v), r"\s+")) == 2, at(v, 2)).alias("y")))
+    closed = let(points, lambda p: F.when(F.element_at(p, 1) == F.element_at(p, -1), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p))
+    whole = let(closed, lambda p: F.when((F.size(p) >= 3) & ~F.exists(p, lambda v: v["x"].isNull() | v["y"].isNull()), p))
+    return F.when(inner != "", whole)

@@ -68,3 +68,42 @@ def properties(extra: Column | None = None, /, **own: Column) -> Column:
         theirs = F.transform(F.map_entries(more), lambda e: F.struct(e["key"].alias("k"), F.coalesce(quoted(e["value"]), F.lit("null")).alias("v")))
         mine = F.concat(F.filter(mine, lambda p: ~F.map_contains_key(more, p["k"])), theirs)
     return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(mine), lambda p: F.concat(F.lit('"'), p["k"], F.lit('":'), p["v"])), ","), F.lit("}"))
+
+
+def iso(c: Column, kind: str) -> Column:
+    """Dates and times as ISO text: a fraction only where there is one, an offset where the type has a zone."""
+    if kind == "date":
+        return F.date_format(c, "yyyy-MM-dd")
+    zone = "xxx" if kind == "timestamp" else ""
+    part = F.when(F.date_format(c, "SSSSSS") != "000000", F.date_format(c, "'.'SSSSSS")).otherwise("")
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), part, F.date_format(c, zone) if zone else F.lit(""))
+
+
+def row_features(rows: DataFrame, id_col: str, geometry: Column | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Any row as a feature: its columns are the properties, fields of structs and keys of maps of texts beside them.
+
+    Where names meet, a struct's field replaces the columns before it, and a map's key all others. Dates and times are
+    ISO texts. A null id is the empty text.
+    """
+    own: dict[str, Column] = {}
+    maps: list[Column] = []
+
+    def add(c: Column, name: str, kind) -> None:
+        if kind.typeName() == "struct":
+            for f in kind.fields:
+                add(c[f.name], f.name, f.dataType)
+        elif kind.typeName() == "map":
+            maps.append(F.coalesce(c, F.create_map().cast(kind)))
+        else:
+            own[name] = iso(c, kind.typeName()) if kind.typeName() in ("date", "timestamp", "timestamp_ntz") else c
+
+    for f in rows.schema.fields:
+        if f.name not in (id_col, *skip):
+            add(F.col(f"`{f.name}`"), f.name, f.dataType)
+    extra = None
+    for m in maps:
+        extra = m if extra is None else F.map_from_entries(F.concat(F.filter(F.map_entries(extra), lambda e, m=m: ~F.map_contains_key(m, e["key"])), F.map_entries(m)))
+    name = F.coalesce(F.expr(f"regexp_extract(to_json(array(`{id_col}`)), '(?s)^.(.*).$', 1)"), F.lit('""'))
+    name = F.when(F.col(f"`{id_col}`").isNull(), '""').otherwise(name)
+    text = F.concat(F.lit('{"type":"Feature","id":'), name, F.lit(',"geometry":'), F.coalesce(geometry if geometry is not None else F.lit(None).cast("string"), F.lit("null")), F.lit(',"properties":'), properties(extra, **own), F.lit("}"))
+    return rows.select(F.col(f"`{id_col}`").alias("id"), text.alias("feature"))

@@ -109,6 +109,16 @@ SELECT concat('A-', 2 * (p_partkey % 40)) AS asset_id, concat('X-', p_partkey) A
 SELECT concat('L-', k) AS parcel_id, version, CAST(x0 AS DOUBLE) AS xmin, CAST(y0 AS DOUBLE) AS ymin, x0 + w AS xmax, y0 + h AS ymax
 FROM (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, 500000 + 41 * (o_custkey % 50) AS x0, 3000000 + 31 * (o_custkey {div} 50) AS y0,
   CAST(CASE WHEN o_orderkey % 7 = 3 THEN 8 WHEN o_orderkey % 7 = 4 THEN 9 ELSE 32 + o_orderkey % 9 END AS DOUBLE) AS w, CAST(CASE WHEN o_orderkey % 11 = 5 THEN 1.5e0 ELSE 12 + o_orderkey % 19 END AS DOUBLE) AS h FROM orders) q""",
+    "parcel_edition": """
+SELECT concat('P-', k) AS parcel_id, k, version, status, concat('D', k % 3) AS dataset_1, concat('D', o % 4) AS dataset_2, concat('U-', o % 5) AS land_use, concat('H-', o % 97) AS holder, concat('R-', o % 11) AS run_id,
+  CAST(500000 + 41 * (k % 50) AS DOUBLE) AS x, CAST(3000000 + 31 * (k {div} 50) AS DOUBLE) AS y, CAST(30 + o % 11 AS DOUBLE) AS w, CAST(20 + o % 7 AS DOUBLE) AS h
+FROM (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, CASE o_orderstatus WHEN 'F' THEN 'VALIDATED' WHEN 'O' THEN 'OBSERVED' ELSE 'CANDIDATE' END AS status FROM orders) q""",
+    "version_request": """
+SELECT event_id AS request_id, concat('P-', 10 * user_id + event_id % 12) AS parcel_id, CASE event_type WHEN 'view' THEN 'CANDIDATE' WHEN 'click' THEN 'VALIDATED' WHEN 'error' THEN 'REJECTED' WHEN 'purchase' THEN 'APPROVED' ELSE 'PUBLISHED' END AS status,
+  CASE event_type WHEN 'view' THEN 'EDIT' WHEN 'click' THEN 'APPROVE' WHEN 'error' THEN 'REJECT' WHEN 'purchase' THEN 'FIELD_VERIFY' ELSE 'COMMENT' END AS action,
+  CASE event_id % 3 WHEN 0 THEN 'AI_SERVICE' WHEN 1 THEN 'REVIEWER' ELSE 'SYSTEM' END AS role, concat('R-', event_id % 11) AS run_id,
+  CASE WHEN event_id % 5 < 3 THEN concat('U-', event_id) END AS land_use, CASE WHEN event_id % 4 = 1 THEN concat('H-', event_id) END AS holder,
+  CASE WHEN event_id % 2 = 0 THEN 4 + event_id % 7 END AS arm, 500000 + event_id % 100 AS x, 3000000 + event_id % 90 AS y FROM events""",
     "pipeline_run": """
 SELECT concat('R-', o_orderkey) AS run_id, concat('D', substr(o_orderpriority, 1, 1)) AS source_dataset, concat('D', CAST(o_custkey % 3 AS VARCHAR(9))) AS reference_dataset,
   CASE o_orderstatus WHEN 'F' THEN 'PASSED' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status, o_totalprice AS rmse, o_orderdate AS created_at, o_orderkey AS row_id FROM orders""",
