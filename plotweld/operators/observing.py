@@ -47,9 +47,10 @@ def _building(ring: Column, bounds: Column, key: Column) -> Column:
     """A rectangle inside the bounds of the inset ring, cut by it; an empty ring where there is no room."""
     x0, y0, x1, y1 = (bounds[n] for n in BOUNDS)
     draw = lambda what, span: noise(F.concat(key, F.lit(f"/{what}")), *span)
-    w, h = (x1 - x0) * draw("w", SIDE), (y1 - y0) * draw("h", SIDE)
-    ox, oy = x0 + (x1 - x0 - w) * draw("x", PLACE), y0 + (y1 - y0 - h) * draw("y", PLACE)
-    return rings.clip(rings.ring((ox, oy), (ox + w, oy), (ox + w, oy + h), (ox, oy + h)), ring)
+    size = F.struct(((x1 - x0) * draw("w", SIDE)).alias("w"), ((y1 - y0) * draw("h", SIDE)).alias("h"))
+    place = lambda s: F.struct((x0 + (x1 - x0 - s["w"]) * draw("x", PLACE)).alias("x"), (y0 + (y1 - y0 - s["h"]) * draw("y", PLACE)).alias("y"))
+    drawn = lambda s: rings.let(place(s), lambda o: rings.ring((o["x"], o["y"]), (o["x"] + s["w"], o["y"]), (o["x"] + s["w"], o["y"] + s["h"]), (o["x"], o["y"] + s["h"])))
+    return rings.clip(rings.let(size, drawn), ring)
 
 
 def stand_ins(requests: DataFrame, log: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def stand_ins(requests: DataFrame, log: DataFrame) -> DataFrame:
     newest = versions.latest(log.select("parcel_id", "version", "ring", "xmin", "ymin", "xmax", "ymax"))
     near = uneven_join(prefixed(requests.select("dataset_id", "with_height", "xmin", "ymin", "xmax", "ymax"), "q_"), prefixed(newest, "p_"), "q_", "p_")
     extent = rings.ring(("q_xmin", "q_ymin"), ("q_xmax", "q_ymin"), ("q_xmax", "q_ymax"), ("q_xmin", "q_ymax"))
-    rows = near.where((F.size("p_ring") > 2) & rings.meets(F.col("p_ring"), extent) & (rings.area(F.col("p_ring")) >= LEAST_PARCEL))
+    rows = rings.where(near, (F.size("p_ring") > 2) & (rings.area(F.col("p_ring")) >= LEAST_PARCEL) & rings.meets(F.col("p_ring"), extent))
     # Rings are exploded from arrays of one, so that the filters on them do not compute them again.
     rows = rows.select(F.col("q_dataset_id").alias("dataset_id"), F.col("q_with_height").alias("with_height"), F.col("p_parcel_id").alias("parcel_id"), F.col("p_ring").alias("outer"), F.explode(F.array(rings.inset(F.col("p_ring"), INSET))).alias("inner"))
     rows = rows.where((F.size("inner") > 2) & (rings.area(F.col("inner")) >= LEAST_INSET)).withColumn("key", F.concat("dataset_id", F.lit("/"), "parcel_id"))

@@ -16,8 +16,8 @@ XY = [f"{c}{v}" for v in range(4) for c in "xy"]
 
 
 def ring_layer(p: Plan, name: str) -> DataFrame:
-    """parcel_id, k, ring and the ring's box."""
-    rows = p.layer(name).withColumn("ring", rings.ring(*((f"x{v}", f"y{v}") for v in range(4)))).drop(*XY)
+    """parcel_id, k, ring and the ring's box; dealt out, as rings cost more than the few bytes of a split tell."""
+    rows = p.layer(name).repartition("parcel_id").withColumn("ring", rings.ring(*((f"x{v}", f"y{v}") for v in range(4)))).drop(*XY)
     return rows.withColumns(dict(zip(("xmin", "ymin", "xmax", "ymax"), rings.bounds(F.col("ring")), strict=True)))
 
 

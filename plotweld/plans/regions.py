@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import rings
 from ..operators import conflate
+from ..operators.lineage import cut
 from ..operators.spatial_join import distance_join, prefixed
 from ..sources import fixtures
 from .polygons import RINGS, ring_layer, with_ring_features
@@ -22,10 +23,11 @@ SLANT = 0.25
 
 
 def slanted(p: Plan, name: str) -> DataFrame:
-    """A layer of upright boxes as slanted rings, with the boxes of the rings."""
+    """A layer of upright boxes as slanted rings, with the boxes of the rings; dealt out by id."""
     b = g.box()
     lean = (b[3] - b[1]) * SLANT
-    rows = p.layer(name).withColumn("ring", rings.ring((b[0], b[1]), (b[2], b[1]), (b[2] + lean, b[3]), (b[0] + lean, b[3])))
+    layer = p.layer(name)
+    rows = layer.repartition(layer.columns[0]).withColumn("ring", rings.ring((b[0], b[1]), (b[2], b[1]), (b[2] + lean, b[3]), (b[0] + lean, b[3])))
     return rows.withColumns(dict(zip(("xmin", "ymin", "xmax", "ymax"), rings.bounds(F.col("ring")), strict=True)))
 
 
@@ -38,7 +40,7 @@ def containment_probability(pairs: DataFrame) -> DataFrame:
 
 def _decided(p: Plan) -> DataFrame:
     sources, targets = slanted(p, "slanted_source"), slanted(p, "slanted_target")
-    pairs = distance_join(prefixed(sources, "s_"), prefixed(targets, "t_"), "s_", "t_").where(rings.meets(F.col("s_ring"), F.col("t_ring")))
+    pairs = rings.where(distance_join(prefixed(sources, "s_"), prefixed(targets, "t_"), "s_", "t_"), rings.meets(F.col("s_ring"), F.col("t_ring")))
     return conflate.decide(sources, conflate.with_own_evidence(containment_probability(with_ring_features(pairs))), conflate.RINGS)
 
 
@@ -79,7 +81,7 @@ def merges_ring(p: Plan) -> DataFrame:
 @query("SELECT relation, count(*) AS n FROM (SELECT relation FROM dr UNION ALL SELECT 'MERGE' FROM mg) q GROUP BY 1", DECIDED)
 def relations_ring(p: Plan) -> DataFrame:
     """A whole run: the sources' own rows and a row for each merge."""
-    decided = _decided(p)
+    decided = cut(_decided(p).select("source_id", "relation", "targets", "probability"))
     return conflate.with_merges(decided, _merged(p, decided)).groupBy("relation").agg(F.count("*").alias("n"))
 
 
@@ -129,7 +131,7 @@ def raw_rings(p: Plan) -> DataFrame:
     ring = kinds[0]
     for k, r in enumerate(kinds[1:], 1):
         ring = F.when(F.col("kind") == k, r).otherwise(ring)
-    return p.layer("raw_ring").withColumn("ring", ring)
+    return p.layer("raw_ring").repartition("parcel_id").withColumn("ring", ring)
 
 
 @query("""SELECT parcel_id, CASE WHEN kind IN (0, 4) THEN 'make_valid,multipart_to_largest' WHEN kind IN (1, 2) THEN 'dedupe_vertices' ELSE '' END AS fixes, CASE WHEN kind IN (0, 4) THEN 'edges cross' END AS invalid, CASE WHEN kind IN (0, 4) THEN 3 ELSE 4 END AS vertices,
@@ -160,5 +162,5 @@ def shape_overlap(p: Plan) -> DataFrame:
     zero = F.lit(0.0)
     ell = at((zero, zero), (w, zero), (w, b), (a, b), (a, h), (zero, h))
     u = at((zero, zero), (w, zero), (w, h), (w - c, h), (w - c, d), (c, d), (c, h), (zero, h))
-    rows = p.layer("raw_ring").select("parcel_id", ell.alias("l"), u.alias("u")).select("parcel_id", F.round(rings.area(F.col("l")), 6).alias("ell"), F.round(rings.area(F.col("u")), 6).alias("u_area"), F.round(rings.overlap_area(F.col("l"), F.col("u")), 6).alias("common"))
+    rows = p.layer("raw_ring").repartition("parcel_id").select("parcel_id", ell.alias("l"), u.alias("u")).select("parcel_id", F.round(rings.area(F.col("l")), 6).alias("ell"), F.round(rings.area(F.col("u")), 6).alias("u_area"), F.round(rings.overlap_area(F.col("l"), F.col("u")), 6).alias("common"))
     return rows.select("parcel_id", "ell", F.col("u_area").alias("u"), "common", F.round(F.col("common") / (F.col("ell") + F.col("u_area") - F.col("common")), 6).alias("iou"))
