@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def box_ring(xmin="xmin", ymin="ymin", xmax="xmax", ymax="ymax"):
     """The ring of a box, counter-clockwise, not closed."""
@@ -29,7 +31,9 @@ def corners(rings: DataFrame, ring: str = "ring") -> DataFrame:
     angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ax * bx + ay * by) / norm))))
     angle = F.when(norm.isNotNull(), angle)
     first = F.min(F.struct("parcel_id", "pos", F.col("v.x").alias("x"), F.col("v.y").alias("y"), angle.alias("angle")))
-    kept = rows.groupBy(F.round("v.x", 4).alias("kx"), F.round("v.y", 4).alias("ky")).agg(first.alias("c"))
+    # Dealt first: an aggregate of structs sorts its input, which would be a whole split of the table, with few repeats to drop.
+    rows = rows.withColumns({"kx": F.round("v.x", 4), "ky": F.round("v.y", 4)}).repartition("kx", "ky")
+    kept = rows.groupBy("kx", "ky").agg(first.alias("c"))
     return kept.select("c.*")
 
 
@@ -37,11 +41,26 @@ def homologous(source: DataFrame, target: DataFrame, radius: float = 50.0, max_a
     """Corners of two layers that answer each other: nearest within `radius` once the layers' centres
     coincide, angles alike; the `keep` nearest pairs, labelled by the quadrant around the median.
 
-    Ties go to the smaller x, then y. Cells of `radius` bound the candidates of a corner, whatever the
+    Ties go to the smaller x, then y. A small radius is tried first: where it holds `keep` pairs, all others are farther, so
+    they are the answer; the search ends at `radius`. Cells of that size bound the candidates of a corner, whatever the
     layer's size; only one-row extents are broadcast.
     """
     centre = lambda d, p: d.agg(((F.min("x") + F.max("x")) / 2).alias(f"{p}x"), ((F.min("y") + F.max("y")) / 2).alias(f"{p}y"))
     shift = centre(source, "a").crossJoin(centre(target, "b")).select((F.col("bx") - F.col("ax")).alias("ox"), (F.col("by") - F.col("ay")).alias("oy"))
+    shift = cut(shift)
+    for share in (64, 8):
+        top = cut(_nearest(source, target, shift, radius / share, max_angle, keep))
+        if top.count() == keep:
+            break
+    else:
+        top = _nearest(source, target, shift, radius, max_angle, keep)
+    middle = top.agg(F.percentile("sx", 0.5).alias("x"), F.percentile("sy", 0.5).alias("y"))
+    label = F.concat(F.when(F.col("sy") >= F.col("y"), "N").otherwise("S"), F.when(F.col("sx") >= F.col("x"), "E").otherwise("W"))
+    return top.crossJoin(F.broadcast(middle)).select("sx", "sy", "tx", "ty", "distance", label.alias("region"))
+
+
+def _nearest(source: DataFrame, target: DataFrame, shift: DataFrame, radius: float, max_angle: float, keep: int) -> DataFrame:
+    """The `keep` nearest pairs of corners that are each the nearest of its source's within `radius`."""
     cell = lambda c: F.floor(F.col(c) / radius)
     s = source.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("angle").alias("sa")).crossJoin(F.broadcast(shift))
     s = s.withColumns({"mx": F.col("sx") + F.col("ox"), "my": F.col("sy") + F.col("oy")})
@@ -52,7 +71,4 @@ def homologous(source: DataFrame, target: DataFrame, radius: float = 50.0, max_a
     best = near.groupBy("sx", "sy").agg(F.min(F.struct("d", "tx", "ty", "sa", "ta")).alias("b"))
     turn = F.abs(F.coalesce("b.sa", F.lit(90.0)) - F.coalesce("b.ta", F.lit(90.0)))
     pairs = best.where(turn <= max_angle).select("sx", "sy", "b.tx", "b.ty", F.col("b.d").alias("distance"))
-    top = pairs.orderBy("distance", "sx", "sy").limit(keep)
-    middle = top.agg(F.percentile("sx", 0.5).alias("x"), F.percentile("sy", 0.5).alias("y"))
-    label = F.concat(F.when(F.col("sy") >= F.col("y"), "N").otherwise("S"), F.when(F.col("sx") >= F.col("x"), "E").otherwise("W"))
-    return top.crossJoin(F.broadcast(middle)).select("sx", "sy", "tx", "ty", "distance", label.alias("region"))
+    return pairs.orderBy("distance", "sx", "sy").limit(keep)
