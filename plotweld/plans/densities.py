@@ -19,10 +19,13 @@ GAP = "greatest(0, b.xmin - s.xmax, s.xmin - b.xmax) ** 2 + greatest(0, b.ymin -
 
 @query(f"SELECT b.id, count(*) AS sheds, min(s.id) AS first_shed, max(s.id) AS last_shed, round(sum(s.xmin - 500000), 4) AS sum_x FROM big b JOIN shed s ON {GAP} <= 4 GROUP BY b.id", UNEVEN)
 def sheds_near_uneven(p: Plan) -> DataFrame:
-    """Districts as wide as the map and single parcels, each with the sheds of one crowded block within 2 m."""
-    pairs = uneven_join(prefixed(p.layer("district_or_parcel"), "s_"), prefixed(p.layer("shed_in_one_block"), "t_"), "s_", "t_", 2.0)
-    shed = F.col("t_id")
-    return pairs.groupBy(F.col("s_id").alias("id")).agg(F.count("*").alias("sheds"), F.min(shed).alias("first_shed"), F.max(shed).alias("last_shed"), F.round(F.sum(F.col("t_xmin") - 500000), 4).alias("sum_x"))
+    """Districts as wide as the map and single parcels, each with the sheds of one crowded block within 2 m.
+
+    Sheds on the same box are counted first and meet as one: a smallest name is found by sorting, for each pair otherwise.
+    """
+    sheds = p.layer("shed_in_one_block").groupBy("xmin", "ymin", "xmax", "ymax").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    pairs = uneven_join(prefixed(p.layer("district_or_parcel"), "s_"), prefixed(sheds, "t_"), "s_", "t_", 2.0)
+    return pairs.groupBy(F.col("s_id").alias("id")).agg(F.sum("t_n").alias("sheds"), F.min("t_first").alias("first_shed"), F.max("t_last").alias("last_shed"), F.round(F.sum((F.col("t_xmin") - 500000) * F.col("t_n")), 4).alias("sum_x"))
 
 
 @query("SELECT parcel_id AS source_id, t_id AS target_id, round(sqrt(dx * dx + dy * dy), 6) AS gap FROM cand", PAIRS)
