@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import rings
 from ..operators import conflate, imagery, matcher
+from ..operators.lineage import cut
 from .polygons import ring_layer
 from .queries import Plan, query
 
@@ -25,7 +26,8 @@ def _labelled(p: Plan) -> DataFrame:
 
 
 def _fitted(p: Plan):
-    rows = _labelled(p)
+    """The rows, written out as each later step reads them again, and the model of the training part."""
+    rows = cut(_labelled(p))
     train = rows.where("part = 'train'").persist()
     try:
         return rows, matcher.fit(train)

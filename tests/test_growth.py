@@ -83,3 +83,11 @@ def test_building_mask_of_the_part_that_is_not_green():
 def test_tiles_are_dealt_out(spark):
     boxes = spark.createDataFrame([("a", "BUILDING", 0.0, 0.0, 8.0, 8.0)], "obs_id string, type string, xmin double, ymin double, xmax double, ymax double")
     assert "RepartitionByExpression" in _plan(imagery.extract_rendered(boxes)) and imagery.extract_rendered(boxes).count() == 1
+
+
+def test_the_matcher_reads_its_rows_instead_of_joining_again(spark):
+    from plotweld.plans.queries import QUERIES
+
+    import plotweld.plans.learning  # noqa: F401
+
+    assert "Join" not in _plan(QUERIES["matcher_scores"](spark, "/root/testdata/sf0.001"))
