@@ -69,8 +69,8 @@ def calibrated_scores(p: Plan) -> DataFrame:
 
 @query(None)
 def matcher_cross_validation(p: Plan) -> DataFrame:
-    """Log loss of five folds over all candidate pairs."""
-    rows = _labelled(p).persist()
+    """Log loss of five folds over all candidate pairs, written out first: in as many partitions as their bytes ask for, not one for each of the joins' tasks."""
+    rows = cut(_labelled(p).select("s_parcel_id", *matcher.FEATURES, "y")).persist()
     try:
         losses = matcher.cross_validate(rows, "s_parcel_id")
     finally:

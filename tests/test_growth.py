@@ -1,5 +1,6 @@
 """What a costly step is given: tests of plans and of small cases, so that work and memory grow with the input alone."""
 
+import threading
 import time
 
 import numpy as np
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotweld.functions import rings
-from plotweld.operators import conflate, corners, escalation, imagery
+from plotweld.operators import conflate, corners, escalation, imagery, matcher
+from plotweld.operators.spatial_join import distance_join
 
 
 def _plan(df) -> str:
@@ -91,3 +93,32 @@ def test_the_matcher_reads_its_rows_instead_of_joining_again(spark):
     import plotweld.plans.learning  # noqa: F401
 
     assert "Join" not in _plan(QUERIES["matcher_scores"](spark, "/root/testdata/sf0.001"))
+
+
+def test_cross_validation_reads_few_partitions_and_joins_nothing_again(spark, monkeypatch):
+    from plotweld.plans import learning  # noqa: F401
+    from plotweld.plans.queries import QUERIES
+
+    seen = []
+    monkeypatch.setattr(matcher, "cross_validate", lambda rows, key: seen.append((_plan(rows), rows.rdd.getNumPartitions(), rows.count())) or [0.5] * 5)
+    assert QUERIES["matcher_cross_validation"](spark, "/root/testdata/sf0.001").count() == 5
+    [(plan, partitions, n)] = seen
+    assert "Join" not in plan and n > 0 and partitions < int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_distance_join_deals_both_layers_to_their_cells(spark):
+    """Before, a layer with a small file was broadcast, and one task made all pairs."""
+    side = lambda prefix: spark.range(50).select(*((F.col("id") * 20.0 + d).alias(prefix + n) for n, d in (("xmin", 0.0), ("ymin", 0.0), ("xmax", 9.0), ("ymax", 9.0))), F.col("id").alias(prefix + "id"))
+    found = distance_join(side("a_"), side("b_"), "a_", "b_", 16.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r.a_id, r.b_id) for r in found.collect()) == [(i, j) for i in range(50) for j in range(50) if abs(i - j) <= 1]
+
+
+def test_folds_are_fitted_side_by_side(spark):
+    rows = matcher.synthetic_pairs(spark, 600).persist()
+    meet = threading.Barrier(5, timeout=60)
+    losses = matcher.cross_validate(rows, "id", fitter=lambda d: meet.wait() >= 0 and matcher.fit(d))
+    fold = F.pmod(F.xxhash64(F.col("id"), F.col("y")), F.lit(5))
+    assert losses == pytest.approx([matcher.log_loss(matcher.predict(matcher.fit(rows.where(fold != k)), rows.where(fold == k))) for k in range(5)], rel=1e-6)
+    rows.unpersist()
