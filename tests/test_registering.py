@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from plotweld.operators import escalation, registration
+from plotweld.operators import escalation, registration, spline
 
 POINTS = "point_id int, sx double, sy double, tx double, ty double"
 
@@ -115,3 +115,47 @@ def test_residuals_of_the_kernels():
     square = np.array([[0, 0], [10, 0], [10, 10], [0, 10]], float)
     f = registration.spline(square, square + [2, -1])
     assert np.abs(f(square) - square - [2, -1]).max() < 1e-6
+
+
+def test_spline_takes_all_points(spark):
+    """Before, a spline was fitted to 100 of them at most."""
+    rng = np.random.default_rng(3)
+    src = rng.uniform(0, 300, (240, 2))
+    dst = np.c_[src[:, 0] + 3 * np.sin(src[:, 1] / 20), src[:, 1]] + rng.uniform(-0.1, 0.1, src.shape)
+    row = escalation.run_record(frame(spark, src, dst)).first()
+    off = np.linalg.norm(registration.spline(src, dst)(src) - dst, axis=1)
+    assert (row.method, row.n, row.passed) == ("tps", 240, True)
+    assert row.rmse == pytest.approx(np.sqrt(np.mean(off**2)), abs=1e-9) and row.p95 == pytest.approx(np.percentile(off, 95), abs=1e-9)
+
+
+def test_spline_in_parts_is_the_spline_in_one(spark, monkeypatch):
+    """Points in blocks, some on the same place; vertices and points in groups."""
+    for name, value in {"DIRECT": 100, "BLOCK": 120, "SIDE": 60, "AROUND": 250, "COARSE": 100, "PLACES": 150, "SOURCES": 200}.items():
+        monkeypatch.setattr(spline, name, value)
+    rng = np.random.default_rng(5)
+    src = rng.uniform(0, 900, (350, 2))
+    src[:5] = src[5]
+    dst = np.c_[src[:, 0] + 3 * np.sin(src[:, 1] / 60), src[:, 1] - src[:, 0] / 9] + rng.uniform(-0.1, 0.1, src.shape)
+    rows = spark.createDataFrame([(i, *map(float, (*a, *b))) for i, (a, b) in enumerate(zip(src, dst, strict=True))], "id bigint, x double, y double, tx double, ty double")
+    weights, tail = spline.fit(rows)
+    w, all_ = registration.spline_weights(src, dst), {r.id: (r.u, r.v) for r in weights.collect()}
+    assert len(all_) == len(src) and np.abs(np.array([all_[i] for i in range(len(src))]) - w[:-3]).max() < 1e-6
+    assert np.allclose(tail, w[-3:].T.ravel(), atol=1e-5)
+    places = rng.uniform(0, 900, (400, 2))
+    at = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)] + [(400, None, 1.0)], "k int, x double, y double")
+    to = {r.k: (r.to.x, r.to.y) for r in spline.moved(at, ["k"], weights, tail).collect()}
+    assert len(to) == 400 and np.abs(np.array([to[i] for i in range(400)]) - registration.spline(src, dst)(places)).max() < 1e-6
+    monkeypatch.setattr(spline, "ROUNDS", 1)
+    with pytest.raises(ValueError, match="residual"):
+        spline.fit(rows)
+    with pytest.raises(ValueError, match="line"):
+        spline.fit(rows.withColumn("y", 2 * rows.x))
+
+
+def test_rings_without_vertices_pass_the_spline(spark):
+    src, dst = cases()["wave"]
+    layer = spark.createDataFrame([("a", 1, None), ("b", 2, []), ("c", 3, [(10.0, 20.0), None, (30.0, 40.0)])], "parcel_id string, version int, ring array<struct<x: double, y: double>>")
+    rows = {r.parcel_id: r for r in escalation.registered(layer, escalation.escalated(frame(spark, src, dst)), (0.0, 0.0)).collect()}
+    assert rows["a"].ring is None and rows["b"].ring == [] and [r.version for _, r in sorted(rows.items())] == [2, 3, 4]
+    first, middle, last = rows["c"].ring
+    assert middle.x is None and np.allclose([first, last], registration.spline(src, dst)(np.array([[10.0, 20], [30, 40]])))
